@@ -56,3 +56,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sharding": op7_sharding,
 }
 ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
+
+
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickweave.llm.ngram_join import Similarity, ngram_components
+
+    return ngram_components(table(spark, sf_dir, "documents"), Similarity(n=4, num=85, den=100))
+
+
+QUERIES["op9_ngram_jaccard_join"] = op9_ngram_jaccard_join
