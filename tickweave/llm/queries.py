@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tickweave.llm import decontamination, license_scan, line_dedup
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -65,3 +67,25 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_ngram_jaccard_join"] = op9_ngram_jaccard_join
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickweave.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickweave.llm.decontamination import contained_items
+
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickweave.llm.line_dedup import drop_common_lines
+
+    return drop_common_lines(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op5_license_scan": op5_license_scan, "op8_decontamination": op8_decontamination, "op10_line_dedup": op10_line_dedup}
+ORACLE_SQL |= {"op5_license_scan": license_scan.ORACLE_SQL, "op8_decontamination": decontamination.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
