@@ -41,9 +41,14 @@ def word_list(text: Column) -> Column:
 
 def shingle_hashes(df: DataFrame, key: str, n: int = WORDS) -> DataFrame:
     """(key, hashes): hashes of all n-word shingles of each row, in order."""
-    words = df.select(F.col(key).cast("long").alias(key), word_list(F.col("text")).alias("w")).where(F.size("w") >= n)
-    hashes = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(*[F.get(F.col("w"), i + k) for k in range(n)]))
-    return words.select(key, hashes.alias("hashes"))
+
+    def windows(w: Column) -> Column:
+        all_ = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
+        return F.when(F.size(w) >= n, all_).otherwise(F.array().cast("array<bigint>"))
+
+    # The word list is bound to a variable: named twice it would be split anew for each shingle.
+    hashes = F.transform(F.array(word_list(F.col("text"))), windows)
+    return df.select(F.col(key).cast("long").alias(key), F.get(hashes, F.lit(0)).alias("hashes"))
 
 
 def hashes_needed(u: Column, q: Column, containment: float) -> Column:
@@ -99,9 +104,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, containment: float = CON
 
 ORACLE_SQL = r"""
 with d as (
-  select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') as w from documents),
+  select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents),
 b as (
-  select item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') as w from benchmark),
+  select item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from benchmark),
 ds as (
   select distinct doc_id, array_to_string(w[i:i+4], ' ') as s
   from (select doc_id, w, unnest(generate_series(1, len(w) - 4)) as i from d where len(w) >= 5)),

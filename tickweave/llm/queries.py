@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tickweave.llm import decontamination, license_scan, line_dedup
 
@@ -89,3 +90,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"op5_license_scan": op5_license_scan, "op8_decontamination": op8_decontamination, "op10_line_dedup": op10_line_dedup}
 ORACLE_SQL |= {"op5_license_scan": license_scan.ORACLE_SQL, "op8_decontamination": decontamination.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickweave.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), "quality")
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", quality.held_out_quality().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickweave.llm import language_id
+
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.train(docs))
+    return found.select("doc_id", language_id.held_out_language().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES |= {"op3_quality_classifier": op3_quality_classifier, "op6_language_id": op6_language_id}
