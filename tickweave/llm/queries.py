@@ -110,3 +110,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op3_quality_classifier": op3_quality_classifier, "op6_language_id": op6_language_id}
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickweave.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op2_html_extraction"] = op2_html_extraction
