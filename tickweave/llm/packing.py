@@ -31,8 +31,10 @@ from pyspark.sql import types as T
 
 from tickweave.workspace import materialise
 
-#: Chunks of text whose ids a Python worker remembers before it starts anew.
-CACHE_ENTRIES = 300_000
+#: Chunks of text whose ids a Python worker remembers, in each of two generations.
+CACHE_ENTRIES = 400_000
+#: Characters of text that are encoded together.
+GROUP_CHARS = 1 << 20
 #: Pieces that one salted part of a length should hold.
 PART_ROWS = 200_000
 
@@ -60,39 +62,46 @@ class Tokens:
 
 
 class ChunkTokenizer:
-    """Ids of a text as little-endian bytes.
+    """Ids of texts as little-endian bytes.
 
     The tokenizer never joins text across white space, so the ids of a plain
-    text are those of its chunks, most of which were met before.  Texts with
-    unusual characters or with the text of a special token go through the
-    tokenizer whole.
+    text are those of its chunks, most of which were met before.  Chunks that
+    are new to a group of texts are encoded in one call.  Texts with unusual
+    characters or with the text of a special token go through the tokenizer
+    whole.  Remembered chunks are in two generations; those not met again are
+    forgotten with the older one.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES) -> None:
         from tokenizers import Tokenizer
 
         self._whole = Tokenizer.from_file(path)
         self._special = [t.content for t in self._whole.get_added_tokens_decoder().values()]
+        self._entries = entries
         self._known: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> bytes:
-        return np.asarray(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if not _PLAIN.fullmatch(text) or any(s in text for s in self._special):
-            return self._encode(text)
-        known, chunks = self._known, text.lower().split()
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            pass
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        if len(known) + len(new) > CACHE_ENTRIES:
-            known.clear()
-            new = list(dict.fromkeys(chunks))
+        self._older: dict[str, bytes] = {}
+
+    def _learn(self, chunks: set[str]) -> None:
+        if len(self._known) > self._entries:
+            self._older, self._known = self._known, {}
+        new = []
+        for chunk in chunks.difference(self._known):
+            ids = self._older.get(chunk)
+            if ids is None:
+                new.append(chunk)
+            else:
+                self._known[chunk] = ids
         for chunk, got in zip(new, self._whole.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[chunk] = np.asarray(got.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, chunks))
+            self._known[chunk] = np.asarray(got.ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        plain = [t.lower().split() if _PLAIN.fullmatch(t) and not any(s in t for s in self._special) else None for t in texts]
+        self._learn(set().union(*[c for c in plain if c is not None]))
+        ids_of = self._known.__getitem__
+        return [
+            b"".join(map(ids_of, chunks)) if chunks is not None else np.asarray(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            for text, chunks in zip(texts, plain, strict=True)
+        ]
 
 
 @lru_cache(maxsize=2)
@@ -103,6 +112,20 @@ def tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
+def groups(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of a batch, about GROUP_CHARS characters at a time."""
+    ids, texts, size = [], [], 0
+    for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+        ids.append(doc.as_py())
+        texts.append(text.as_py() or "")
+        size += len(texts[-1])
+        if size >= GROUP_CHARS:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def tokenize(docs: DataFrame, tokens: Tokens, capacity: int) -> DataFrame:
     """One row per piece of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32."""
     end = np.asarray([tokens.end_id], "<u4").tobytes()
@@ -111,11 +134,12 @@ def tokenize(docs: DataFrame, tokens: Tokens, capacity: int) -> DataFrame:
         encoder = tokenizer(tokens.path)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = memoryview(encoder.encode(text.as_py() or "") + end)
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            for docs_ids, texts in groups(batch):
+                for doc, encoded in zip(docs_ids, encoder.encode(texts), strict=True):
+                    ids = memoryview(encoded + end)
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], PIECES.names)
