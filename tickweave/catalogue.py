@@ -1,7 +1,591 @@
-"""Registered queries of the tick operators with their DuckDB counterparts."""
+"""Registered queries of the tick operators with their DuckDB counterparts.
+
+All run over the whole ``events`` table: assets are event types (five) or
+users, time is seconds since the start of 2024.  Doubles are rounded in both
+languages, so that the order of summation does not show.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickweave.functions import linalg
+from tickweave.functions.kernels import KERNELS, PARZEN, TRIANGLE
+from tickweave.functions.periods import Period
+from tickweave.operators import clustering, matrices, ordered, sampling, simulation
+from tickweave.operators import covariance as C
+from tickweave.operators import volatility as V
+from tickweave.plans import estimate
+from tickweave.sources import ticks as T
+
+HOUR = 3600.0
+ASSETS = ["click", "error", "purchase", "signup", "view"]
+FLAGSHIP = "grid_correlation"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+TICKS = "ticks as (select event_type as asset, (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 1e6 as t, value, event_id as seq from events)"
+RANKED = TICKS + ", ranked as (select *, row_number() over (partition by asset order by t, seq) as rn from ticks)"
+RETURNS = TICKS + ", d as (select * from (select asset, t, seq, value, lag(t) over w as p_t, value - lag(value) over w as r from ticks window w as (partition by asset order by t, seq)) where p_t is not null)"
+GRID = "ext as (select min(t) as lo, max(t) as hi from ticks), grid as (select k, lo + k * 3600.0 as t from (select unnest(range(0, cast(floor((hi - lo) / 3600.0) as bigint) + 1)) as k, lo from ext))"
+SAMPLED = (
+    f"{TICKS}, {GRID}, firsts as (select asset, arg_min(value, (t, seq)) as v0 from ticks group by asset), "
+    "gx as (select f.asset, g.k, g.t, f.v0 from grid g cross join firsts f), "
+    "sampled as (select asset, k, t, coalesce(v, v0) as value from (select gx.asset, gx.k, gx.t, gx.v0, x.value as v from gx asof left join ticks x on gx.asset = x.asset and gx.t >= x.t)), "
+    "ret as (select * from (select asset, k, t, value - lag(value) over (partition by asset order by k) as r, t - lag(t) over (partition by asset order by k) as dt from sampled) where r is not null), "
+    "cov as (select p.asset as a, q.asset as b, covar_samp(p.r, q.r) as cov from ret p join ret q on p.k = q.k and p.asset <= q.asset group by 1, 2)"
+)
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to a number of digits, without negative zeros."""
+    return df.select(*[(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def r(expression: str, name: str, digits: int = 6) -> str:
+    return f"round({expression}, {digits}) + 0.0 as {name}"
+
+
+def types(spark: SparkSession, sf_dir: str) -> T.Ticks:
+    return T.event_ticks(spark, sf_dir)
+
+
+def hourly(ticks: T.Ticks) -> DataFrame:
+    return sampling.even_grid(ticks, HOUR)
+
+
+# --- sources and selection --------------------------------------------------
+
+
+@query("tick_table", f"with {TICKS} select asset, t, value, seq from ticks")
+def _(spark, sf):
+    return types(spark, sf).df
+
+
+@query("tick_table_ranked", f"with {RANKED} select asset, t, value, seq, rn from ranked")
+def _(spark, sf):
+    return ordered.ranked(types(spark, sf))
+
+
+@query("rescaled_ticks", f"with {TICKS} select asset, {r('t / 60.0', 't', 4)}, value, seq from ticks")
+def _(spark, sf):
+    return rounded(T.rescaled(types(spark, sf), Period("Minute"), strict=True).df, 4)
+
+
+@query("combined_ticks", f"with {TICKS}, u as (select * from ticks union all select * from ticks where t < 864000) select asset, count(*) as n, {r('sum(value)', 'total')}, count(distinct seq) as n_distinct from u group by asset")
+def _(spark, sf):
+    all_ = types(spark, sf)
+    both = T.combine([all_, sampling.subset_to_time(all_, 864_000.0)])
+    return rounded(both.df.groupBy("asset").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.countDistinct("seq").alias("n_distinct")))
+
+
+USERS = "ticks as (select cast(user_id as varchar) as asset, (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 1e6 as t, value, event_id as seq from events)"
+
+
+@query("get_assets", f"with {USERS} select asset from ticks group by asset having count(*) >= 10 and max(t) - min(t) > 2.220446049250313e-13")
+def _(spark, sf):
+    return sampling.get_assets(T.event_ticks(spark, sf, "user_id"))
+
+
+@query("subset_to_tick", f"with {TICKS} select * from ticks order by t, seq limit 500")
+def _(spark, sf):
+    return sampling.subset_to_tick(types(spark, sf), 500).df
+
+
+@query("subset_to_time", f"with {TICKS} select * from ticks where t < 864000.0")
+def _(spark, sf):
+    return sampling.subset_to_time(types(spark, sf), 864_000.0).df
+
+
+@query("duration", f"with {TICKS} select {r('max(t) - min(t)', 'duration')}, cast(round((max(t) - min(t)) * 1e9 / 1000) as bigint) as microseconds from ticks")
+def _(spark, sf):
+    ticks = types(spark, sf)
+    out = ticks.df.agg((F.max("t") - F.min("t")).alias("duration"))
+    return rounded(out.withColumn("microseconds", F.round(F.col("duration") * 1e9 / 1000).cast("long")))
+
+
+@query("ticks_per_asset", f"with {TICKS} select asset, count(*) as number_of_ticks from ticks group by asset")
+def _(spark, sf):
+    return sampling.ticks_per_asset(types(spark, sf))
+
+
+@query("time_between_refreshes", f"with {USERS} select asset, {r('count(*) / (select max(t) - min(t) from ticks)', 'time_between_ticks', 10)}, count(*) as number_of_ticks from ticks group by asset")
+def _(spark, sf):
+    return rounded(sampling.time_between_refreshes(T.event_ticks(spark, sf, "user_id")), 10)
+
+
+# --- sampling ---------------------------------------------------------------
+
+
+@query("latest_value", f"with {SAMPLED} select asset, k, {r('t', 't')}, value from sampled")
+def _(spark, sf):
+    ticks = types(spark, sf)
+    return rounded(sampling.latest_value(ticks, hourly(ticks)))
+
+
+@query("latest_value_wide", f"with {SAMPLED} select {r('t', 'time')}, " + ", ".join(f"max(value) filter (where asset = '{a}') as {a}" for a in ASSETS) + " from sampled group by k, t")
+def _(spark, sf):
+    ticks = types(spark, sf)
+    return rounded(sampling.wide(sampling.latest_value(ticks, hourly(ticks), ASSETS), ASSETS).withColumnRenamed("Time", "time"))
+
+
+@query("grid_returns", f"with {SAMPLED} select asset, k, {r('r', 'r')}, {r('r / sqrt(dt)', 'scaled')} from ret")
+def _(spark, sf):
+    ticks = types(spark, sf)
+    sampled = sampling.latest_value(ticks, hourly(ticks)).cache()
+    scaled = sampling.returns(sampled, rescale=True).withColumnRenamed("r", "scaled")
+    return rounded(sampling.returns(sampled).join(scaled, ["asset", "k"]).select("asset", "k", "r", "scaled"))
+
+
+@query("tick_returns", f"with {RETURNS} select asset, t, p_t, seq, {r('r', 'r')} from d")
+def _(spark, sf):
+    return rounded(sampling.tick_returns(types(spark, sf)))
+
+
+_PICK = "((((k + 1) * 7919 + ascii(asset) * 104729 + length(asset) * 1299709 + 2604 * 15485863::bigint) * 48271) % 2147483647) / 2147483647.0"
+
+
+@query(
+    "random_value_in_interval",
+    f"with {RANKED}, {GRID}, gx as (select a.asset, g.k, g.t from grid g cross join (select distinct asset from ticks) a), "
+    "p as (select gx.asset, gx.k, gx.t, greatest(1, coalesce(x.rn, 1)) as hi from gx asof left join ranked x on gx.asset = x.asset and gx.t >= x.t), "
+    "q as (select *, least(hi, coalesce(lag(hi) over (partition by asset order by k), 1) + 1) as lo from p), "
+    f"s as (select asset, k, t, lo + cast(floor({_PICK} * (hi - lo + 1)) as bigint) as rn from q) "
+    f"select s.asset, s.k, {r('s.t', 't')}, x.value from s join ranked x on s.asset = x.asset and s.rn = x.rn",
+)
+def _(spark, sf):
+    ticks = types(spark, sf)
+    return rounded(sampling.random_value_in_interval(ticks, hourly(ticks)))
+
+
+@query("next_tick", f"with {TICKS}, g as (select asset, t, row_number() over (order by t, seq) as n from ticks), f as (select asset, min(n) as n, arg_min(t, n) as t from g where n >= 100 group by asset) select case when count(*) = 5 then {'arg_max(t, n)'} end as refresh_time, case when count(*) = 5 then max(n) end as refresh_index from f")
+def _(spark, sf):
+    return sampling.next_tick(types(spark, sf), 100)
+
+
+_REFRESH_STEPS = (
+    "with recursive {ticks}, g as (select asset, t, row_number() over (order by t, seq) as n from ticks), "
+    "nxt as (select n, t, {cols} from g), "
+    "jump as (select n, greatest({names}) as nr from nxt where {all}), "
+    "walk(k, n) as (select 0, nr from jump where n = 1 union all select walk.k + 1, jump.nr from walk join jump on jump.n = walk.n + 1), "
+    "refresh as (select walk.k, g.t from walk join g on g.n = walk.n)"
+)
+REFRESH = _REFRESH_STEPS.format(
+    ticks=TICKS,
+    cols=", ".join(f"min(case when asset = '{a}' then n end) over (order by n rows between current row and unbounded following) as m{i}" for i, a in enumerate(ASSETS)),
+    names=", ".join(f"m{i}" for i in range(5)),
+    all=" and ".join(f"m{i} is not null" for i in range(5)),
+)
+
+
+@query("refresh_times", REFRESH + " select k, t from refresh")
+def _(spark, sf):
+    return sampling.refresh_times(types(spark, sf))
+
+
+@query(
+    "refresh_times_of_pairs",
+    f"with recursive {TICKS}, pr as (select p.asset as a, q.asset as b from (select distinct asset from ticks) p join (select distinct asset from ticks) q on p.asset < q.asset), "
+    "g as (select a, b, asset, t, row_number() over (partition by a, b order by t, seq) as n from pr join ticks on asset = a or asset = b), "
+    "nx as (select a, b, n, min(case when asset = a then n end) over w as m0, min(case when asset = b then n end) over w as m1 from g window w as (partition by a, b order by n rows between current row and unbounded following)), "
+    "jump as (select a, b, n, greatest(m0, m1) as nr from nx where m0 is not null and m1 is not null), "
+    "walk(a, b, k, n) as (select a, b, 0, nr from jump where n = 1 union all select jump.a, jump.b, walk.k + 1, jump.nr from walk join jump on jump.a = walk.a and jump.b = walk.b and jump.n = walk.n + 1) "
+    "select walk.a, walk.b, walk.k, g.t from walk join g on g.a = walk.a and g.b = walk.b and g.n = walk.n",
+)
+def _(spark, sf):
+    return sampling.refresh_times_of_pairs(types(spark, sf), [(a, b) for i, a in enumerate(ASSETS) for b in ASSETS[i + 1 :]])
+
+
+# --- volatility -------------------------------------------------------------
+
+
+@query("volatility_of_returns", f"with {SAMPLED} select asset, {r('sqrt(avg(r * r))', 'volatility')} from ret group by asset")
+def _(spark, sf):
+    ticks = types(spark, sf)
+    return rounded(V.volatility_of_returns(sampling.returns(sampling.latest_value(ticks, hourly(ticks)))))
+
+
+@query("simple_volatility", f"with {SAMPLED}, st as (select asset, (max(t) - min(t)) / (count(*) - 1) as step from sampled group by asset) select asset, {r('sqrt(avg(r * r)) / sqrt(max(step))', 'volatility', 9)} from ret join st using (asset) group by asset")
+def _(spark, sf):
+    return rounded(V.simple_volatility(types(spark, sf), spacing=HOUR), 9)
+
+
+@query("change_volatility", f"with {RETURNS}, x as (select asset, max(t) - min(t) as span from ticks group by asset) select asset, {r('sqrt(sum(r * r) / max(span))', 'volatility', 9)} from d join x using (asset) group by asset")
+def _(spark, sf):
+    return rounded(V.change_volatility(types(spark, sf)), 9)
+
+
+def two_scales_sql(source: str, keys: str, grids: str) -> str:
+    """CTEs pure(keys, v, noise) from a ranked source(keys, rn, t, value)."""
+    return (
+        f"sz as (select {keys}, count(*) as n, max(t) - min(t) as span, least(cast(floor(count(*) / 4) as bigint), greatest(2, {grids})) as grids from {source} group by {keys}), "
+        f"sub as (select {keys}, value, t, rn, n, span, grids, (rn - 1) % grids as s from {source} join sz using ({keys})), "
+        f"dd as (select *, value - lag(value) over (partition by {keys}, s order by rn) as ds, value - lag(value) over (partition by {keys} order by rn) as df from sub), "
+        f"vs as (select {keys}, avg(v) as sparse from (select {keys}, s, sqrt(sum(ds * ds) / (max(t) - min(t))) as v from dd group by {keys}, s) group by {keys}), "
+        f"vf as (select {keys}, sqrt(sum(df * df) / (max(t) - min(t))) as full_v from dd group by {keys}), "
+        f"pure as (select {keys}, (sparse - full_v / grids) / (1 - 1.0 / grids) as v, full_v, n, span from vs join vf using ({keys}) join sz using ({keys})), "
+        f"est as (select {keys}, v as volatility, (full_v * full_v - v * v) * span / (2 * n) as noise from pure)"
+    )
+
+
+_DEFAULT_GRIDS = "(select cast(greatest(floor(min(c) / 100.0), 3) as bigint) from (select count(*) as c from ticks group by asset))"
+TWO_SCALES = f"{RANKED}, {two_scales_sql('ranked', 'asset', _DEFAULT_GRIDS)}"
+
+
+@query("two_scales_volatility", f"with {TWO_SCALES} select asset, {r('volatility', 'volatility', 9)} from est")
+def _(spark, sf):
+    return rounded(estimate.estimate_volatility(types(spark, sf)), 9)
+
+
+@query("microstructure_noise", f"with {TWO_SCALES} select asset, {r('greatest(0.0, noise)', 'noise')} from est")
+def _(spark, sf):
+    return rounded(estimate.estimate_microstructure_noise(types(spark, sf)))
+
+
+@query("default_spacing", f"with {RANKED}, {two_scales_sql('ranked', 'asset', '5')}, tt as (select max(t) - min(t) as span_all from ticks) select asset, {r('case when noise < 1e-7 then 20.0 else ((span_all / (4 * noise * noise)) * span_all * volatility ** 4) ** (1.0 / 3.0) end', 'spacing', 4)} from est, tt")
+def _(spark, sf):
+    return rounded(V.default_spacing(types(spark, sf)), 4)
+
+
+# --- covariance -------------------------------------------------------------
+
+
+@query("grid_covariance", f"with {SAMPLED} select a, b, {r('cov', 'cov')} from cov")
+def _(spark, sf):
+    ticks = types(spark, sf)
+    return rounded(C.grid_covariance(ticks, hourly(ticks), ASSETS))
+
+
+_COR = "sd as (select a as asset, sqrt(cov) as s from cov where a = b), cor as (select cov.a, cov.b, case when cov.a = cov.b then 1.0 else cov / (x.s * y.s) end as cor from cov join sd x on cov.a = x.asset join sd y on cov.b = y.asset)"
+
+
+@query("grid_correlation", f"with {SAMPLED}, {_COR} select a, b, {r('cor', 'cor', 9)} from cor")
+def _(spark, sf):
+    ticks = types(spark, sf)
+    return rounded(matrices.correlations_of(C.grid_covariance(ticks, hourly(ticks), ASSETS)), 9)
+
+
+@query("covariance_to_volatility", f"with {SAMPLED} select a as asset, {r('sqrt(cov) / sqrt(3600.0)', 'volatility', 9)} from cov where a = b")
+def _(spark, sf):
+    ticks = types(spark, sf)
+    return rounded(matrices.volatilities_of(C.grid_covariance(ticks, hourly(ticks), ASSETS), HOUR), 9)
+
+
+@query("covariance_in_period", f"with {SAMPLED}, {_COR} select c.a, c.b, {r('c.cor * x.s * y.s / 60.0', 'cov')} from cor c join sd x on c.a = x.asset join sd y on c.b = y.asset")
+def _(spark, sf):
+    ticks = types(spark, sf)
+    cov = C.grid_covariance(ticks, hourly(ticks), ASSETS).cache()
+    return rounded(matrices.covariances_of(matrices.correlations_of(cov), matrices.volatilities_of(cov, HOUR), 60.0))
+
+
+_REF_RET = (
+    REFRESH + ", rfirst as (select asset, arg_min(value, (t, seq)) as v0 from ticks group by asset), rs as (select f.asset, g.k, g.t, coalesce(x.value, f.v0) as value from refresh g cross join rfirst f asof left join ticks x on f.asset = x.asset and g.t >= x.t), "
+    "rr as (select * from (select asset, k, value - lag(value) over (partition by asset order by k) as r from rs) where r is not null)"
+)
+
+
+def _refresh_returns(ticks: T.Ticks) -> DataFrame:
+    return sampling.returns(sampling.latest_value(ticks, sampling.refresh_times(ticks, ASSETS), ASSETS))
+
+
+@query("refresh_covariance", _REF_RET + f" select p.asset as a, q.asset as b, {r('covar_samp(p.r, q.r)', 'cov')} from rr p join rr q on p.k = q.k and p.asset <= q.asset group by 1, 2")
+def _(spark, sf):
+    return rounded(C.covariance_of_returns(_refresh_returns(types(spark, sf))))
+
+
+@query("realised_autocovariance", _REF_RET + f" select p.asset as a, q.asset as b, {r('sum(p.r * q.r)', 'cov', 4)} from rr p join rr q on p.k = q.k + 3 group by 1, 2")
+def _(spark, sf):
+    return rounded(C.realised_autocovariance(_refresh_returns(types(spark, sf)), 3), 4)
+
+
+@query(
+    "preaveraged_end_returns",
+    _REF_RET + ", nn as (select count(distinct k) as n from rr), e as (select asset, k as i, n, r from rr, nn) "
+    f"select asset, cast(case when i <= 2 then 1 when i > n - 2 then n - 2 else i - 1 end as bigint) as k, {r('sum(case when i <= 2 then -r * i / 2.0 when i > n - 2 then r * (i - n + 2) / 2.0 else r end)', 'r')} from e group by 1, 2",
+)
+def _(spark, sf):
+    return rounded(C.end_averaged_returns(_refresh_returns(types(spark, sf)), 2))
+
+
+_H = 40.0
+
+
+@query(
+    "realised_kernel",
+    _REF_RET + ", w as (select p.asset as a, q.asset as b, p.k - q.k as h, sum(p.r * q.r) as g from rr p join rr q on p.k - q.k between -40 and 40 where p.asset <= q.asset group by 1, 2, 3), "
+    "wk as (select *, abs(h) / 40.0 as x from w) "
+    f"select a, b, {r('sum(g * case when x < 0.5 then 1 - 6 * x * x + 6 * x * x * x when x < 1 then 2 * (1 - x) * (1 - x) else 0 end)', 'cov', 4)} from wk group by 1, 2",
+)
+def _(spark, sf):
+    ticks = types(spark, sf)
+    return rounded(C.bnhls(ticks, ASSETS, PARZEN, _H), 4)
+
+
+_X = "(select unnest(range(1, 41)) / 10.0 as x)"
+_KERNEL_SQL = {
+    "parzen": "case when x < 0.5 then 1 - 6 * x * x + 6 * x * x * x when x < 1 then 2 * (1 - x) * (1 - x) else 0 end",
+    "quadratic_spectral": "3 / (x * x) * (sin(x) / x - cos(x))",
+    "fejer": "(sin(x) / x) * (sin(x) / x)",
+    "tukey_hanning": "sin(pi() / 2 * exp(-x)) * sin(pi() / 2 * exp(-x))",
+    "bnhls_2008": "(1 + x) * exp(-x)",
+}
+
+
+@query("kernels", f"select {r('x', 'x', 2)}, " + ", ".join(r(e, n, 9) for n, e in _KERNEL_SQL.items()) + f" from {_X}")
+def _(spark, sf):
+    x = spark.range(1, 41).select((F.col("id") / 10.0).alias("x"))
+    return rounded(x.select(F.round("x", 2).alias("x"), *[k.column(F.col("x")).alias(n) for n, k in KERNELS.items()]), 9)
+
+
+@query("orthogonal_sine", f"with {TICKS} select seq, {r('case when t > 86400.0 * floor(t / 86400.0) then sqrt(2 * 86400.0) / (3 * pi()) * sin(3 * pi() * (t - 86400.0 * floor(t / 86400.0)) / 86400.0) else 0 end', 's')} from ticks")
+def _(spark, sf):
+    df = types(spark, sf).df
+    return rounded(df.select("seq", C.orthogonal_sine(F.col("t"), F.lit(3), F.floor(F.col("t") / 86_400.0), 86_400.0).alias("s")))
+
+
+_SPECTRAL = (
+    f"with {RETURNS}, bw as (select max(t) / 10 as w from ticks), "
+    "q as (select asset, r, t - p_t as gap, p_t + 0.5 * (t - p_t) as c, cast(least(9, floor(t / w)) as int) as block, w from d, bw), "
+    "s as (select block, asset, j, sum((pi() * j / w) * r * case when c > block * w then sqrt(2 * w) / (j * pi()) * sin(j * pi() * (c - block * w) / w) else 0 end) as s from q cross join (select unnest(range(1, 21)) as j) group by 1, 2, 3), "
+    "h as (select block, asset, sum(gap * gap) * 2.5 / max(w) as h from q group by 1, 2) "
+)
+
+
+@query(
+    "spectral_blocks",
+    _SPECTRAL + f"select p.block, p.asset as a, q.asset as b, {r('sum(p.s * q.s) / 20 - case when p.asset = q.asset then max(h.h) * (select (pi() / w) ** 2 from bw) * (select sum(j * j) from range(1, 21) x(j)) / 20.0 else 0 end', 'cov', 9)} "
+    "from s p join s q on p.block = q.block and p.j = q.j and p.asset <= q.asset join h on h.block = p.block and h.asset = p.asset group by 1, 2, 3",
+)
+def _(spark, sf):
+    ticks = types(spark, sf)
+    noise = spark.createDataFrame([(a, 2.5) for a in ASSETS], "asset string, noise double")
+    return rounded(C.spectral_blocks(ticks, ASSETS, num_j=20, noise=noise), 9)
+
+
+_K = 12
+_WEIGHTS = ", ".join(repr(w) for w in TRIANGLE.weights(_K))
+_PRE = (
+    f"with {RETURNS}, di as (select asset, t, r, row_number() over (partition by asset order by t, seq) as i, count(*) over (partition by asset) as n from d), "
+    f"ya as (select asset, i, t, n, case when i <= n - {_K} + 1 then list_sum(list_transform(list_zip(list(r) over (partition by asset order by i rows between current row and {_K - 2} following), [{_WEIGHTS}]), lambda z: coalesce(z[1] * z[2], 0))) end as y from di)"
+)
+
+
+@query("preaveraged_returns", _PRE + f" select asset, i, t, {r('y', 'y')} from ya")
+def _(spark, sf):
+    return rounded(C.preaveraged_returns(types(spark, sf), _K).drop("d")).withColumn("i", F.col("i").cast("long"))
+
+
+@query(
+    "own_overlap_sum",
+    _PRE + f", m as (select *, count(*) over (partition by asset) as len, sum(y) over (partition by asset order by i rows between {_K - 1} preceding and {_K - 1} following) as s from ya where y is not null) "
+    f"select asset as a, asset as b, {r(f'sum(y * s) / (0.25 * {_K}) ** 2', 'cov', 4)} from m where i >= {_K} and i <= len - {2 * _K} + 1 group by asset",
+)
+def _(spark, sf):
+    return rounded(C.own_overlap_sum(C.preaveraged_returns(types(spark, sf), _K), _K, 0.25), 4)
+
+
+@query(
+    "overlap_sums",
+    _PRE + f", aa as (select *, lead(t, {_K}) over (order by i) as te, n - {_K} + 1 as len from ya where asset = 'click'), bb as (select *, n - {_K} + 1 as len from ya where asset = 'view'), "
+    f"sp as (select aa.i, aa.y, greatest(1, (select count(*) from bb where bb.t < aa.t) + 1 - {_K}) as lo, least((select max(len) from bb), (select count(*) from bb where bb.t <= aa.te)) as hi from aa where aa.i <= aa.len - {_K} + 2) "
+    f"select 'click' as a, 'view' as b, {r(f'sum(sp.y * bb.y) / (0.25 * {_K}) ** 2', 'cov', 4)} from sp join bb on bb.i between sp.lo and sp.hi",
+)
+def _(spark, sf):
+    return rounded(C.overlap_sums(C.preaveraged_returns(types(spark, sf), _K).cache(), [("click", "view")], _K, 0.25), 4)
+
+
+@query("preaveraged_raw")
+def _(spark, sf):
+    return rounded(C.preaveraged(types(spark, sf), ASSETS), 4)
+
+
+@query("two_scales_correlations")
+def _(spark, sf):
+    return rounded(C.two_scales_correlations(types(spark, sf), ASSETS))
+
+
+# --- estimated matrices as long tables --------------------------------------
+
+
+def _long(name: str, method: str, **given):
+    @query(name)
+    def _(spark, sf):
+        cm = estimate.estimate_covariance(types(spark, sf), ASSETS, method, **given)
+        return rounded(cm.to_frame(spark), 9)
+
+
+_long("estimate_simple", "simple_covariance", spacing=HOUR)
+_long("estimate_bnhls", "bnhls_covariance")
+_long("estimate_spectral", "spectral_covariance", num_j=20)
+_long("estimate_preaveraged", "preaveraged_covariance")
+_long("estimate_two_scales", "two_scales_covariance")
+
+
+@query("blockwise_estimation")
+def _(spark, sf):
+    ticks = types(spark, sf)
+    blocks = estimate.blocks_by_frequency(ticks, 0.005, "simple_covariance", {"spacing": HOUR})
+    return rounded(estimate.blockwise_estimation(ticks, blocks).to_frame(spark), 9)
+
+
+@query("blocking_plan")
+def _(spark, sf):
+    blocks = estimate.blocks_by_frequency(T.event_ticks(spark, sf, "user_id"), 0.1)
+    rows = [(i, sorted(b.assets), b.method, b.number_of_assets, b.mean_number_of_ticks, b.mean_time_per_tick) for i, b in enumerate(blocks)]
+    return spark.createDataFrame(rows, "ord int, assets array<string>, method string, number_of_assets int, mean_number_of_ticks double, mean_time_per_tick double")
+
+
+# --- matrices ---------------------------------------------------------------
+
+
+def _cor(spark, sf) -> DataFrame:
+    ticks = types(spark, sf)
+    return C.grid_covariance(ticks, hourly(ticks), ASSETS)
+
+
+@query("shrink_to_identity", f"with {SAMPLED} select a, b, {r('0.3 * case when a = b then 1.0 else 0.0 end + 0.7 * cov', 'cov')} from cov")
+def _(spark, sf):
+    return rounded(matrices.shrunk(_cor(spark, sf), 0.3))
+
+
+@query("squared_frobenius", f"with {SAMPLED} select {r('sum(cov * cov * case when a = b then 1 else 2 end) / 5', 'norm', 2)} from cov")
+def _(spark, sf):
+    both = matrices.both_triangles(_cor(spark, sf))
+    return rounded(both.agg((F.sum(F.col("cov") * F.col("cov")) / len(ASSETS)).alias("norm")), 2)
+
+
+_LONG_SQL = f"with {SAMPLED}, {_COR}, lf as (select a as asset1, b as asset2, cor as value, 'correlation' as variable from cor where a < b union all select a, a, sqrt(cov) / 60.0, 'volatility' from cov where a = b)"
+
+
+@query("covariance_long_form", _LONG_SQL + f" select asset1, asset2, {r('value', 'value', 9)}, variable, case when variable = 'volatility' then 'Second' end as vol_period_units, case when variable = 'volatility' then 1::bigint end as vol_period from lf")
+def _(spark, sf):
+    ticks = types(spark, sf)
+    cm = estimate.simple_covariance(ticks, ASSETS, spacing=HOUR, regularisation=None)
+    return rounded(cm.to_frame(spark), 9)
+
+
+@query("covariance_round_trip", _LONG_SQL + f" select asset1, asset2, {r('value', 'value', 9)}, variable from lf")
+def _(spark, sf):
+    cm = estimate.simple_covariance(types(spark, sf), ASSETS, spacing=HOUR, regularisation=None)
+    again = matrices.matrix_from_frame(cm.to_frame(spark).orderBy(F.rand(3)))
+    return rounded(again.rearrange(ASSETS).to_frame(spark).select("asset1", "asset2", "value", "variable"), 9)
+
+
+@query("rearranged", _LONG_SQL + f" select asset1, asset2, {r('value * case when variable = $$volatility$$ then sqrt(60.0) else 1 end', 'value', 9)}, variable from lf where asset1 in ('click', 'view') and asset2 in ('click', 'view')")
+def _(spark, sf):
+    cm = estimate.simple_covariance(types(spark, sf), ASSETS, spacing=HOUR, regularisation=None)
+    return rounded(cm.rearrange(["click", "view"], Period("Minute")).to_frame(spark).select("asset1", "asset2", "value", "variable"), 9)
+
+
+@query("relabelled", _LONG_SQL + f" select replace(asset1, 'view', 'visit') as asset1, replace(asset2, 'view', 'visit') as asset2, {r('value', 'value', 9)}, variable from lf")
+def _(spark, sf):
+    cm = estimate.simple_covariance(types(spark, sf), ASSETS, spacing=HOUR, regularisation=None)
+    return rounded(cm.relabel({"view": "visit"}).to_frame(spark).select("asset1", "asset2", "value", "variable"), 9)
+
+
+def _half(sql_filter: str, tag: str) -> str:
+    return (
+        f"{tag}r as (select * from ret where {sql_filter}), {tag} as (select p.asset as asset1, q.asset as asset2, 'covariance' as variable, covar_samp(p.r, q.r) as value from {tag}r p join {tag}r q on p.k = q.k and p.asset <= q.asset group by 1, 2)"
+    )
+
+
+@query("combined_matrices", f"with {SAMPLED}, {_half('k <= 300', 'h1')}, {_half('k > 300', 'h2')} select asset1, asset2, variable, {r('(h1.value * 1.0 + h2.value * 3.0) / 4.0', 'value')} from h1 join h2 using (asset1, asset2, variable)")
+def _(spark, sf):
+    ticks = types(spark, sf)
+    ret = sampling.returns(sampling.latest_value(ticks, hourly(ticks))).cache()
+    halves = None
+    for part, weight in ((ret.where("k <= 300"), 1.0), (ret.where("k > 300"), 3.0)):
+        one = C.covariance_of_returns(part).select(F.col("a").alias("asset1"), F.col("b").alias("asset2"), F.lit("covariance").alias("variable"), F.col("cov").alias("value"), F.lit(weight).alias("weight"))
+        halves = one if halves is None else halves.unionByName(one)
+    return rounded(matrices.combine_long(halves))
+
+
+@query("matrix_distance")
+def _(spark, sf):
+    ticks = types(spark, sf)
+    x = estimate.simple_covariance(ticks, ASSETS, spacing=HOUR)
+    y = estimate.simple_covariance(ticks, ASSETS, spacing=2 * HOUR)
+    cor, vol = matrices.mean_abs_distance(x, y)
+    return spark.createDataFrame([(cor, vol, matrices.mean_abs_covariance_distance(x, y))], "correlation double, volatility double, covariance double")
+
+
+_BAD = np.array([[1.02, 0.5, 0.9], [0.5, 0.98, 0.9], [0.9, 0.9, 1.01]])
+
+
+@query("regularised_matrices")
+def _(spark, sf):
+    made = {
+        "nearest_correlation": linalg.nearest_correlation(_BAD)[0],
+        "nearest_psd": linalg.nearest_psd(_BAD),
+        "eigenvalue_clean": linalg.eigenvalue_clean_for(_BAD, 50.0),
+        "identity": linalg.shrink_to_identity(_BAD, 0.5),
+    }
+    return rounded(spark.createDataFrame([(n, i, j, float(m[i, j])) for n, m in made.items() for i in range(3) for j in range(3)], "method string, i int, j int, value double"), 9)
+
+
+@query("regularised_from_ticks")
+def _(spark, sf):
+    ticks = types(spark, sf)
+    cm = estimate.simple_covariance(ticks, ASSETS, spacing=HOUR)
+    out = None
+    for method in ("identity_regularisation", "eigenvalue_clean", "nearest_psd_matrix", "nearest_correlation_matrix"):
+        one = estimate.regularise(cm, ticks, method).to_frame(spark, {"method": method})
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, 9)
+
+
+_TRUTH = np.array([[1, 0.75, 0.5, 0], [0.75, 1, 0.5, 0.25], [0.5, 0.5, 1, 0.25], [0, 0.25, 0.25, 1]])
+_MODEL = matrices.CovarianceModel(matrices.CovarianceMatrix(_TRUTH, [0.02, 0.03, 0.04, 0.05], ("BARC", "HSBC", "VODL", "RYAL"), Period("Day")), np.zeros(4), np.zeros(4))
+
+
+@query("conditional_distribution")
+def _(spark, sf):
+    return rounded(_MODEL.conditional(["VODL", "HSBC", "RYAL"], [0.004, 0.002, 0.001], Period("Day")).to_frame(spark), 12)
+
+
+@query("conditional_means", f"with {TICKS} select seq, {r('value * 0.01 * 0.75 * 0.02 / 0.03', 'BARC_mean', 9)} from ticks")
+def _(spark, sf):
+    pair = matrices.CovarianceModel(_MODEL.cm.rearrange(["BARC", "HSBC"]), np.zeros(2), np.zeros(2))
+    rows = types(spark, sf).df.select("seq", (F.col("value") * 0.01).alias("HSBC"))
+    return rounded(pair.conditional_means(rows, ["HSBC"], Period("Day")).select("seq", "BARC_mean"), 9)
+
+
+@query("draws")
+def _(spark, sf):
+    return simulation.get_draws(spark, _MODEL, 10_000, antithetic=True)
+
+
+@query("random_path")
+def _(spark, sf):
+    return simulation.random_path(spark, 4, 2_000, seed=2, correlation=_TRUTH, vols=[0.02, 0.03, 0.04, 0.05]).ticks.df
+
+
+@query("cluster_order")
+def _(spark, sf):
+    cm = estimate.simple_covariance(types(spark, sf), ASSETS, spacing=HOUR)
+    tree = clustering.cluster(cm.correlation)
+    return spark.createDataFrame([(i, cm.labels[k]) for i, k in enumerate(tree.order)], "place int, asset string")
+
+
+@query("heatmap", f"with {SAMPLED}, {_COR} select a, b, {r('cor', 'cor', 9)}, cast(cast(floor(round_even(cor, 2) * 100) as bigint) as varchar) || '%' as label from cor")
+def _(spark, sf):
+    return rounded(clustering.heatmap_rows(matrices.correlations_of(_cor(spark, sf))), 9)
+
+
+@query("tick_lines", f"with {TICKS}, e as (select min(t) as lo, (max(t) - min(t)) / 200 as w from ticks) select asset, cast(floor((t - lo) / w) as bigint) as bin, min(t) as t, {r('avg(value)', 'value')} from ticks, e group by 1, 2")
+def _(spark, sf):
+    return rounded(clustering.tick_lines(types(spark, sf), 200))
