@@ -6,6 +6,7 @@ missing (unit tests, a laptop) a temporary folder of this process is set.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,12 @@ def materialise(df: DataFrame, name: str, *, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of plans that are done and no longer referenced."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_tables(*tables: DataFrame | None) -> None:
     """Delete tables that ``materialise`` wrote and nobody reads any more."""
     for table in tables:
