@@ -38,6 +38,8 @@ FILTERS = 8
 #: Labelled rows that the network is fit on at most, and windows taken from each.
 SAMPLE = 6_000
 MAX_WINDOWS = 4
+#: Training steps at least, for small samples.
+LEAST_STEPS = 300
 #: Windows that are scored in one step.
 STEP = 2_048
 _LETTER = regex.compile(r"\p{L}")
@@ -102,9 +104,9 @@ def fit(texts: list[bytes], languages: list[str], *, epochs: int = 6, batch: int
     width_of = {w: rng.normal(0, 0.3, (w, 256, FILTERS)) for w in WIDTHS}
     params = [*(width_of[w] for w in WIDTHS), np.zeros(len(WIDTHS) * FILTERS), rng.normal(0, 0.2, (len(WIDTHS) * FILTERS, len(names))), np.zeros(len(names))]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    step = 0
-    for _ in range(epochs):
-        for rows in np.array_split(rng.permutation(len(x)), max(1, len(x) // batch)):
+    step, per_epoch = 0, max(1, len(x) // batch)
+    for _ in range(max(epochs, -(-LEAST_STEPS // per_epoch))):
+        for rows in np.array_split(rng.permutation(len(x)), per_epoch):
             net = Network(names, dict(zip(WIDTHS, params[:3], strict=True)), params[3], params[4], params[5])
             wide = x[rows].astype(np.int64)
             best, hidden = [], []

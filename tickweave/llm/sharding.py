@@ -59,11 +59,10 @@ class SlotMap:
             held[k].append(s)
         loose = [s for s in weight if s not in owner]
         for k, slots in held.items():
-            for s in sorted(slots, key=lambda s: (weight.get(s, 0), s)):
-                if load[k] - weight.get(s, 0) < fair:
-                    break
-                load[k] -= weight.get(s, 0)
-                loose.append(s)
+            for s in sorted(slots, key=lambda s: (-weight.get(s, 0), s)):
+                if load[k] > fair and load[k] - weight.get(s, 0) >= fair:
+                    load[k] -= weight.get(s, 0)
+                    loose.append(s)
         heap = [(v, k) for k, v in load.items()]
         heapq.heapify(heap)
         for s in sorted(loose, key=lambda s: (-weight.get(s, 0), s)):
