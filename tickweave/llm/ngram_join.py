@@ -15,11 +15,15 @@ sketch and then verified on the exact sets.
   most e such cells leaves them out (it still agrees with each partner in a
   cell with tokens); one with more keeps them, so nothing is lost.
 * Equal sets are one class; only its smallest id takes part in the join.
+* Linked documents agree in all but k of their cells, so they agree in one of
+  the k + 1 rarest of each (prefix filter); the other cells are left out, and
+  with them most of those that a large family of rather similar texts shares.
 * Documents of a cell are not paired with each other but with the cell's
   smallest id.  After verification, components are formed; cells whose
-  documents are all in one component are done, and of the others only pairs of
-  different components are verified.  Components are therefore exact, while
-  the pairs of a large group of near copies are never listed.
+  documents are all in one component are done.  In the others the bit sketches
+  of documents of different components are compared, in blocks of bounded
+  size, and only pairs close enough to be linked leave the task.  Components
+  are therefore exact, and pairs of a large group are never listed.
 
 Defined results: a null or blank text has no shingles and is linked with
 nothing; a text with fewer than n words is one shingle; rows repeated with one
@@ -34,16 +38,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickweave.llm import arrowtext as A
 from tickweave.llm.components import components
-from tickweave.workspace import materialise
+from tickweave.workspace import drop_tables, materialise, release
 
 #: Ids up to this many (8 bytes each) are broadcast to filter rows in place; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 BITS = 1024
+#: Documents of a cell that are compared with each other in one task.
+BLOCK = 1024
 
 _U = np.uint64
 
@@ -72,9 +78,12 @@ class Similarity:
         return [(band, k) for band, k in found if k > 0]
 
 
-def cell_keys(tokens: np.ndarray, sim: Similarity) -> np.ndarray:
-    """Join keys of a set: one per band and cell, empty cells left out where that is safe."""
-    keys = []
+def cell_keys(tokens: np.ndarray, sim: Similarity) -> list[tuple[np.ndarray, int]]:
+    """For each band of a set: join keys, one per cell, and how many of the rarest a link must touch.
+
+    Empty cells are left out where that is safe.
+    """
+    found = []
     for band, k in sim.bands(len(tokens)):
         spare = 3 + k // 16
         cells = k + 1 + spare
@@ -88,8 +97,9 @@ def cell_keys(tokens: np.ndarray, sim: Similarity) -> np.ndarray:
         if cells - len(used) > spare:
             empty = np.setdiff1d(np.arange(cells, dtype=np.uint64), used)
             used, value = np.concatenate((used, empty)), np.concatenate((value, np.zeros(len(empty), np.uint64)))
-        keys.append(A.mix(value ^ A.mix(used + seed)))
-    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        largest = len(tokens) * sim.den // sim.num  # size of a linked set
+        found.append((A.mix(value ^ A.mix(used + seed)), min(k, sim.slack(len(tokens) + largest)) + 1))
+    return found
 
 
 def parity_bits(tokens: np.ndarray) -> np.ndarray:
@@ -108,29 +118,32 @@ def shingles(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
 
 
 def sketch(docs: DataFrame, sim: Similarity) -> DataFrame:
-    """doc_id, n_shingles, print (of the set), keys and bits of every document."""
+    """doc_id, n_shingles, print (of the set), keys and spare cells per band, and bits of every document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, prints, keys, bits = [], [], [], []
+            sizes, prints, keys, spare, bits = [], [], [], [], []
             for tokens in shingles(batch, sim.n):
                 sizes.append(len(tokens))
                 prints.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
-                keys.append(cell_keys(tokens, sim))
+                found = cell_keys(tokens, sim)
+                keys.append([k for k, _ in found])
+                spare.append([limit - len(k) for k, limit in found])
                 bits.append(parity_bits(tokens))
-            ends = np.cumsum([0] + [len(k) for k in keys])
-            flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
+            flat = [k for row in keys for k in row]
+            inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(k) for k in flat]), pa.int32()), pa.array(np.concatenate([*flat, np.zeros(0, np.uint64)]).view(np.int64)))
             words = np.concatenate([*bits, np.zeros(0, np.int64)])
             columns = [
                 batch.column(0),
                 pa.array(sizes, pa.int64()),
                 pa.array(prints, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
+                pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(row) for row in keys]), pa.int32()), inner),
+                pa.array(spare, pa.list_(pa.int32())),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1) * (BITS // 64), pa.int32()), pa.array(words)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "print", "keys", "bits"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "print", "keys", "spare", "bits"])
 
-    columns = "doc_id long, n_shingles long, print binary, keys array<bigint>, bits array<bigint>"
+    columns = "doc_id long, n_shingles long, print binary, keys array<array<bigint>>, spare array<int>, bits array<bigint>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, columns)
 
 
@@ -178,34 +191,103 @@ def close(pairs: DataFrame, sketches: DataFrame, sim: Similarity) -> DataFrame:
     return both.where(sizes & (distance <= F.floor((F.col("na") + F.col("nb")) * (sim.den - sim.num) / (sim.den + sim.num)))).select("a", "b")
 
 
+def rarest(crowd: DataFrame, slim: DataFrame) -> DataFrame:
+    """The rows of (key, n, id, which) that are among their document's k + 1 rarest cells of a band.
+
+    Cells of one document only are not in ``crowd``; they come first in the
+    order and are counted by what is missing from the document's cells.
+    """
+    own = Window.partitionBy("id", "which")
+    ranked = crowd.join(slim.select(F.col("doc_id").alias("id"), "spare"), "id")
+    ranked = ranked.withColumn("place", F.row_number().over(own.orderBy("n", "key"))).withColumn("many", F.count("*").over(own))
+    return ranked.where(F.col("place") <= F.get("spare", F.col("which")) + F.col("many")).select("key", "id")
+
+
+def close_across(inside: DataFrame, slim: DataFrame, sim: Similarity) -> DataFrame:
+    """Pairs (a, b) of one cell but different components whose sizes and bits allow a link.
+
+    A cell of many documents is cut into blocks; two blocks meet in one task,
+    which compares bit sketches as arrays and returns only close pairs.
+    """
+    sizes = materialise(inside.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    rows = inside.join(sizes, "key").join(slim.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bits"), "id")
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "c", "n", "bits")
+    many = int(inside.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = rows.repartition(many, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def compare(group: list) -> tuple[list, list]:
+        ids, comp, n, own = (np.array(x) for x in list(zip(*group, strict=True))[:4])
+        bits = np.array([g[4] for g in group], np.int64).view(np.uint64)
+        left, right = [], []
+        for at in range(0, len(ids), 64):
+            part = slice(at, at + 64)
+            total = n[part, None] + n[None, :]
+            ok = (comp[part, None] != comp[None, :]) & (ids[part, None] < ids[None, :])
+            ok &= np.minimum(n[part, None], n[None, :]) * sim.den >= np.maximum(n[part, None], n[None, :]) * sim.num
+            if own.min() != own.max():
+                ok &= own[part, None] != own[None, :]
+            if ok.any():
+                i, j = np.nonzero(ok)
+                distance = np.bitwise_count(bits[part][i] ^ bits[j]).sum(axis=1)
+                near = distance * (sim.den + sim.num) <= total[i, j] * (sim.den - sim.num)
+                left += ids[part][i[near]].tolist()
+                right += ids[j[near]].tolist()
+        return left, right
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def answer(group: list) -> pa.RecordBatch:
+            left, right = compare(group)
+            return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+        current, group = None, []
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("key", "lo", "hi", "id", "c", "n", "own", "bits"))
+            for key, lo, hi, *row in zip(*columns, strict=True):
+                if (key, lo, hi) != current:
+                    if len(group) > 1:
+                        yield answer(group)
+                    current, group = (key, lo, hi), []
+                group.append(row)
+        if len(group) > 1:
+            yield answer(group)
+
+    return grouped.mapInArrow(work, "a long, b long").distinct()
+
+
 def ngram_components(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, component_id of every row; components of the links of ``sim``."""
     sketches = materialise(sketch(docs, sim), "sketches")
-    classes = sketches.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("rep"))
+    # Small tables are written before they are joined: with a plain exchange on both sides hot keys can be split.
+    classes = materialise(sketches.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("rep")), "classes")
     members = sketches.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
     members = materialise(members.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
 
     copies = members.where("doc_id <> rep").select("doc_id").distinct()
     heads_only = keep_ids(sketches, "doc_id", copies, "left_anti")
-    cells = heads_only.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
-    shared = cells.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head")).where("n > 1").select("key", "head")
-    crowd = materialise(cells.join(shared, "key").select("key", "id", "head").distinct(), "crowd")
-
-    slim = keep_ids(sketches.select("doc_id", "n_shingles", "bits"), "doc_id", crowd.select("id").distinct(), "left_semi").dropDuplicates(["doc_id"])
-    slim = materialise(slim, "slim")
-    stars = materialise(crowd.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    bands = heads_only.select(F.col("doc_id").alias("id"), F.posexplode("keys").alias("which", "band"))
+    cells = bands.select("id", "which", F.explode("band").alias("key"))
+    shared = materialise(cells.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    release(docs.sparkSession)  # the counts' shuffle is as large as the next one
+    crowd = materialise(cells.join(shared, "key").select("key", "n", "id", "which").distinct(), "crowd")
+    slim = keep_ids(sketches.select("doc_id", "n_shingles", "spare", "bits"), "doc_id", crowd.select("id").distinct(), "left_semi")
+    slim = materialise(slim.dropDuplicates(["doc_id"]), "slim")
+    drop_tables(sketches, shared)
+    release(docs.sparkSession)
+    crowd = materialise(rarest(crowd, slim), "rarest")
+    heads = materialise(crowd.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head")).where("n > 1").select("key", "head"), "heads")
+    crowd = materialise(crowd.join(heads, "key"), "crowd")
+
+    stars = crowd.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     links = verified(materialise(close(stars, slim, sim), "close"), docs, sim)
-    first = components(links)
+    found = components(links)
 
     # What the stars leave open: cells that hold more than one component.
-    placed = materialise(crowd.join(first, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c")), "placed")
+    placed = materialise(crowd.join(found, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c")), "placed")
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    inside = placed.join(mixed, "key")
-    x, y = inside.select("key", F.col("id").alias("a"), F.col("c").alias("ca")), inside.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-    rest = x.join(y, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = materialise(close(rest.join(stars, ["a", "b"], "left_anti"), slim, sim), "rest")
+    rest = materialise(close_across(placed.join(materialise(mixed, "mixed"), "key"), slim, sim), "rest")
     if not rest.isEmpty():
-        links = links.unionByName(verified(rest, docs, sim))
-        first = components(links)
-    final = members.join(first.withColumnRenamed("id", "rep"), "rep", "left")
+        found = components(links.unionByName(verified(rest, docs, sim)))
+    final = members.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     return final.select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
