@@ -68,6 +68,8 @@ class Similarity:
 
     def bands(self, size: int) -> list[tuple[int, int]]:
         """(band, largest difference of its pairs) of a set of this size."""
+        if size < 2:
+            return []  # linked with equal sets only
         j = size.bit_length() - 1
         low, high = 1 << j, 1 << (j + 1)
         found = [(2 * j, self.slack(2 * (high - 1)))]
