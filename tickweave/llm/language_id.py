@@ -10,8 +10,8 @@ two positions next to each other are one look-up in a table of byte pairs.
 Scoring therefore needs no matrix product over bytes.
 
 The network is fit on at most ``sample`` labelled rows (first in the order of a
-hash of their id) and at most MAX_WINDOWS windows of each.  Scoring reads whole
-texts, a bounded number of windows at a time.
+hash of their id) and at most MAX_WINDOWS windows of each, which are spread over
+the whole text.  Scoring reads whole texts, a bounded number of windows at a time.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
 a text shorter than a window is padded with spaces; repeated rows are predicted
@@ -88,17 +88,15 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
-def fit(texts: list[bytes], languages: list[str], *, epochs: int = 6, batch: int = 128, rate: float = 0.01, seed: int = 3) -> Network:
-    """Adam on the cross entropy of windows; gradients go to the position that won the pooling."""
+def fit(texts: list[list[bytes]], languages: list[str], *, epochs: int = 6, batch: int = 128, rate: float = 0.01, seed: int = 3) -> Network:
+    """Adam on the cross entropy of each text's windows; gradients go to the position that won the pooling."""
     names = tuple(sorted(set(languages)))
     rng = np.random.default_rng(seed)
     pieces, target = [], []
     for text, lang in zip(texts, languages, strict=True):
-        windows = cut(np.frombuffer(text, np.uint8))
-        if len(windows) > MAX_WINDOWS:
-            windows = windows[np.linspace(0, len(windows) - 1, MAX_WINDOWS).astype(int)]
-        pieces.append(windows)
-        target += [names.index(lang)] * len(windows)
+        data = b"".join(window.ljust(WINDOW + _PAD) for window in text)
+        pieces.append(A.LOWER[np.frombuffer(data, np.uint8)].reshape(len(text), WINDOW + _PAD))
+        target += [names.index(lang)] * len(text)
     x, y = np.concatenate(pieces), np.array(target)
     weight = (len(y) / len(names) / np.bincount(y, minlength=len(names)))[y]
     width_of = {w: rng.normal(0, 0.3, (w, 256, FILTERS)) for w in WIDTHS}
@@ -167,16 +165,25 @@ def held_out_language(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) == 1
 
 
+def spread_windows(text: Column) -> Column:
+    """At most MAX_WINDOWS windows at even steps from the first to the last of a text, each with _PAD bytes of the next."""
+    data = F.encode(text.cast("string"), "UTF-8")
+    last = F.ceil(F.greatest(F.octet_length(data), F.lit(1)) / WINDOW).cast("int") - 1
+    steps = F.least(last, F.lit(MAX_WINDOWS - 1))
+    at = F.transform(F.sequence(F.lit(0), steps), lambda i: F.floor(i * last / F.greatest(steps, F.lit(1))).cast("int"))
+    return F.transform(at, lambda w: F.substring(data, w * WINDOW + 1, F.lit(WINDOW + _PAD)))
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     """The network of at most ``sample`` labelled rows outside the held-out part."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(~held_out_language())
-    head = F.substring(F.encode(F.col("text").cast("string"), "UTF-8"), 1, 64 * WINDOW)  # of training rows only
+    windows = spread_windows(F.col("text")).alias("windows")
     first = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", F.lit(29)).alias("order")).orderBy("order", "doc_id").limit(sample).dropDuplicates(["doc_id"])
-    got = known.select(F.col("doc_id").cast("long").alias("doc_id"), head.alias("head"), F.col("lang").cast("string").alias("lang")).join(F.broadcast(first), "doc_id").dropDuplicates(["doc_id"]).toArrow()
+    got = known.select(F.col("doc_id").cast("long").alias("doc_id"), windows, F.col("lang").cast("string").alias("lang")).join(F.broadcast(first), "doc_id").dropDuplicates(["doc_id"]).toArrow()
     if not got.num_rows:
         return None
     order = np.argsort(np.asarray(got["doc_id"]), kind="stable")
-    return fit([got["head"][int(i)].as_py() for i in order], [got["lang"][int(i)].as_py() for i in order])
+    return fit([got["windows"][int(i)].as_py() for i in order], [got["lang"][int(i)].as_py() for i in order])
 
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
