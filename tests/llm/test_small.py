@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -376,6 +377,40 @@ def test_near_duplicates(spark, monkeypatch, n, num, block):
     assert got == brute_components(texts, n, num, 100)
 
 
+def test_kept_empty_cells_do_not_crowd_out_a_link(spark):
+    # x keeps its empty cells (more than may be left out), y does not: x has as many keys that y lacks as its rarest once were.
+    sim, spare = ngram_join.Similarity(5, 80, 100), 3
+    for seed in range(10_000):
+        rng = random.Random(seed)
+        words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(13)]
+        texts = [" ".join(words[:12]), " ".join(words)]
+        x, y = (A.shingle_set(A.hash_words(*A.text_buffers(pa.array([t])))[0], 5) for t in texts)
+        (kx, _), (ky, _) = ngram_join.cell_keys(x, sim)[0], ngram_join.cell_keys(y, sim)[0]
+        if len(kx) == 3 + 1 + spare and len(ky) < len(kx) and len(np.intersect1d(kx, ky)) == 3:
+            break
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs(spark, texts), sim).collect()}
+    assert got == brute_components(texts, 5, 80, 100) == {0: (8, 0), 1: (9, 0)}
+
+
+@pytest.mark.parametrize("num", [80, 85])
+def test_linked_sets_meet_in_their_rarest_cells(num):
+    sim, rng, seen = ngram_join.Similarity(num=num), np.random.default_rng(1), 0
+    for _ in range(8_000):
+        x = np.unique(rng.integers(0, 1 << 63, rng.integers(4, 120), np.uint64))
+        y = np.unique(np.concatenate((x, rng.integers(0, 1 << 63, rng.integers(1, len(x) // 5 + 2), np.uint64))))
+        if 100 * len(x) < num * len(y):
+            continue
+        seen += 1
+        met = False
+        for kx, lx in ngram_join.cell_keys(x, sim):
+            for ky, ly in ngram_join.cell_keys(y, sim):
+                shared = sorted(set(kx.tolist()) & set(ky.tolist()))  # all other cells are one document's
+                first = min(lx - len(kx), ly - len(ky)) + len(shared)
+                met |= first > 0 and bool(shared)
+        assert met
+    assert seen > 4_000
+
+
 def test_near_duplicates_empty(spark):
     assert ngram_join.ngram_components(docs(spark, [])).count() == 0
     assert {r.component_id for r in ngram_join.ngram_components(docs(spark, [None, "", " "])).collect()} == {0, 1, 2}

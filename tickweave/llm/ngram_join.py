@@ -13,11 +13,13 @@ sketch and then verified on the exact sets.
   band around it, so every pair that can be similar meets in one band.
 * A cell without tokens is the same for many documents.  A document with at
   most e such cells leaves them out (it still agrees with each partner in a
-  cell with tokens); one with more keeps them, so nothing is lost.
+  cell with tokens); one with more keeps them, so nothing is lost.  A partner
+  may lack up to e of the kept ones.
 * Equal sets are one class; only its smallest id takes part in the join.
 * Linked documents agree in all but k of their cells, so they agree in one of
-  the k + 1 rarest of each (prefix filter); the other cells are left out, and
-  with them most of those that a large family of rather similar texts shares.
+  the k + 1 rarest of each (prefix filter), or k + 1 + e where empty cells are
+  kept; the other cells are left out, and with them most of those that a large
+  family of rather similar texts shares.
 * Documents of a cell are not paired with each other but with the cell's
   smallest id.  After verification, components are formed; cells whose
   documents are all in one component are done.  In the others the bit sketches
@@ -96,11 +98,12 @@ def cell_keys(tokens: np.ndarray, sim: Similarity) -> list[tuple[np.ndarray, int
         first = np.flatnonzero(np.concatenate(([True], sorted_place[1:] != sorted_place[:-1])))
         value = np.bitwise_xor.reduceat(tokens[order], first)
         used = sorted_place[first]
+        missed = min(k, sim.slack(len(tokens) + len(tokens) * sim.den // sim.num))  # largest linked set
         if cells - len(used) > spare:
+            missed += spare  # agreed empty cells that the partner leaves out
             empty = np.setdiff1d(np.arange(cells, dtype=np.uint64), used)
             used, value = np.concatenate((used, empty)), np.concatenate((value, np.zeros(len(empty), np.uint64)))
-        largest = len(tokens) * sim.den // sim.num  # size of a linked set
-        found.append((A.mix(value ^ A.mix(used + seed)), min(k, sim.slack(len(tokens) + largest)) + 1))
+        found.append((A.mix(value ^ A.mix(used + seed)), missed + 1))
     return found
 
 
