@@ -98,6 +98,17 @@ def test_style_tree_drops_what_all_pages_repeat(spark):
     assert all(got[i] == f"story number {i} tells {i * 7} things" for i in range(30))
 
 
+def test_copies_of_a_page_count_once(spark):
+    page = "<head><link rel=canonical href='/{}'></head><body>{}</body>"
+    story = "".join(f"<p>part {k} of the copied story</p>" for k in range(3))
+    rows = [(i, f"http://all.example/{i}", page.format(i, "<div>the only story</div>")) for i in range(3)]
+    rows += [(10 + i, f"http://most.example/{i}", page.format(i, story if i < 90 else f"<p>own {i}</p><p>text {i}</p>")) for i in range(100)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(3)} == {"the only story"}
+    assert {got[10 + i] for i in range(90)} == {"\n".join(f"part {k} of the copied story" for k in range(3))}
+    assert got[105] == "own 95\ntext 95"
+
+
 # --- classifier and language ----------------------------------------------------
 
 

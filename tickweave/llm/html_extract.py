@@ -16,6 +16,8 @@ markup gives the prior: ``nav``, ``footer``, ``form``, adverts, notices,
 comments and the like count as 0, the article as 1, everything else as what
 the style tree says.  A branch below the threshold is removed.
 
+Copies of a page under other ids or URLs of its host (equal open nodes, and
+equal text outside of branches that the markup removes) count as one page.
 Statistics are sums over pages, so a host with a third of all pages is folded
 in each scan task; pages are joined to them by (host, node), never by host
 alone.
@@ -206,29 +208,31 @@ def host_of(url: str | None) -> str:
     return re.sub(r"^[a-z]+://", "", url or "", flags=re.I).split("/")[0].split("?")[0].split("#")[0].lower()
 
 
-_FEATURES = "row long, k int, parent int, host string, path long, style long, content long"
+_FEATURES = "row long, doc long, k int, parent int, host string, path long, style long, content long"
 
 
 def style_features(pages: DataFrame) -> DataFrame:
-    """A row per open style-tree node of each page."""
+    """A row per open style-tree node of each page; copies within a host have the same doc."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in range(7)]
+            columns: list[list] = [[] for _ in range(8)]
             for row, url, page in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 host = host_of(url.as_py())
-                for k, (node, parent, path) in enumerate(elements(parse(page.as_py() or ""))):
-                    if node.prior is None:
-                        for column, value in zip(columns, (row.as_py(), k, parent, host, _signed(path), *features(node)), strict=True):
-                            column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+                root = parse(page.as_py() or "")
+                opened = [(k, parent, host, _signed(path), *features(node)) for k, (node, parent, path) in enumerate(elements(root)) if node.prior is None]
+                doc = _signed(xxhash.xxh64_intdigest(repr((opened, blocks(root, lambda n: n.prior != 0.0)))))
+                for values in opened:
+                    for column, value in zip(columns, (row.as_py(), doc, *values), strict=True):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in _FEATURES.split(", ")])
 
     return pages.select("row", "url", "html").mapInArrow(work, _FEATURES)
 
 
 def importances(found: DataFrame) -> DataFrame:
-    """(row, nodes): presentation and content importance of the open nodes of each page."""
+    """(doc, nodes): presentation and content importance of the open nodes of each distinct page."""
     node = ["host", "path"]
     styles = found.groupBy(*node, "style").agg(F.count("*").alias("c"))
     weight = styles.groupBy(*node).agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
@@ -237,7 +241,7 @@ def importances(found: DataFrame) -> DataFrame:
     texts = materialise(found.where("content <> 0").groupBy(*node, "content").agg(F.count("*").alias("c")), "contents")
     joined = found.join(presentation, node).join(texts, [*node, "content"], "left")
     said = F.when(F.col("content") == 0, F.lit(None).cast("double")).when(F.col("m") > 1, 1 - F.log("c") / F.log("m")).otherwise(F.lit(1.0))
-    return joined.groupBy("row").agg(F.collect_list(F.struct("k", "look", said.alias("said"))).alias("nodes"))
+    return joined.groupBy("doc").agg(F.collect_list(F.struct("k", "look", said.alias("said"))).alias("nodes"))
 
 
 def keep(found: list[tuple[Node, int, int]], look: dict[int, float], said: dict[int, float | None]) -> dict[int, bool]:
@@ -280,8 +284,9 @@ def extract(pages: DataFrame) -> DataFrame:
     base = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     rows = base.withColumn("row", F.xxhash64("page_id", "url", "html"))  # equal rows have equal text
     found = materialise(style_features(rows), "styles")
-    # Repeated rows count once for their host.
-    nodes = importances(found.dropDuplicates(["row", "k"]))
+    # Repeated rows and copies count once for their host.
+    nodes = materialise(importances(found.drop("row").dropDuplicates(["doc", "k"])), "importances")
+    nodes = found.where("k = 0").select("row", "doc").distinct().join(nodes, "doc").select("row", "nodes")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
