@@ -249,6 +249,20 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(docs(spark, [])).count() == 0
 
 
+def test_usual_licence_files(spark):
+    known = license_scan
+    bsd = known._BSD_HEAD.replace("1. ", "* ").replace("2. ", "* ")
+    notice = "Copyright (c) 2024, Some One\n"
+    files = [("MIT", f"MIT License\n\n{notice}\n{known._MIT}\n"), ("MIT", f"The MIT License (MIT)\n{notice}{known._MIT}")]
+    files += [("BSD-2-Clause", f'BSD 2-Clause "Simplified" License\n\n{notice}All rights reserved.\n\n{bsd}\n\n{known._BSD_TAIL}')]
+    files += [("ISC", f"ISC License\n\n{notice}\n{known._ISC}"), ("Zlib", f"zlib License\n\n(C) 2024 Some One\n\n{known._ZLIB}")]
+    files += [(name, text) for name, text in known.full_texts()]
+    files += [(None, "MIT License"), (None, f"MIT License\n{known._MIT}\nand more"), (None, notice)]
+    got = {r.doc_id: r.license_id for r in known.scan_licenses(docs(spark, [t for _, t in files])).collect()}
+    assert [got[i] for i in range(len(files))] == [name for name, _ in files]
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"} <= {n for n, _ in files}
+
+
 def test_lines(spark):
     common, rare = "a line that stands on every site", "a line that stands on three sites"
     texts = [f"own text number {i} of this page\n{common}\n{rare if i < 3 else 'short'}\n" for i in range(14)] + [None, ""]

@@ -4,8 +4,10 @@ A text's canonical form is lower case, without copyright lines, with one
 spelling of words that licences spell in several ways, and with every run of
 other characters than letters and digits as one space.  Whole documents and
 single lines (notices) are brought to that form, digested, and hash-joined to
-the digests of known licence texts and notices.  The registry is a constant of
-this module, so broadcasting it is bounded.
+the digests of known licence texts and notices.  Whole documents that this
+does not find are looked up by a looser form too, without title lines, "all
+rights reserved" and list markers.  The registry is the constants of this
+module and the full texts in ``licenses/``, so broadcasting it is bounded.
 
 Everything is DataFrame operations.
 
@@ -18,6 +20,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,29 +90,64 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
 )
 _COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
 _OTHER = r"[^\p{L}\p{N}]+"
+#: Lines around a licence's own words, and marks of list items, in lower case.
+_FRAME_LINES = (
+    r"(?m)^[ \t]*(copyright[ \t]+(\(c\)|©|[\[<{0-9]|by\b)|(\(c\)|©)[ \t]*[\[<{0-9])[^\n]*$",
+    r"(?m)^[ \t]*all rights reserved[ \t.]*\r?$",
+    r"""(?m)^[ \t#=*]*(the[ \t]+)?((new|revised|modified|simplified|zero[- ]clause|[0-4][- ]clause)[ \t]+)?(mit|expat|isc|0?bsd|zlib)([ \t/:,"'-]+(libpng|zero|0|2|3|two|three|clause|new|or|revised|modified|simplified|licen[cs]e|\([^)\n]*\)))*[ \t:."']*\r?$""",
+)
+_LIST_MARK = r"(?m)^[ \t]*([*•-]|\(?([0-9]{1,2}|[a-z])[.)])[ \t]+"
+#: Where the terms of some licences end; what follows tells how to apply them.
+_END = "END OF TERMS AND CONDITIONS"
 
 
 def canonical(text: Column) -> Column:
     """The form in which two copies of a licence are equal."""
     out = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), _COPYRIGHT_LINE, " ")
+    return _words(out)
+
+
+def _words(out: Column) -> Column:
     out = F.trim(F.regexp_replace(out, _OTHER, " "))
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
     return out
 
 
-def registry(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """(digest, found): digests of the canonical forms of known texts."""
-    rows = spark.createDataFrame(list(known), "license string, text string")
-    return rows.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license").alias("found"))
+def loose(text: Column) -> Column:
+    """The form in which whole licence documents are equal, whatever their title, copyright lines and list marks."""
+    out = F.lower(F.coalesce(text.cast("string"), F.lit("")))
+    for lines in _FRAME_LINES:
+        out = F.regexp_replace(out, lines, " ")
+    return _words(F.regexp_replace(out, _LIST_MARK, " "))
+
+
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """Licence files, as wholes and up to the end of their terms."""
+    out = []
+    for file in sorted((resources.files(__package__) / "licenses").iterdir(), key=lambda f: f.name):
+        text = file.read_text("utf-8")
+        out.append((file.name.removesuffix(".txt"), text))
+        if _END in text:
+            out.append((file.name.removesuffix(".txt"), text[: text.index(_END) + len(_END)]))
+            out.append((file.name.removesuffix(".txt"), text[: text.index(_END)]))
+    return tuple(out)
+
+
+def registry(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN, form: Callable[[Column], Column] = canonical) -> DataFrame:
+    """(digest, found): digests of the forms of known texts."""
+    rows = spark.createDataFrame(list(known), "license string, text string").withColumn("form", form(F.col("text"))).where("form <> ''")
+    return rows.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license").alias("found"))
 
 
 def scan_licenses(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
     """doc_id, license_id (of the whole text or null), n_notices (lines), notices (ids, sorted, joined by comma)."""
     digests = F.broadcast(registry(docs.sparkSession, known))  # one row per constant above
+    wholes = F.broadcast(registry(docs.sparkSession, known + full_texts(), loose).toDF("loose", "like"))
     text = F.col("text").cast("string")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    whole = base.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).join(digests, "digest", "left").select("doc_id", F.col("found").alias("license_id"))
+    whole = base.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.sha2(loose(F.col("text")), 256).alias("loose"))
+    whole = whole.join(digests, "digest", "left").join(wholes, "loose", "left").select("doc_id", F.coalesce("found", "like").alias("license_id"))
     lines = base.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.sha2(canonical(F.col("line")), 256).alias("digest"))
     hits = lines.join(digests, "digest").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("found")), ",").alias("ids"))
     joined = whole.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
