@@ -208,6 +208,23 @@ def test_packing(spark):
     assert packing.pack(df.unionByName(df), tokens, 64).count() == 2 * len(rows)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_any_vocabulary(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    encoder, whole, rng = packing.ChunkTokenizer(path, entries=50), Tokenizer.from_file(path), random.Random(4)
+    assert encoder.by_chunk == name.startswith("word")
+    parts = ["word", "Word,", "it's", "they'll!", "x1y22", "--", "...", "(a)", "é", "e\u0301", "İ", "ſt", "\u200b", "a\x1cb", "\x85", "日本", "|", "ab.cd", "'", "''s", "don't.", "…", "’s", "<|endoftext|>", "Ünï", "ß?", "\u00a0", "10.5%"]
+    texts = [None, "", " ", "\t\n"] + ["".join(rng.choice(parts) + rng.choice([" ", "  ", "\n", ""]) for _ in range(rng.randint(1, 12))) for _ in range(600)]
+    column = pa.array(texts, pa.string())
+    for rows in (slice(0, 300), slice(300, None)):
+        ids, offsets = encoder.encode(column[rows], 1)
+        for k, text in enumerate(texts[rows]):
+            assert ids[offsets[k] : offsets[k + 1]].tolist() == [*whole.encode(text or "", add_special_tokens=False).ids, 1], text
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan(seed):
     rng = random.Random(seed)

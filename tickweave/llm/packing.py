@@ -11,12 +11,14 @@
    parts whose sizes are then summed up, so no task gets all pieces of a length.
 
 Defined results: a null text is an empty one; an empty document is one piece
-that holds the end id; repeated rows are packed as often as they occur; an
-empty table gives an empty result; other columns of the input are ignored.
+that holds the end id; a text of any length is encoded as a whole and cut into
+pieces; repeated rows are packed as often as they occur; an empty table gives
+an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,23 +26,45 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickweave.workspace import materialise
 
-#: Chunks of text whose ids a Python worker remembers, in each of two generations.
-CACHE_ENTRIES = 400_000
-#: Characters of text that are encoded together.
-GROUP_CHARS = 1 << 20
+#: Word pieces whose ids a Python worker remembers; beyond that it starts anew.
+CACHE_ENTRIES = 600_000
+#: Bytes of text that are encoded together; a longer text is alone.
+GROUP_BYTES = 8 << 20
+#: New word pieces that go to the tokenizer as one text.
+JOINED = 2_000
 #: Pieces that one salted part of a length should hold.
 PART_ROWS = 200_000
 
 # Letters, marks and punctuation that NFC leaves alone and that have a one-to-one
-# lower case; control characters and other spaces are left to the tokenizer itself.
-_PLAIN = regex.compile(r"[\t-\r\x20-\x7e¡-įı-ſ‐-‧]*+")
+# lower case; other characters are left to the tokenizer itself.
+_PLAIN = r"^[\x21-\x7e¡-įı-ſ‐-‧]*$"
+# Letters, then punctuation: two word pieces. With an apostrophe it might be more.
+_SIMPLE = r"^\p{L}*[^\p{L}\p{N}\s']*$"
+
+# The normaliser and word rule under which texts may be taken apart at white space.
+_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 PIECES = T.StructType(
     [
@@ -62,46 +86,140 @@ class Tokens:
 
 
 class ChunkTokenizer:
-    """Ids of texts as little-endian bytes.
-
-    The tokenizer never joins text across white space, so the ids of a plain
-    text are those of its chunks, most of which were met before.  Chunks that
-    are new to a group of texts are encoded in one call.  Texts with unusual
-    characters or with the text of a special token go through the tokenizer
-    whole.  Remembered chunks are in two generations; those not met again are
-    forgotten with the older one.
+    """Ids of a column of texts.
+
+    Where the vocabulary file says that texts are normalised character by
+    character and never joined across white space, the ids of a text are those
+    of its chunks, and a chunk of letters and punctuation has those of its two
+    word pieces.  Chunks are split and counted as Arrow arrays, only distinct
+    ones are looked at one by one, and pieces that are new go to the tokenizer
+    many at a time, cut apart at the tokens that end a word.  Texts with unusual
+    characters or with a special token go through the tokenizer whole, and so
+    do all texts if the file has another normaliser or word rule.
     """
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES) -> None:
         from tokenizers import Tokenizer
 
         self._whole = Tokenizer.from_file(path)
-        self._special = [t.content for t in self._whole.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        model, self._special = rules["model"], [t["content"] for t in rules.get("added_tokens", [])]
+        self.by_chunk = (
+            rules.get("normalizer") == _NORMALIZER
+            and rules.get("pre_tokenizer") == _PRE_TOKENIZER
+            and rules.get("post_processor") is None
+            and rules.get("truncation") is None
+            and rules.get("padding") is None
+            and model.get("type") == "BPE"
+            and not model.get("dropout")
+            and not model.get("continuing_subword_prefix")
+            and bool(model.get("end_of_word_suffix"))
+            and not any(c.isspace() for t in self._special for c in t)
+        )
+        if self.by_chunk:
+            suffix, vocab = model["end_of_word_suffix"], model["vocab"]
+            self._ends = np.zeros(max(vocab.values()) + 1, bool)
+            self._ends[[k for word, k in vocab.items() if word.endswith(suffix)]] = True
         self._entries = entries
-        self._known: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self._known) > self._entries:
-            self._older, self._known = self._known, {}
-        new = []
-        for chunk in chunks.difference(self._known):
-            ids = self._older.get(chunk)
-            if ids is None:
-                new.append(chunk)
-            else:
-                self._known[chunk] = ids
-        for chunk, got in zip(new, self._whole.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self._known[chunk] = np.asarray(got.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [t.lower().split() if _PLAIN.fullmatch(t) and not any(s in t for s in self._special) else None for t in texts]
-        self._learn(set().union(*[c for c in plain if c is not None]))
-        ids_of = self._known.__getitem__
-        return [
-            b"".join(map(ids_of, chunks)) if chunks is not None else np.asarray(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            for text, chunks in zip(texts, plain, strict=True)
-        ]
+        self._forget()
+
+    def _forget(self) -> None:
+        self._index: dict[str, int] = {"": 0}
+        self._start, self._length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self._ids, self._filled = np.zeros(4096, np.uint32), 0
+
+    def _encode_whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, np.uint32) for e in self._whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words that are one word piece each."""
+        out: list[np.ndarray] = []
+        for at in range(0, len(words), JOINED):
+            part = words[at : at + JOINED]
+            ids = self._encode_whole([" ".join(part)])[0]
+            ends = np.flatnonzero(self._ends[ids]) + 1
+            out += np.split(ids, ends[:-1]) if len(ends) == len(part) and ends[-1] == len(ids) else self._encode_whole(part)
+        return out
+
+    def _add(self, words: list[str], ids: list[np.ndarray]) -> None:
+        first, count = len(self._index), len(words)
+        lengths = np.array([len(x) for x in ids], np.int64)
+        while first + count > len(self._start):
+            self._start, self._length = np.concatenate((self._start, np.zeros_like(self._start))), np.concatenate((self._length, np.zeros_like(self._length)))
+        while self._filled + lengths.sum() > len(self._ids):
+            self._ids = np.concatenate((self._ids, np.zeros_like(self._ids)))
+        self._start[first : first + count] = self._filled + np.cumsum(lengths) - lengths
+        self._length[first : first + count] = lengths
+        total = int(lengths.sum())
+        self._ids[self._filled : self._filled + total] = np.concatenate([*ids, np.zeros(0, np.uint32)])
+        self._filled += total
+        self._index.update(zip(words, range(first, first + count), strict=True))
+
+    def _places(self, pieces: pa.Array, one_word: bool) -> np.ndarray:
+        """Places of the pieces' ids; new pieces are encoded first."""
+        pieces = pieces.dictionary_encode()
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [p for p in distinct if p not in self._index]
+        if new:
+            self._add(new, (self._encode_words if one_word else self._encode_whole)(new))
+        places = np.fromiter(map(self._index.__getitem__, distinct), np.int64, len(distinct))
+        return places[np.asarray(pieces.indices)]
+
+    def _chunk_places(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Places of both word pieces of each distinct chunk; mixed chunks are one piece."""
+        lower = pc.utf8_lower(chunks)
+        simple = pc.match_substring_regex(lower, _SIMPLE)
+        mixed = pc.if_else(simple, "", lower)
+        lower = pc.if_else(simple, lower, "")
+        heads = pc.replace_substring_regex(lower, r"[^\p{L}]*$", "", max_replacements=1)
+        tails = pc.replace_substring_regex(lower, r"^\p{L}*", "", max_replacements=1)
+        first, second = self._places(heads, True), self._places(tails, True)
+        return np.maximum(first, self._places(mixed, False)), second
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts, each text followed by ``end_id``, and their n + 1 offsets."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        rows = len(texts)
+        whole = np.full(rows, not self.by_chunk)
+        if self.by_chunk:
+            if len(self._index) > self._entries:
+                self._forget()
+            split = pc.ascii_split_whitespace(texts)
+            chunks = split.flatten().dictionary_encode()
+            code, distinct = np.asarray(chunks.indices), chunks.dictionary
+            bounds = np.asarray(split.offsets).astype(np.int64)
+            bounds = bounds - bounds[0]
+            odd = pc.invert(pc.match_substring_regex(distinct, _PLAIN))
+            for special in self._special:
+                odd = pc.or_(odd, pc.match_substring(distinct, special))
+            odd = np.asarray(odd.cast(pa.uint8())).astype(bool)
+            if odd.any():
+                whole = np.concatenate(([0], np.cumsum(odd[code])))
+                whole = whole[bounds[1:]] > whole[bounds[:-1]]
+                distinct = pc.if_else(pa.array(odd), "", distinct)
+            first, second = self._chunk_places(distinct)
+            # Two pieces a chunk, in order; those of a row are together.
+            places = np.stack((first[code], second[code]), axis=1).reshape(-1)
+            bounds = bounds * 2
+        else:
+            places, bounds = np.zeros(0, np.int64), np.zeros(rows + 1, np.int64)
+        lengths = self._length[places]
+        before = np.concatenate(([0], np.cumsum(lengths)))
+        known = self._ids[np.repeat(self._start[places] - before[:-1], lengths) + np.arange(before[-1])]
+        at = before[bounds]
+        others = dict(zip(np.flatnonzero(whole).tolist(), self._encode_whole(texts.filter(pa.array(whole)).to_pylist()), strict=True)) if whole.any() else {}
+        sizes = np.diff(at)
+        for row, ids in others.items():
+            sizes[row] = len(ids)
+        offsets = np.concatenate(([0], np.cumsum(sizes + 1)))
+        out = np.full(offsets[-1], end_id, "<u4")
+        taken = np.repeat(~whole, np.diff(at))
+        start = np.repeat(offsets[:-1] - at[:-1], np.diff(at))
+        out[(start + np.arange(len(known)))[taken]] = known[taken]
+        for row, ids in others.items():
+            out[offsets[row] : offsets[row] + len(ids)] = ids
+        return out, offsets
 
 
 @lru_cache(maxsize=2)
@@ -112,37 +230,35 @@ def tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
-def groups(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts of a batch, about GROUP_CHARS characters at a time."""
-    ids, texts, size = [], [], 0
-    for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-        ids.append(doc.as_py())
-        texts.append(text.as_py() or "")
-        size += len(texts[-1])
-        if size >= GROUP_CHARS:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+def groups(texts: pa.Array) -> Iterator[slice]:
+    """Ranges of rows with about GROUP_BYTES of text each."""
+    size = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0)).astype(np.int64))
+    first = 0
+    while first < len(size):
+        done = size[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(size, done + GROUP_BYTES, "right")))
+        yield slice(first, last)
+        first = last
 
 
 def tokenize(docs: DataFrame, tokens: Tokens, capacity: int) -> DataFrame:
     """One row per piece of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32."""
-    end = np.asarray([tokens.end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer(tokens.path)
         for batch in batches:
-            rows: list[tuple] = []
-            for docs_ids, texts in groups(batch):
-                for doc, encoded in zip(docs_ids, encoder.encode(texts), strict=True):
-                    ids = memoryview(encoded + end)
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at : at + 4 * capacity]
-                        rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], PIECES.names)
+            for rows in groups(batch.column(1)):
+                ids, offsets = encoder.encode(batch.column(1)[rows], tokens.end_id)
+                size = np.diff(offsets)
+                many = -(-size // capacity)
+                row = np.repeat(np.arange(len(size)), many)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                length = np.minimum(capacity, size[row] - piece * capacity)
+                at = offsets[row] + piece * capacity
+                data = memoryview(ids).cast("B")
+                crc = [zlib.crc32(data[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+                columns = [batch.column(0)[rows].take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(piece * capacity, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, PIECES.names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
