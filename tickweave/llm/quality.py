@@ -8,19 +8,20 @@ to the scaled indicators by dual coordinate descent.  A logistic curve fit to
 margins of rows that were left out of that turns margins into scores.
 
 The model is fit on at most ``sample`` labelled rows, the ones that come first
-in the order of a hash of their id, so the driver holds a bounded number of
-rows, and of each only its distinct features.  Scoring reads whole texts.
+in the order of a hash of their id.  One task gets a bounded number of rows
+for that, of each only its distinct features, and the driver gets the model
+alone.  Scoring reads whole texts.
 
 Defined results: a null or empty text has no feature and gets the score of the
 bare intercept; ties between equal hashes are broken by id; rows repeated with
-one id are scored one by one; without rows of both labels every score is 0.5;
+one id are scored one by one, and the least of their feature sets is learnt; without rows of both labels every score is 0.5;
 an empty table gives no rows; other columns are no inputs.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -108,22 +109,23 @@ def log_count_ratio(rows: list[np.ndarray], labels: np.ndarray, smoothing: float
     return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], signs: np.ndarray, *, cost: np.ndarray, passes: int = 12, seed: int = 5) -> tuple[np.ndarray, float]:
+def dual_coordinate_descent(rows: list[np.ndarray], values: Sequence[np.ndarray], signs: np.ndarray, *, cost: np.ndarray, passes: int = 12, seed: int = 5) -> tuple[np.ndarray, float]:
     """L2-regularised hinge loss; one dual variable per row, updated one at a time."""
     w, b = np.zeros(FEATURES), 0.0
     alpha = np.zeros(len(rows))
-    square = np.array([float(v @ v) + 1.0 for v in values])
+    square = np.array([float(values[i] @ values[i]) + 1.0 for i in range(len(rows))])
     order = np.random.default_rng(seed)
     for _ in range(passes):
         largest = 0.0
         for i in order.permutation(len(rows)):
-            gradient = signs[i] * (float(w[rows[i]] @ values[i]) + b) - 1.0
+            value = values[i]
+            gradient = signs[i] * (float(w[rows[i]] @ value) + b) - 1.0
             new = min(max(alpha[i] - gradient / square[i], 0.0), cost[i])
             step = new - alpha[i]
             if step:
                 largest = max(largest, abs(step))
                 alpha[i] = new
-                w[rows[i]] += step * signs[i] * values[i]
+                w[rows[i]] += step * signs[i] * value
                 b += step * signs[i]
         if largest < 1e-3:
             break
@@ -150,25 +152,39 @@ def fit_curve(margins: np.ndarray, labels: np.ndarray, steps: int = 60) -> tuple
     return (float(a), float(c)) if a > 0 else (1.0, 0.0)
 
 
+class Scaled:
+    """The indicators of each row scaled by the ratio and to unit length, made anew at each access."""
+
+    def __init__(self, ratio: np.ndarray, rows: list[np.ndarray]) -> None:
+        self._ratio, self._rows = ratio, rows
+
+    def __len__(self) -> int:
+        return len(self._rows)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self._ratio[self._rows[i]] / math.sqrt(max(1, len(self._rows[i])))
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, *, strength: float = 1.0) -> Model:
     """The classifier of rows of features with labels 0 and 1."""
     labels = np.asarray(labels, np.int64)
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(FEATURES, np.float32), 0.0, 1.0, 0.0)
     ratio = log_count_ratio(rows, labels)
-    values = [ratio[r] / math.sqrt(max(1, len(r))) for r in rows]
     signs = np.where(labels == 1, 1.0, -1.0)
     share = np.where(labels == 1, (labels == 1).mean(), (labels == 0).mean())
     cost = strength * 0.5 / share  # both classes weigh the same
 
     inner = np.arange(len(rows)) % 5 != 0
     if len(set(labels[inner].tolist())) == 2 and len(set(labels[~inner].tolist())) == 2:
-        w, b = dual_coordinate_descent([r for r, k in zip(rows, inner, strict=True) if k], [v for v, k in zip(values, inner, strict=True) if k], signs[inner], cost=cost[inner])
-        margins = np.array([float(w[r] @ v) + b for r, v, k in zip(rows, values, inner, strict=True) if not k])
+        known = [r for r, k in zip(rows, inner, strict=True) if k]
+        w, b = dual_coordinate_descent(known, Scaled(ratio, known), signs[inner], cost=cost[inner])
+        left = [r for r, k in zip(rows, inner, strict=True) if not k]
+        margins = np.array([float(w[r] @ v) + b for r, v in zip(left, Scaled(ratio, left))])
         slope, shift = fit_curve(margins, labels[~inner])
     else:
         slope, shift = 1.0, 0.0
-    w, b = dual_coordinate_descent(rows, values, signs, cost=cost)
+    w, b = dual_coordinate_descent(rows, Scaled(ratio, rows), signs, cost=cost)
     return Model((w * ratio).astype(np.float32), b, slope, shift)
 
 
@@ -178,10 +194,10 @@ def text_features(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
         yield features(data[offsets[i] : offsets[i + 1]])
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, sample: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of at most ``sample`` labelled rows outside the held-out part."""
-    known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).alias("label"))
-    known = known.where(~held_out).withColumn("order", F.xxhash64("doc_id", F.lit(17))).orderBy("order", "doc_id").limit(sample)
+def labelled_features(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, label, found) of at most ``sample`` labelled documents outside the held-out part."""
+    known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("long").alias("label"))
+    known = known.where(~held_out).withColumn("order", F.xxhash64("doc_id", F.lit(17))).orderBy("order", "doc_id").limit(sample).select("doc_id", "label")
     picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(known), "doc_id")  # at most ``sample`` rows
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,10 +205,8 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str, held_out:
             found = [f.tobytes() for f in text_features(batch, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["doc_id", "label", "found"])
 
-    got = picked.select("doc_id", "text", F.col("label").cast("long")).mapInArrow(work, "doc_id long, label long, found binary").dropDuplicates(["doc_id"]).toArrow()
-    order = np.argsort(np.asarray(got["doc_id"]), kind="stable")
-    rows = [np.frombuffer(got["found"][int(i)].as_buffer(), np.uint32) for i in order]
-    return rows, np.asarray(got["label"])[order]
+    found = picked.select("doc_id", "text", "label").mapInArrow(work, "doc_id long, label long, found binary")
+    return found.groupBy("doc_id", "label").agg(F.min("found").alias("found"))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -212,8 +226,21 @@ def held_out_quality(doc_id: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
-    rows, known = labelled_features(docs, labels, label, held_out_quality(), sample)
-    return fit(rows, known)
+    """The model of at most ``sample`` labelled rows, fit in one task."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(batches, pa.schema([("doc_id", pa.int64()), ("label", pa.int64()), ("found", pa.binary())]))
+        rows = [np.frombuffer(x.as_buffer(), np.uint32) for x in got["found"]]
+        order = np.argsort(np.asarray(got["doc_id"]), kind="stable")
+        model = fit([rows[i] for i in order], np.asarray(got["label"])[order])
+        columns = ([model.weights.tobytes()], [model.intercept], [model.slope], [model.shift])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), *[pa.float64()] * 3), strict=True)], ["weights", "intercept", "slope", "shift"])
+
+    rows = labelled_features(docs, labels, label, held_out_quality(), sample).repartition(1)  # at most ``sample`` rows
+    got = rows.mapInArrow(work, "weights binary, intercept double, slope double, shift double").first()
+    if got is None:
+        return fit([], np.zeros(0))
+    return Model(np.frombuffer(got["weights"], np.float32), got["intercept"], got["slope"], got["shift"])
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
