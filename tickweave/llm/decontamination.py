@@ -1,22 +1,30 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 A test item is contained in a document if the document has at least 80 % of
-the item's distinct five-word shingles.  Containment depends on no other
-shingle, so documents are first reduced to shingles that some item has.  The
-reduced sets are partitioned by size; for a partition with sets of up to U
-shingles, containment t of an item of q shingles means a Jaccard similarity of
-at least s = t q / (U + q - t q), and the number of MinHash values in which one
-must agree follows from s and the accepted chance of a miss (1e-9).  Where that
-would take more than MAX_HASHES values, the set's shingles themselves are the
-keys, which misses nothing.  Candidates are verified by exact containment.
-
-Everything is DataFrame operations.  The items' shingles are broadcast only if
-there are at most BROADCAST_ROWS of them, and joined by a shuffle otherwise.
+the item's distinct five-word shingles.  Documents are partitioned by their
+number of shingles: a partition of documents with up to U has a signature of
+U * 2 ** extra bins, and a document keeps the least hash of each bin (MinHash
+with one permutation, so that one sort of a document's hashes gives them all).
+Bins grow with the partition, so a shared shingle is kept with the same chance
+p in short and in long documents.  Of an item of q shingles at least 0.8 q are
+shared, so ``extra`` is the least for which the shortest items are found but
+for a chance of ``miss``, and each band of item sizes has its own threshold:
+the number of an item's shingles that must be among a document's bin minima is
+the largest that a contained item reaches but for a chance of ``miss``.
+Candidates are verified by exact containment over all their shingles.
+
+The shorter the items, the denser the signatures must be; with ``miss=0`` they
+hold every shingle, and the search is exact by construction.
+
+Everything is DataFrame operations.  Items' shingles (two longs a row) and
+candidates' ids are broadcast only if there are at most BROADCAST_ROWS of
+them, and joined by a shuffle otherwise.
 
 Defined results: words are maximal runs of letters and digits in lower case; a
 null text has none; items of fewer than five words have no shingle and are
-never reported; of rows repeated with one id the shingles are united; empty
-tables give no pairs; other columns are ignored.
+never reported; of rows repeated with one id the shingles are united; a text of
+any length is one document; a null id is never reported; empty tables give no
+pairs; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +34,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.workspace import materialise
+from tickweave.workspace import drop_tables, materialise
 
 WORDS = 5
 CONTAINMENT = 0.8
-MISS = 1e-9
-MAX_HASHES = 64
+#: Accepted chance that a contained item is no candidate, for each of the two thresholds.
+MISS = 1e-6
+#: Bits of a hash; bins this fine hold one shingle each.
+BITS = 64
 BROADCAST_ROWS = 1_000_000
 
 
@@ -51,55 +61,91 @@ def shingle_hashes(df: DataFrame, key: str, n: int = WORDS) -> DataFrame:
     return df.select(F.col(key).cast("long").alias(key), F.get(hashes, F.lit(0)).alias("hashes"))
 
 
-def hashes_needed(u: Column, q: Column, containment: float) -> Column:
-    """MinHash values for sets of up to u and items of q shingles."""
-    common = q * F.lit(containment)
-    s = F.least(F.lit(0.999999), common / (u + q - common))
-    return F.ceil(F.lit(math.log(MISS)) / F.log(F.lit(1.0) - s)).cast("int")
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked for broadcast if a count shows that it is small enough; for rows of a few numbers only."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def min_hashes(hashes: Column, many: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), many), lambda i: F.struct(i.alias("i"), F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, i))).alias("h")))
+def kept_chance(extra: int) -> float:
+    """Chance that a shingle is the least of its bin, with 2 ** extra bins for each of the document's shingles at least."""
+    load = 2.0**-extra
+    return (1 - math.exp(-load)) / load if load > 1e-9 else 1.0
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast if a count shows that it is small enough."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def tail(n: int, p: float, least: int) -> float:
+    """Chance that fewer than ``least`` of n independent events of chance p happen."""
+    return sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(least))
+
+
+def extra_bits(shared: int, miss: float) -> int:
+    """The least bins a shingle, as a power of two, for which one of ``shared`` shingles is kept but for ``miss``."""
+    for extra in range(-8, BITS):
+        if (1 - kept_chance(extra)) ** shared <= miss:
+            return extra
+    return BITS
+
+
+def hits_needed(shared: int, extra: int, miss: float) -> int:
+    """The largest number of kept shingles that ``shared`` ones reach but for ``miss``."""
+    n, p, needed = min(shared, 512), kept_chance(extra), 1  # a part of very many shared ones will do
+    while needed < n and tail(n, p, needed + 1) <= miss:
+        needed += 1
+    return needed
+
+
+def signature(hashes: Column, extra: int) -> Column:
+    """The bin minima of a document's hashes; its partition is the next power of two above their number."""
 
+    def minima(a: Column) -> Column:
+        size = F.greatest(F.size(a), F.lit(1)).cast("double")
+        bits = F.greatest(F.least(F.ceil(F.log2(size)).cast("int") + extra, F.lit(BITS)), F.lit(1))
+        bin_of = lambda h, drop: F.call_function("shiftrightunsigned", h, drop)
+        first = lambda drop: F.filter(a, lambda h, i: (i == 0) | (bin_of(h, drop) != bin_of(F.get(a, i - 1), drop)))
+        return F.get(F.transform(F.array(BITS - bits), first), F.lit(0))
 
-def contained_items(docs: DataFrame, items: DataFrame, *, containment: float = CONTAINMENT, n: int = WORDS) -> DataFrame:
+    # Values used by a lambda are bound by an array of one, or they would be computed anew for each element.
+    return F.get(F.transform(F.array(F.sort_array(hashes)), minima), F.lit(0))
+
+
+def item_shingles(items: DataFrame, n: int = WORDS) -> DataFrame:
+    """(item_id, q, h): a row per distinct shingle of each item, q of them."""
+    rows = shingle_hashes(items, "item_id", n).select("item_id", F.explode("hashes").alias("h")).where("item_id is not null").distinct()
+    return rows.join(rows.groupBy("item_id").agg(F.count("*").alias("q")), "item_id").select("item_id", "q", "h")
+
+
+def candidates(docs: DataFrame, probes: DataFrame, *, containment: float = CONTAINMENT, n: int = WORDS, miss: float = MISS) -> DataFrame:
+    """(doc_id, item_id, q) of the pairs whose signatures say that the item may be contained."""
+    band = F.floor(F.log2("q")).cast("int")
+    bands = [r[0] for r in probes.select(band).distinct().collect()]  # a row per power of two
+    shared = {b: max(1, math.ceil(containment * 2**b - 1e-9)) for b in sorted(bands)}
+    extra = extra_bits(min(shared.values(), default=1), miss) if miss > 0 else BITS
+    least = {b: hits_needed(c, extra, miss) if miss > 0 else c for b, c in shared.items()}
+    needed = F.element_at(F.create_map(*[F.lit(x) for pair in (least or {0: 1}).items() for x in pair]), band)
+    kept = shingle_hashes(docs, "doc_id", n).where("doc_id is not null").select("doc_id", F.explode(signature(F.col("hashes"), extra)).alias("h"))
+    hits = kept.join(bounded(probes), "h").select("doc_id", "item_id", "q", "h").distinct()
+    return hits.groupBy("doc_id", "item_id", "q").agg(F.count("*").alias("hits")).where(F.col("hits") >= needed).select("doc_id", "item_id", "q")
+
+
+def contained_items(docs: DataFrame, items: DataFrame, *, containment: float = CONTAINMENT, n: int = WORDS, miss: float = MISS) -> DataFrame:
     """doc_id, item_id, n_item, n_shared, containment of every contained item."""
-    tests = shingle_hashes(items, "item_id", n).select("item_id", F.explode("hashes").alias("h")).groupBy("item_id").agg(F.collect_set("h").alias("item"))
-    tests = materialise(tests.withColumn("q", F.size("item")), "tests")
-    known = materialise(tests.select(F.explode("item").alias("h")).distinct(), "known")
-
-    text = shingle_hashes(docs, "doc_id", n).select("doc_id", F.explode("hashes").alias("h"))
-    reduced = text.join(bounded(known), "h").groupBy("doc_id").agg(F.collect_set("h").alias("doc"))
-    reduced = materialise(reduced.withColumn("u", F.size("doc")), "reduced")
-
-    # Partitions: U is the next power of two, q the largest power of two not above it.
-    top = lambda c: F.pow(F.lit(2.0), F.ceil(F.log2(c.cast("double"))))
-    floor = lambda c: F.pow(F.lit(2.0), F.floor(F.log2(c.cast("double"))))
-    bands = bounded(tests.select(floor(F.col("q")).cast("int").alias("band")).distinct())
-    sized = reduced.join(bands).withColumn("many", hashes_needed(top(F.col("u")), F.col("band").cast("double"), containment))  # a row per power of two
-    sized = sized.where(F.col("u") >= F.ceil(F.col("band") * containment))
-    hashed, plain = sized.where(F.col("many") <= MAX_HASHES), sized.where(F.col("many") > MAX_HASHES)
-    keys = lambda df, what: df.select("doc_id", "band", F.explode(what).alias("k")).select("doc_id", "band", "k.i", "k.h")
-    whole = lambda c: F.transform(c, lambda h: F.struct(F.lit(0).alias("i"), h.alias("h")))
-    doc_keys = keys(hashed, min_hashes(F.col("doc"), F.col("many"))).unionByName(keys(plain, whole(F.col("doc"))))
-    banded = tests.withColumn("band", floor(F.col("q")).cast("int"))
-    item_keys = banded.select("item_id", "band", F.explode(F.concat(min_hashes(F.col("item"), F.lit(MAX_HASHES)), whole(F.col("item")))).alias("k")).select("item_id", "band", "k.i", "k.h")
-    pairs = doc_keys.join(bounded(item_keys), ["band", "i", "h"]).select("doc_id", "item_id").distinct()
-
-    both = pairs.join(reduced, "doc_id").join(bounded(tests), "item_id")
-    both = both.withColumn("n_shared", F.size(F.array_intersect("doc", "item")).cast("long")).withColumn("n_item", F.col("q").cast("long"))
-    return both.where(F.col("n_shared") >= F.col("n_item") * containment).select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, *, containment: float = CONTAINMENT) -> DataFrame:
+    probes = materialise(item_shingles(items, n), "probes")
+    pairs = materialise(candidates(docs, probes, containment=containment, n=n, miss=miss), "pairs")
+
+    # Exact containment of the candidates: all shingles of their documents, each counted once.
+    found = bounded(pairs.select("doc_id").distinct())
+    whole = shingle_hashes(docs.where(F.col("text").isNotNull()).join(found, docs["doc_id"].cast("long") == found["doc_id"], "left_semi"), "doc_id", n)
+    both = whole.select("doc_id", F.explode("hashes").alias("h")).join(bounded(probes), "h").select("doc_id", "item_id", "h").distinct()
+    counted = both.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
+    counted = counted.join(bounded(pairs), ["doc_id", "item_id"]).where(F.col("n_shared") >= F.col("q") * containment)
+    counted = materialise(counted.select("doc_id", "item_id", F.col("q").alias("n_item"), "n_shared", (F.col("n_shared") / F.col("q")).alias("containment")), "contained")
+    drop_tables(probes, pairs)
+    return counted
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, *, containment: float = CONTAINMENT, miss: float = MISS) -> DataFrame:
     """The documents that contain no item, with all their columns."""
-    bad = contained_items(docs, items, containment=containment).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+    bad = contained_items(docs, items, containment=containment, miss=miss).select("doc_id").distinct()
+    return docs.alias("all").join(bad.alias("bad"), F.col("all.doc_id").cast("long") == F.col("bad.doc_id"), "left_anti")
 
 
 ORACLE_SQL = r"""
