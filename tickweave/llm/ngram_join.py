@@ -40,15 +40,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickweave.llm import arrowtext as A
 from tickweave.llm.components import components
-from tickweave.workspace import drop_tables, materialise, release
+from tickweave.workspace import drop_tables, materialise
 
 #: Ids up to this many (8 bytes each) are broadcast to filter rows in place; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
 BITS = 1024
 #: Documents of a cell that are compared with each other in one task.
 BLOCK = 1024
@@ -184,28 +185,29 @@ def verified(pairs: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
     sets = materialise(sets, "sets", codec="lz4")
     one = pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
     two = one.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
-    return materialise(two.select("a", "b", "x", "y").mapInArrow(linked, "a long, b long"), "links")
+    links = materialise(two.select("a", "b", "x", "y").mapInArrow(linked, "a long, b long"), "links")
+    drop_tables(wanted, sets)
+    return links
 
 
 def close(pairs: DataFrame, sketches: DataFrame, sim: Similarity) -> DataFrame:
     """Pairs whose sizes and parity bits allow a link."""
     side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")  # rows repeated with one id give repeated pairs
     sizes = (F.least("na", "nb") * sim.den >= F.greatest("na", "nb") * sim.num)
     distance = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return both.where(sizes & (distance <= F.floor((F.col("na") + F.col("nb")) * (sim.den - sim.num) / (sim.den + sim.num)))).select("a", "b")
+    return both.where(sizes & (distance <= F.floor((F.col("na") + F.col("nb")) * (sim.den - sim.num) / (sim.den + sim.num)))).select("a", "b").distinct()
 
 
-def rarest(crowd: DataFrame, slim: DataFrame) -> DataFrame:
-    """The rows of (key, n, id, which) that are among their document's k + 1 rarest cells of a band.
+def rarest(crowd: DataFrame) -> DataFrame:
+    """The rows of (key, n, id, which, spare) that are among their document's k + 1 rarest cells of a band.
 
     Cells of one document only are not in ``crowd``; they come first in the
     order and are counted by what is missing from the document's cells.
     """
     own = Window.partitionBy("id", "which")
-    ranked = crowd.join(slim.select(F.col("doc_id").alias("id"), "spare"), "id")
-    ranked = ranked.withColumn("place", F.row_number().over(own.orderBy("n", "key"))).withColumn("many", F.count("*").over(own))
-    return ranked.where(F.col("place") <= F.get("spare", F.col("which")) + F.col("many")).select("key", "id")
+    ranked = crowd.withColumn("place", F.row_number().over(own.orderBy("n", "key"))).withColumn("many", F.count("*").over(own))
+    return ranked.where(F.col("place") <= F.col("spare") + F.col("many")).select("key", "id")
 
 
 def close_across(inside: DataFrame, slim: DataFrame, sim: Similarity) -> DataFrame:
@@ -270,29 +272,35 @@ def ngram_components(docs: DataFrame, sim: Similarity = Similarity()) -> DataFra
     members = materialise(members.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
 
     copies = members.where("doc_id <> rep").select("doc_id").distinct()
-    heads_only = keep_ids(sketches, "doc_id", copies, "left_anti")
-    bands = heads_only.select(F.col("doc_id").alias("id"), F.posexplode("keys").alias("which", "band"))
-    cells = bands.select("id", "which", F.explode("band").alias("key"))
-    shared = materialise(cells.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    release(docs.sparkSession)  # the counts' shuffle is as large as the next one
-    crowd = materialise(cells.join(shared, "key").select("key", "n", "id", "which").distinct(), "crowd")
-    slim = keep_ids(sketches.select("doc_id", "n_shingles", "spare", "bits"), "doc_id", crowd.select("id").distinct(), "left_semi")
-    slim = materialise(slim.dropDuplicates(["doc_id"]), "slim")
-    drop_tables(sketches, shared)
-    release(docs.sparkSession)
-    crowd = materialise(rarest(crowd, slim), "rarest")
-    heads = materialise(crowd.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head")).where("n > 1").select("key", "head"), "heads")
-    crowd = materialise(crowd.join(heads, "key"), "crowd")
+    heads_only = keep_ids(sketches.select("doc_id", "keys", "spare"), "doc_id", copies, "left_anti")
+    bands = heads_only.select(F.col("doc_id").alias("id"), "spare", F.posexplode("keys").alias("which", "band"))
+    cells = bands.select("id", "which", F.get("spare", F.col("which")).alias("spare"), F.explode("band").alias("key"))
+    # Kept on the executors' disks, not written: a lost block is counted again from the sketches.
+    shared = cells.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").persist(StorageLevel.DISK_ONLY)
+    crowd = materialise(cells.join(shared, "key").select("key", "n", "id", "which", "spare").distinct(), "crowd")
+    shared.unpersist()
+    rare = materialise(rarest(crowd), "rarest")
+    heads = materialise(rare.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head")).where("n > 1").select("key", "head"), "heads")
+    drop_tables(crowd, classes)
+    crowd = materialise(rare.join(heads, "key"), "crowd")
+    drop_tables(rare, heads)
+    slim = sketches.select("doc_id", "n_shingles", "bits")
 
     stars = crowd.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    links = verified(materialise(close(stars, slim, sim), "close"), docs, sim)
+    near = materialise(close(stars, slim, sim), "close")
+    links = verified(near, docs, sim)
     found = components(links)
+    drop_tables(near)
 
     # What the stars leave open: cells that hold more than one component.
     placed = materialise(crowd.join(found, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c")), "placed")
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rest = materialise(close_across(placed.join(materialise(mixed, "mixed"), "key"), slim, sim), "rest")
+    mixed = materialise(mixed, "mixed")
+    rest = materialise(close_across(placed.join(mixed, "key"), slim, sim), "rest")
     if not rest.isEmpty():
-        found = components(links.unionByName(verified(rest, docs, sim)))
+        again = components(links.unionByName(verified(rest, docs, sim)))
+        drop_tables(found)
+        found = again
+    drop_tables(sketches, crowd, placed, mixed, rest, links)
     final = members.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     return final.select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
