@@ -1,12 +1,12 @@
 """Tables that cut lineage, kept in the folder that every executor can read.
 
 The folder comes from ``spark.checkpoint.dir``.  Only where that setting is
-missing (unit tests, a laptop) a temporary folder of this process is set.
+missing and everything runs in one process (unit tests, a laptop) a temporary
+folder of this process is set.
 """
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; sets a private one if there is none."""
+    """The shared folder named by the session; in local mode a private one if there is none."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir")
     if root:
@@ -22,6 +22,8 @@ def shared_root(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="tickweave-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -38,22 +40,20 @@ def materialise(df: DataFrame, name: str, *, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of plans that are done and no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def drop_tables(*tables: DataFrame | None) -> None:
-    """Delete tables that ``materialise`` wrote and nobody reads any more."""
+    """Delete tables that ``materialise`` wrote and nobody reads any more.
+
+    Of a plan over several tables, all that lie in the shared folder go.
+    """
     for table in tables:
         if table is None:
             continue
         spark = table.sparkSession
-        root = shared_root(spark)
         jvm = spark.sparkContext._jvm
         conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            if root.split(":", 1)[-1].strip("/") in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+        root = shared_root(spark)
+        inside = "/" + root.split(":", 1)[-1].strip("/") + "/"
+        names = {f.split(inside, 1)[1].split("/", 1)[0] for f in table.inputFiles() if inside in f}
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+            path.getFileSystem(conf).delete(path, True)
