@@ -9,13 +9,15 @@ does not find are looked up by a looser form too, without title lines, "all
 rights reserved" and list markers.  The registry is the constants of this
 module and the full texts in ``licenses/``, so broadcasting it is bounded.
 
-Everything is DataFrame operations.
+Everything is DataFrame operations.  Lines are looked up inside their row, in
+a literal map of the notices' digests, so that nothing is shuffled.
 
 Defined results: a null or empty text has no licence; a document may be a
 licence text as a whole (license_id) and carry notices in lines; of several
 known texts with one canonical form the first id in order is reported;
-repeated rows are reported one by one; an empty table gives no rows; other
-columns are ignored.
+repeated rows are reported one by one, each with its own notices; a text of
+any length is read whole; a null id is kept; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -142,16 +144,22 @@ def registry(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN, fo
 
 def scan_licenses(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
     """doc_id, license_id (of the whole text or null), n_notices (lines), notices (ids, sorted, joined by comma)."""
-    digests = F.broadcast(registry(docs.sparkSession, known))  # one row per constant above
-    wholes = F.broadcast(registry(docs.sparkSession, known + full_texts(), loose).toDF("loose", "like"))
-    text = F.col("text").cast("string")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    whole = base.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.sha2(loose(F.col("text")), 256).alias("loose"))
-    whole = whole.join(digests, "digest", "left").join(wholes, "loose", "left").select("doc_id", F.coalesce("found", "like").alias("license_id"))
-    lines = base.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.sha2(canonical(F.col("line")), 256).alias("digest"))
-    hits = lines.join(digests, "digest").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("found")), ",").alias("ids"))
-    joined = whole.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return joined.select("doc_id", "license_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("ids", F.lit("")).alias("notices"))
+    spark, text = docs.sparkSession, F.col("text").cast("string")
+    rows = registry(spark, known)  # one row per constant above
+    wholes = F.broadcast(registry(spark, known + full_texts(), loose).toDF("loose", "like"))
+    notices = F.create_map(*[F.lit(x) for r in rows.collect() for x in (r.digest, r.found)])
+    license_of = lambda line: F.try_element_at(notices, F.sha2(canonical(line), 256))
+    found = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), license_of), lambda x: x.isNotNull())
+    base = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.sha2(canonical(F.col("text")), 256).alias("digest"), F.sha2(loose(F.col("text")), 256).alias("loose"), found.alias("lines")
+    )
+    joined = base.join(F.broadcast(rows), "digest", "left").join(wholes, "loose", "left")
+    return joined.select(
+        "doc_id",
+        F.coalesce("found", "like").alias("license_id"),
+        F.size("lines").cast("long").alias("n_notices"),
+        F.array_join(F.array_sort(F.array_distinct("lines")), ",").alias("notices"),
+    )
 
 
 def _sql_text(value: str) -> str:
@@ -169,10 +177,11 @@ def _sql_canonical(text: str) -> str:
 ORACLE_SQL = f"""
 with known(license, text) as (values {', '.join(f'({_sql_text(k)}, {_sql_text(t)})' for k, t in KNOWN)}),
 r as (select {_sql_canonical('text')} as form, min(license) as found from known group by 1),
-l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents),
+d as (select row_number() over () as row, doc_id, text from documents),
+l as (select row, unnest(string_split(text, chr(10))) as line from d),
 h as (
-  select doc_id, count(*) as n, string_agg(distinct found, ',' order by found) as ids
-  from l join r on {_sql_canonical('l.line')} = r.form group by doc_id)
+  select row, count(*) as n, string_agg(distinct found, ',' order by found) as ids
+  from l join r on {_sql_canonical('l.line')} = r.form group by row)
 select d.doc_id, r.found as license_id, coalesce(h.n, 0) as n_notices, coalesce(h.ids, '') as notices
-from documents d left join r on {_sql_canonical('d.text')} = r.form left join h on d.doc_id = h.doc_id
+from d left join r on {_sql_canonical('d.text')} = r.form left join h on d.row = h.row
 """
