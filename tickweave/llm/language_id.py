@@ -10,17 +10,21 @@ two positions next to each other are one look-up in a table of byte pairs.
 Scoring therefore needs no matrix product over bytes.
 
 The network is fit on at most ``sample`` labelled rows (first in the order of a
-hash of their id) and at most MAX_WINDOWS windows of each, which are spread over
-the whole text.  Scoring reads whole texts, a bounded number of windows at a time.
+hash of their id), on all windows of each, in one task; the driver gets the
+network alone.  A text weighs by the root of its number of windows, and
+languages weigh the same.
+Scoring reads whole texts, a bounded number of windows at a time.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
 a text shorter than a window is padded with spaces; repeated rows are predicted
-one by one; without labelled rows every text is ``und``; an empty table gives
-no rows; lang, source and doc_id are no inputs.
+one by one, and of those with one id the least (lang, text) is learnt; without
+labelled rows every text is ``und``; an empty table gives no rows; lang, source
+and doc_id are no inputs, and other columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,10 +39,10 @@ from tickweave.llm import arrowtext as A
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 8
-#: Labelled rows that the network is fit on at most, and windows taken from each.
+#: Labelled rows that the network is fit on at most.
 SAMPLE = 6_000
-MAX_WINDOWS = 4
-#: Training steps at least, for small samples.
+#: Passes over all windows, and training steps at least, for small samples.
+EPOCHS = 2
 LEAST_STEPS = 300
 #: Windows that are scored in one step.
 STEP = 2_048
@@ -88,17 +92,16 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
-def fit(texts: list[list[bytes]], languages: list[str], *, epochs: int = 6, batch: int = 128, rate: float = 0.01, seed: int = 3) -> Network:
-    """Adam on the cross entropy of each text's windows; gradients go to the position that won the pooling."""
+def fit(texts: list[np.ndarray], languages: list[str], *, epochs: int = EPOCHS, batch: int = 128, rate: float = 0.01, seed: int = 3) -> Network:
+    """Adam on the cross entropy of all windows of the texts; gradients go to the position that won the pooling."""
     names = tuple(sorted(set(languages)))
     rng = np.random.default_rng(seed)
-    pieces, target = [], []
-    for text, lang in zip(texts, languages, strict=True):
-        data = b"".join(window.ljust(WINDOW + _PAD) for window in text)
-        pieces.append(A.LOWER[np.frombuffer(data, np.uint8)].reshape(len(text), WINDOW + _PAD))
-        target += [names.index(lang)] * len(text)
-    x, y = np.concatenate(pieces), np.array(target)
-    weight = (len(y) / len(names) / np.bincount(y, minlength=len(names)))[y]
+    pieces = [cut(text) for text in texts]
+    of_text = np.array([names.index(lang) for lang in languages])
+    many = np.array([len(p) for p in pieces])
+    x, y = np.concatenate(pieces), np.repeat(of_text, many)
+    share = 1.0 / np.repeat(np.sqrt(many), many)  # a long text counts more than a short one, but not by its length
+    weight = share / np.bincount(y, weights=share, minlength=len(names))[y] * len(y) / len(names)
     width_of = {w: rng.normal(0, 0.3, (w, 256, FILTERS)) for w in WIDTHS}
     params = [*(width_of[w] for w in WIDTHS), np.zeros(len(WIDTHS) * FILTERS), rng.normal(0, 0.2, (len(WIDTHS) * FILTERS, len(names))), np.zeros(len(names))]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -165,25 +168,26 @@ def held_out_language(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) == 1
 
 
-def spread_windows(text: Column) -> Column:
-    """At most MAX_WINDOWS windows at even steps from the first to the last of a text, each with _PAD bytes of the next."""
-    data = F.encode(text.cast("string"), "UTF-8")
-    last = F.ceil(F.greatest(F.octet_length(data), F.lit(1)) / WINDOW).cast("int") - 1
-    steps = F.least(last, F.lit(MAX_WINDOWS - 1))
-    at = F.transform(F.sequence(F.lit(0), steps), lambda i: F.floor(i * last / F.greatest(steps, F.lit(1))).cast("int"))
-    return F.transform(at, lambda w: F.substring(data, w * WINDOW + 1, F.lit(WINDOW + _PAD)))
-
-
 def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """The network of at most ``sample`` labelled rows outside the held-out part."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(~held_out_language())
-    windows = spread_windows(F.col("text")).alias("windows")
-    first = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", F.lit(29)).alias("order")).orderBy("order", "doc_id").limit(sample).dropDuplicates(["doc_id"])
-    got = known.select(F.col("doc_id").cast("long").alias("doc_id"), windows, F.col("lang").cast("string").alias("lang")).join(F.broadcast(first), "doc_id").dropDuplicates(["doc_id"]).toArrow()
-    if not got.num_rows:
-        return None
-    order = np.argsort(np.asarray(got["doc_id"]), kind="stable")
-    return fit([got["windows"][int(i)].as_py() for i in order], [got["lang"][int(i)].as_py() for i in order])
+    """The network of at most ``sample`` labelled rows outside the held-out part, fit in one task."""
+    doc_id, lang, text = F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
+    known = docs.select(doc_id, lang, text).where("doc_id is not null and lang is not null and text is not null").where(~held_out_language())
+    first = known.select("doc_id").distinct().withColumn("order", F.xxhash64("doc_id", F.lit(29))).orderBy("order", "doc_id").limit(sample).select("doc_id")
+    rows = known.join(F.broadcast(first), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row")).select("doc_id", "row.lang", "row.text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, names, texts = [], [], []
+        for batch in batches:
+            data, offsets = A.text_buffers(batch.column(2))
+            ids += batch.column(0).to_pylist()
+            names += batch.column(1).to_pylist()
+            texts += [data[offsets[i] : offsets[i + 1]].copy() for i in range(len(offsets) - 1)]
+        if ids:
+            order = sorted(range(len(ids)), key=ids.__getitem__)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([texts[i] for i in order], [names[i] for i in order]))], pa.binary())], ["network"])
+
+    got = rows.repartition(1).mapInArrow(work, "network binary").first()  # at most ``sample`` rows
+    return pickle.loads(got["network"]) if got else None
 
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
