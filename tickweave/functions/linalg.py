@@ -83,16 +83,27 @@ def shrinkage_weight(m: np.ndarray, returns: np.ndarray, *, strict: bool = False
     ``strict`` uses the mean of the diagonal and squared norms, as the
     estimator is usually stated.
     """
-    p, n = len(m), len(returns)
+    scatter = scatter_of(m, returns)
+    total = float(scatter.sum()) if strict else float(np.sqrt(scatter).sum())
+    return weight_of_scatter(m, total, len(returns), strict=strict)
+
+
+def scatter_of(m: np.ndarray, returns: np.ndarray) -> np.ndarray:
+    """Squared distance of each row's outer product from ``m``, by its expansion."""
+    norms = (returns * returns).sum(axis=1)
+    distance = norms**2 - 2 * np.einsum("ki,ij,kj->k", returns, m, returns) + (m * m).sum()
+    return np.maximum(distance / len(m), 0)
+
+
+def weight_of_scatter(m: np.ndarray, total: float, n: int, *, strict: bool = False) -> float:
+    """The weight from the summed scatter of n rows (squared if ``strict``, else of its roots)."""
+    p = len(m)
     level = float(np.trace(m) / p) if strict else squared_frobenius(m - np.eye(p))
     d2 = squared_frobenius(m - level * np.eye(p))
-    norms = (returns * returns).sum(axis=1)
-    scatter = (norms**2 - 2 * np.einsum("ki,ij,kj->k", returns, m, returns) + (m * m).sum()) / p
-    scatter = np.maximum(scatter, 0)
     if strict:
-        return min(float(scatter.sum()) / n**2, d2) / d2
+        return min(total / n**2, d2) / d2
     d = math.sqrt(d2)
-    return min(float(np.sqrt(scatter).sum()) / n**2, d) / d
+    return min(total / n**2, d) / d
 
 
 def identity_regularisation(m: np.ndarray, returns: np.ndarray, *, strict: bool = False) -> np.ndarray:
@@ -194,11 +205,32 @@ def nearest_psd(m: np.ndarray) -> np.ndarray:
     return out
 
 
+def _identity(m: np.ndarray, *, weight: float | None = None, returns: np.ndarray | None = None, strict: bool = False) -> np.ndarray:
+    if weight is not None:
+        return shrink_to_identity(m, weight)
+    if returns is None:
+        raise ValueError("identity_regularisation needs a weight or returns")
+    return identity_regularisation(m, returns, strict=strict)
+
+
+def _eigenvalues(m: np.ndarray, *, obs: float | None = None, threshold: float | None = None) -> np.ndarray:
+    if threshold is not None:
+        return eigenvalue_clean(m, threshold)
+    if obs is None:
+        raise ValueError("eigenvalue_clean needs a threshold or the number of observations per asset")
+    return eigenvalue_clean_for(m, obs)
+
+
+def _nearest(m: np.ndarray, *, weights: np.ndarray | None = None, dykstra: bool = True, stop_at_first: bool = True, max_iterates: int = 1000) -> np.ndarray:
+    return nearest_correlation(m, weights, dykstra=dykstra, stop_at_first=stop_at_first, max_iterates=max_iterates)[0]
+
+
+#: By name; each takes a matrix and its own options, and an option that it does not know is an error.
 REGULARISERS = {
-    "covariance_default": lambda m, **k: nearest_psd(m),
-    "nearest_psd_matrix": lambda m, **k: nearest_psd(m),
-    "correlation_default": lambda m, **k: nearest_correlation(m, **{x: k[x] for x in k if x in ("weights", "dykstra", "stop_at_first", "max_iterates")})[0],
-    "nearest_correlation_matrix": lambda m, **k: nearest_correlation(m, **{x: k[x] for x in k if x in ("weights", "dykstra", "stop_at_first", "max_iterates")})[0],
-    "eigenvalue_clean": lambda m, obs=None, **k: eigenvalue_clean_for(m, obs),
-    "identity_regularisation": lambda m, returns=None, **k: identity_regularisation(m, returns),
+    "covariance_default": nearest_psd,
+    "nearest_psd_matrix": nearest_psd,
+    "correlation_default": _nearest,
+    "nearest_correlation_matrix": _nearest,
+    "eigenvalue_clean": _eigenvalues,
+    "identity_regularisation": _identity,
 }

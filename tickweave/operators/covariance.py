@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +11,15 @@ from pyspark.sql import functions as F
 
 from tickweave.functions.kernels import PARZEN, TRIANGLE, Kernel, Preaveraging
 from tickweave.operators import sampling
-from tickweave.operators.ordered import as_of, previous, ranked
-from tickweave.operators.volatility import default_spacing, two_scales_of, two_scales_volatility
+from tickweave.operators.ordered import as_of, previous, ranked, running_sum, with_halo
+from tickweave.operators.volatility import default_num_grids, default_spacing, two_scales_many, two_scales_volatility
 from tickweave.sources.ticks import Ticks
+from tickweave.workspace import materialise
+
+#: Returns of one block of a realised kernel and of one part of an asset, at least.
+BLOCK, PART = 20_000, 50_000
+#: Up to this many weights a filter is a direct sum.
+DIRECT = 256
 
 
 def pairs_of(df: DataFrame, on: list[str], value: str, *, diagonal: bool = True) -> DataFrame:
@@ -65,37 +70,52 @@ def end_averaged_returns(returns: DataFrame, m: int) -> DataFrame:
     return df.select("asset", slot.cast("long").alias("k"), (F.col("r") * weight).alias("r")).groupBy("asset", "k").agg(F.sum("r").alias("r"))
 
 
+def filtered(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """sum over j of weights[j] x[i - j] for every i; by Fourier transform where the direct sum is longer."""
+    if min(len(x), len(weights)) <= DIRECT:
+        return np.convolve(x, weights)[: len(x)]
+    size = 1 << (len(x) + len(weights) - 1).bit_length()
+    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(weights, size), size)[: len(x)]
+
+
 def realised_kernel(returns: DataFrame, kernel: Kernel, bandwidth: float, n: int) -> DataFrame:
     """(a, b, cov) of the multivariate realised kernel.
 
-    Returns of one asset are one array; a pair is a dense dot product per lag,
-    a group of its own, so pairs spread over tasks.
+    Returns are cut into blocks, each with as many returns before it as the
+    kernel has lags.  A block's share is one product of its returns with its
+    returns filtered by the kernel; shares are summed.
     """
-    arrays = returns.groupBy("asset").agg(F.sort_array(F.collect_list(F.struct("k", "r"))).alias("rows")).select("asset", F.col("rows.r").alias("r"))
-    left, right = arrays.select(F.col("asset").alias("a"), F.col("r").alias("x")), arrays.select(F.col("asset").alias("b"), F.col("r").alias("y"))
-    pairs = left.join(right, F.col("a") <= F.col("b")).repartition("a", "b")
-    weights = kernel.array(np.arange(kernel.lags(n, bandwidth) + 1) / bandwidth)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = x.values.to_numpy(), y.values.to_numpy()
-                total = float(p @ q)
-                for h in range(1, min(len(weights), len(p))):
-                    total += weights[h] * float(p[h:] @ q[:-h] + q[h:] @ p[:-h])
-                out.append(total)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "cov"])
-
-    return pairs.select("a", "b", "x", "y").mapInArrow(work, "a string, b string, cov double")
-
-
-def bnhls(ticks: Ticks, assets: list[str], kernel: Kernel = PARZEN, bandwidth: float | None = None) -> DataFrame:
-    """Realised kernel over refresh-time returns, as covariance over the whole extent."""
-    if bandwidth is None:
-        counts = sampling.ticks_per_asset(ticks.only(assets)).agg(F.avg("number_of_ticks").alias("n")).first()
-        bandwidth = kernel.bandwidth(counts["n"])
-    grid = sampling.refresh_times(ticks, assets).cache()
+    weights = np.asarray(kernel.array(np.arange(kernel.lags(n, bandwidth) + 1) / bandwidth), float)
+    weights[0] = 0.0  # lag 0 counts once and without a weight
+    first = returns.agg(F.min("k").alias("k")).first()["k"] or 0
+    rows = with_halo(returns.select("asset", "k", "r"), F.col("k") - first, max(BLOCK, len(weights)), before=len(weights) - 1)
+
+    def work(table: pa.Table) -> pa.Table:
+        names = sorted(table.column("asset").unique().to_pylist())
+        k = table.column("k").to_numpy()
+        low, own = int(k.min()), int(k[np.asarray(table.column("own").combine_chunks().cast(pa.uint8())) == 1].min(initial=k.max() + 1))
+        x = np.zeros((int(k.max()) - low + 1, len(names)))
+        at = {a: i for i, a in enumerate(names)}
+        x[k - low, [at[a] for a in table.column("asset").to_pylist()]] = table.column("r").to_numpy()
+        mine = x[own - low :]
+        lagged = np.stack([filtered(x[:, i], weights)[own - low :] for i in range(len(names))], axis=1)
+        side = mine.T @ lagged
+        total = mine.T @ mine + side + side.T
+        out = [(a, b, float(total[i, j])) for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.float64()), strict=True)], ["a", "b", "cov"])
+
+    shares = rows.groupBy("part").applyInArrow(work, "a string, b string, cov double")
+    return shares.groupBy("a", "b").agg(F.sum("cov").alias("cov"))
+
+
+def mean_ticks(ticks: Ticks, assets: list[str]) -> float:
+    return sampling.ticks_per_asset(ticks.only(assets)).agg(F.avg("number_of_ticks").alias("n")).first()["n"]
+
+
+def bnhls(ticks: Ticks, assets: list[str], kernel: Kernel = PARZEN, bandwidth: float | None = None, grid: DataFrame | None = None) -> DataFrame:
+    """Realised kernel over refresh-time returns, as covariance over the whole extent; ``grid``: refresh times if known."""
+    bandwidth = kernel.bandwidth(mean_ticks(ticks, assets)) if bandwidth is None else bandwidth
+    grid = materialise(sampling.refresh_times(ticks, assets), "refresh-times") if grid is None else grid
     returns = sampling.returns(sampling.latest_value(ticks, grid, assets))
     return realised_kernel(returns, kernel, bandwidth, max(0, grid.count() - 1))
 
@@ -131,121 +151,112 @@ def spectral_blocks(ticks: Ticks, assets: list[str], *, num_j: int = 100, num_bl
 def preaveraged_returns(ticks: Ticks, k: int, g: Preaveraging = TRIANGLE) -> DataFrame:
     """(asset, i, t, d, y): weighted sums y of the k - 1 returns from the i-th on; t is the time of return i.
 
-    The sums reach over chunk borders: a chunk also gets the k - 1 returns
-    after its end, which it uses but does not emit.
+    Returns are cut into parts, each with the k - 1 returns after it, and a
+    part is filtered as one array.
     """
     d = previous(ticks).where(F.col("p_t").isNotNull()).select("asset", "t", "seq", (F.col("value") - F.col("p_value")).alias("value"))
-    diffs = ranked(Ticks(d, ticks.period, ticks.chunk)).withColumnRenamed("rn", "i").withColumnRenamed("value", "d")
+    diffs = ranked(Ticks(d, ticks.period, ticks.chunk)).select("asset", F.col("rn").cast("int").alias("i"), "t", F.col("value").alias("d"))
     sizes = diffs.groupBy("asset").agg(F.max("i").alias("n"))
-    weights = g.weights(k)
-    if ticks.chunk is None:
-        part = F.lit(0)
-        rows = diffs.withColumn("part", part).withColumn("own", F.lit(True))
-    else:
-        length = max(50_000, 4 * k)
-        part = F.floor((F.col("i") - 1) / length).cast("int")
-        again = (F.col("part") > 0) & (F.pmod(F.col("i") - 1, length) < k)
-        base = diffs.withColumn("part", part).withColumn("own", F.lit(True))
-        rows = base.unionByName(base.where(again).withColumn("part", F.col("part") - 1).withColumn("own", F.lit(False)))
-    w = Window.partitionBy("asset", "part").orderBy("i").rowsBetween(0, max(0, k - 2))
-    array = F.collect_list("d").over(w)
-    gs = F.array(*[F.lit(x) for x in weights])
-    y = F.aggregate(F.zip_with(array, gs, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
-    out = rows.withColumn("y", y).where("own").join(F.broadcast(sizes), "asset")  # a row per asset
-    return out.select("asset", "i", "t", "d", F.when(F.col("i") <= F.col("n") - k + 1, F.col("y")).alias("y"))
-
-
-def overlap_sums(y: DataFrame, pairs: list[tuple[str, str]], k: int, psi: float) -> DataFrame:
+    rows = with_halo(diffs, F.col("i") - 1, max(PART, 2 * k), after=max(0, k - 2))
+    rows = rows.join(F.broadcast(sizes), "asset")  # a row per asset
+    weights = np.array(g.weights(k), float)[::-1]
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("i")
+        own = np.asarray(table.column("own").combine_chunks().cast(pa.uint8())) == 1
+        i, n, x = table.column("i").to_numpy(), table.column("n").to_numpy(), table.column("d").to_numpy()
+        ahead = np.concatenate((x, np.zeros(len(weights))))
+        y = filtered(ahead, weights)[len(weights) - 1 :][: len(x)] if len(weights) else np.zeros(len(x))
+        out = table.select(["asset", "i", "t", "d"]).append_column("y", pa.array(y, mask=i > n - k + 1))
+        return out.filter(pa.array(own))
+
+    return rows.groupBy("asset", "part").applyInArrow(work, "asset string, i int, t double, d double, y double")
+
+
+def overlap_sums(y: DataFrame, pairs: list[tuple[str, str]], k: int, psi: float, chunk: float | None = None) -> DataFrame:
     """(a, b, cov) of pairs: sum of products of preaveraged returns whose windows overlap.
 
-    Inner sums are differences of b's running sums at two as-of places, so no
-    pair of returns is listed.  All pairs are one plan, a group per pair.
+    What b sums up to while a window of a lasts is the difference of b's
+    running sum at two times.  Both are as-of joins, chunked in time, of all
+    pairs at once; no pair of returns is listed and no asset is one task.
     """
     names = y.sparkSession.createDataFrame(list(pairs), "a string, b string")
     lengths = y.groupBy("asset").agg(F.count("y").alias("len"))
-    mine = y.withColumn("end", F.lead("t", k).over(Window.partitionBy("asset").orderBy("i"))).join(F.broadcast(lengths), "asset")  # a row per asset
-    own = mine.where(F.col("i") <= F.col("len") - k + 2).withColumnRenamed("asset", "a").join(F.broadcast(names), "a")
-    running = y.withColumn("c", F.sum(F.coalesce("y", F.lit(0.0))).over(Window.partitionBy("asset").orderBy("i"))).join(F.broadcast(lengths), "asset")
-    running = running.withColumnRenamed("asset", "b").join(F.broadcast(names), "b").select("a", "b", "i", "t", "c", "len")
-    # One sort finds, for each start and end, how many of b's returns lie before it.
-    none = F.lit(None).cast("double")
-    side = running.select("a", "b", "t", F.lit(0).alias("which"), "i", none.alias("y"), "len")
-    starts = own.select("a", "b", "t", F.lit(-1).alias("which"), "i", "y", F.lit(None).cast("long").alias("len"))
-    ends = own.select("a", "b", F.col("end").alias("t"), F.lit(1).alias("which"), "i", "y", F.lit(None).cast("long").alias("len"))
-    w = Window.partitionBy("a", "b").orderBy("t", "which")
-    merged = side.unionByName(starts).unionByName(ends).withColumn("seen", F.sum(F.when(F.col("which") == 0, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = merged.withColumn("last", F.max("len").over(Window.partitionBy("a", "b")))
-    spans = merged.where("which <> 0").groupBy("a", "b", "i").agg(
-        F.max("y").alias("y"),
-        F.max(F.when(F.col("which") == -1, F.greatest(F.lit(1), F.col("seen") + 1 - k))).alias("lo"),
-        F.max(F.when(F.col("which") == 1, F.least("last", "seen"))).alias("hi"),
-    )
-    c_hi = running.select("a", "b", F.col("i").cast("long").alias("hi"), F.col("c").alias("c_hi"))
-    c_lo = running.select("a", "b", (F.col("i") + 1).cast("long").alias("lo"), F.col("c").alias("c_lo"))
-    got = spans.where("hi >= lo").join(c_hi, ["a", "b", "hi"]).join(c_lo, ["a", "b", "lo"], "left")
-    total = F.sum(F.col("y") * (F.col("c_hi") - F.coalesce("c_lo", F.lit(0.0)))) / (psi * k) ** 2
-    return names.join(got.groupBy("a", "b").agg(total.alias("cov")), ["a", "b"], "left").select("a", "b", F.coalesce("cov", F.lit(0.0)).alias("cov"))
+    rows = with_halo(y.select("asset", F.col("i").cast("long").alias("i"), "t", "y"), F.col("i") - 1, max(PART, 2 * k), after=k)
+    rows = rows.withColumn("end", F.lead("t", k).over(Window.partitionBy("asset", "part").orderBy("i"))).where("own")
+    rows = running_sum(rows, ["asset"], "i", F.coalesce("y", F.lit(0.0)), "sum").join(F.broadcast(lengths), "asset")  # a row per asset
+    rows = materialise(rows.select("asset", "i", "t", "end", "y", "sum", "len"), "running-sums")
+    own = rows.where(F.col("end").isNotNull() & F.col("y").isNotNull() & (F.col("i") <= F.col("len") - k + 2)).withColumnRenamed("asset", "a").join(F.broadcast(names), "a")  # a row per pair given
+    # At its time the sum has reached return i; of windows that start before, it has left return i k returns later.
+    reached = Ticks(rows.select("asset", "t", F.col("i").alias("seq"), F.col("sum").alias("value")), chunk=chunk)
+    left = Ticks(rows.where(F.col("end").isNotNull()).select("asset", F.col("end").alias("t"), F.col("i").alias("seq"), F.col("sum").alias("value")), chunk=chunk)
+    asked = own.select(F.col("b").alias("asset"), F.col("i").alias("k"), "t", "end", "a", "y")
+    high = as_of(reached, asked.drop("t").withColumnRenamed("end", "t"), fill_first=False, carry=("a", "y"))
+    low = as_of(left, asked.drop("end"), strict=True, fill_first=False, carry=("a", "y"))
+    both = high.unionByName(low.withColumn("y", -F.col("y")))
+    total = both.groupBy("a", F.col("asset").alias("b")).agg((F.sum(F.col("y") * F.coalesce("value", F.lit(0.0))) / (psi * k) ** 2).alias("cov"))
+    return names.join(total, ["a", "b"], "left").select("a", "b", F.coalesce("cov", F.lit(0.0)).alias("cov"))
 
 
 def own_overlap_sum(y: DataFrame, k: int, psi: float) -> DataFrame:
-    """(a, b, cov) with a = b: each preaveraged return times the centred sum around it."""
-    made = y.where(F.col("y").isNotNull())
-    w = Window.partitionBy("asset").orderBy("i").rowsBetween(-(k - 1), k - 1)
-    around = made.withColumn("s", F.sum("y").over(w)).withColumn("n", F.count("*").over(Window.partitionBy("asset")))
-    inner = around.where((F.col("i") >= k) & (F.col("i") <= F.col("n") - 2 * k + 1))
-    return inner.groupBy("asset").agg((F.sum(F.col("y") * F.col("s")) / (psi * k) ** 2).alias("cov")).select(F.col("asset").alias("a"), F.col("asset").alias("b"), "cov")
+    """(a, b, cov) with a = b: each preaveraged return times the centred sum around it, as a difference of running sums."""
+    made = y.where(F.col("y").isNotNull()).select("asset", F.col("i").cast("long").alias("i"), "y")
+    sizes = made.groupBy("asset").agg(F.count("*").alias("n"))
+    rows = with_halo(made, F.col("i") - 1, max(PART, 2 * k), before=k, after=k)
+    w = Window.partitionBy("asset", "part").orderBy("i")
+    rows = rows.withColumn("sum", F.sum("y").over(w))
+    around = F.lead("sum", k - 1).over(w) - F.coalesce(F.lag("sum", k).over(w), F.lit(0.0))
+    rows = rows.withColumn("around", around).where("own").join(F.broadcast(sizes), "asset")  # a row per asset
+    inner = rows.where((F.col("i") >= k) & (F.col("i") <= F.col("n") - 2 * k + 1))
+    return inner.groupBy("asset").agg((F.sum(F.col("y") * F.col("around")) / (psi * k) ** 2).alias("cov")).select(F.col("asset").alias("a"), F.col("asset").alias("b"), "cov")
 
 
 def preaveraging_window(ticks: int, theta: float = 0.15) -> int:
     return math.ceil(min(ticks / 2, theta * math.sqrt(ticks)))
 
 
-def preaveraged(ticks: Ticks, assets: list[str], *, theta: float = 0.15, g: Preaveraging = TRIANGLE) -> DataFrame:
+def preaveraged(ticks: Ticks, assets: list[str], *, theta: float = 0.15, g: Preaveraging = TRIANGLE, window: int | None = None) -> DataFrame:
     """(a, b, cov) of the preaveraged overlap estimator, all pairs; the window comes from the whole table."""
-    k = preaveraging_window(ticks.df.count(), theta)
-    y = preaveraged_returns(ticks.only(assets), k, g).cache()
+    k = preaveraging_window(ticks.df.count(), theta) if window is None else window
+    y = materialise(preaveraged_returns(ticks.only(assets), k, g), "preaveraged")
     pairs = [(a, b) for x, a in enumerate(assets) for b in assets[x + 1 :]]
     own = own_overlap_sum(y, k, g.psi)
-    return own.unionByName(overlap_sums(y, pairs, k, g.psi)) if pairs else own
-
+    return own.unionByName(overlap_sums(y, pairs, k, g.psi, ticks.chunk)) if pairs else own
 
-def two_scales_correlations(ticks: Ticks, assets: list[str], *, equal_weight: bool = False, num_grids: float | None = None, min_obs: int = 10, fallback: float = math.nan, seed: int = 2604) -> DataFrame:
-    """(a, b, cor) for a < b from sums and differences of prices at pairwise refresh times."""
-    from tickweave.operators.volatility import default_num_grids
 
+def two_scales_correlations(ticks: Ticks, assets: list[str], *, equal_weight: bool = False, num_grids: float | None = None, min_obs: int = 10, fallback: float = math.nan, seed: int = 2604, vols: DataFrame | None = None) -> DataFrame:
+    """(a, b, cor) for a < b from sums and differences of prices at pairwise refresh times; ``vols``: two-scales volatilities if known."""
     grids = default_num_grids(ticks) if num_grids is None else num_grids
-    vols = two_scales_volatility(ticks, assets, grids).select("asset", "volatility").cache()
+    vols = materialise(two_scales_volatility(ticks, assets, grids), "volatilities") if vols is None else vols
     pairs = [(a, b) for i, a in enumerate(assets) for b in assets[i + 1 :]]
-    times = sampling.refresh_times_of_pairs(ticks, pairs).cache()
+    times = sampling.refresh_times_of_pairs(ticks, pairs)
     both = times.select("a", "b", "k", "t", F.explode(F.array("a", "b")).alias("asset"))
-    # An asset is sampled on the grids of all its pairs at once: the pair is part of the key.
-    keyed = both.withColumn("pair", F.concat_ws("\u0001", "a", "b", "asset"))
+    keyed = materialise(both, "pair-times")  # an asset is sampled on the grids of all its pairs at once
     price = _pair_prices(ticks, keyed, assets, seed)
     wide = price.groupBy("a", "b", "k", "t").agg(F.max(F.when(F.col("asset") == F.col("a"), F.col("value"))).alias("x"), F.max(F.when(F.col("asset") == F.col("b"), F.col("value"))).alias("y"))
     va, vb = vols.select(F.col("asset").alias("a"), F.col("volatility").alias("va")), vols.select(F.col("asset").alias("b"), F.col("volatility").alias("vb"))
-    wide = wide.join(F.broadcast(va), "a").join(F.broadcast(vb), "b")  # a row per asset
+    names = ticks.spark.createDataFrame(pairs, "a string, b string").join(va, "a").join(vb, "b")
     gamma = F.lit(0.5) if equal_weight else F.greatest(F.lit(0.1), F.least(F.lit(0.9), F.col("vb") / (F.col("va") + F.col("vb"))))
-    wide = wide.withColumn("gamma", gamma).withColumn("rn", (F.col("k") + 1).cast("int"))
+    names = names.withColumn("gamma", gamma)
+    wide = wide.join(F.broadcast(names.select("a", "b", "gamma")), ["a", "b"])  # a row per pair
     px, py = F.col("gamma") * F.col("x"), (1 - F.col("gamma")) * F.col("y")
-    kinds = F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), v.alias("v")) for n, v in (("plus", px + py), ("minus", px - py), ("x", F.col("x")), ("y", F.col("y")))]))
-    four = wide.select("a", "b", "gamma", "rn", "t", kinds.alias("s")).select("a", "b", "gamma", "rn", "t", "s.kind", F.col("s.v").alias("value"))
-    found = two_scales_of(four, ["a", "b", "kind"], grids)
-    per = found.groupBy("a", "b").agg(*[F.max(F.when(F.col("kind") == n, F.col("volatility"))).alias(n) for n in ("plus", "minus", "x", "y")], F.max("n").alias("n"))
-    per = per.join(wide.select("a", "b", "gamma", "va", "vb").distinct(), ["a", "b"])
-    cov = (F.col("plus") ** 2 - F.col("minus") ** 2) / (4 * F.col("gamma") * (1 - F.col("gamma")))
+    four = wide.select("a", "b", (F.col("k") + 1).cast("int").alias("rn"), "t", "x", "y", (px + py).alias("plus"), (px - py).alias("minus"))
+    found = two_scales_many(materialise(four, "pair-prices"), ["a", "b"], grids, ["plus", "minus", "x", "y"])
+    per = names.join(found, ["a", "b"])
+    v = lambda name: F.col(f"volatility_{name}")
+    cov = (v("plus") ** 2 - v("minus") ** 2) / (4 * F.col("gamma") * (1 - F.col("gamma")))
     eps = float(np.finfo(float).eps)
-    cor = F.when((F.col("va") < eps) | (F.col("vb") < eps), F.lit(0.0)).when(F.col("n") < min_obs, F.lit(fallback)).otherwise(cov / (F.col("x") * F.col("y")))
+    cor = F.when((F.col("va") < eps) | (F.col("vb") < eps), F.lit(0.0)).when(F.col("n") < min_obs, F.lit(fallback)).otherwise(cov / (v("x") * v("y")))
     return per.select("a", "b", cor.alias("cor"))
 
 
 def _pair_prices(ticks: Ticks, keyed: DataFrame, assets: list[str], seed: int) -> DataFrame:
     """(a, b, asset, k, t, value): random ticks in the intervals of each pair's refresh times."""
     numbered = ranked(ticks.only(assets))
-    names = keyed.select("pair", "asset").distinct()
-    spread = numbered.join(F.broadcast(names), "asset").select(F.col("pair").alias("asset"), "t", "seq", F.col("rn").cast("double").alias("value"))  # two rows per pair
-    grid = keyed.select(F.col("pair").alias("asset"), "k", "t")
-    places = as_of(Ticks(spread, ticks.period, ticks.chunk), grid).select(F.col("asset").alias("pair"), "k", F.col("value").cast("int").alias("hi"))
-    before = F.coalesce(F.lag("hi").over(Window.partitionBy("pair").orderBy("k")), F.lit(1))
-    places = places.withColumn("lo", F.least(F.col("hi"), before + 1)).join(keyed, ["pair", "k"])
+    asked = keyed.select("asset", "k", "t", "a", "b")
+    places = as_of(Ticks(numbered, ticks.period, ticks.chunk), asked, F.col("rn").cast("double"), carry=("a", "b")).withColumn("hi", F.col("value").cast("int"))
+    places = with_halo(places.drop("value"), F.col("k"), PART, before=1)
+    w = Window.partitionBy("a", "b", "asset", "part").orderBy("k")
+    places = places.withColumn("lo", F.least(F.col("hi"), F.coalesce(F.lag("hi").over(w), F.lit(1)) + 1)).where("own")
     rn = (F.col("lo") + F.floor(sampling.pick_number(F.col("k"), F.col("asset"), seed) * (F.col("hi") - F.col("lo") + 1))).cast("int")
     return places.select("a", "b", "asset", "k", "t", rn.alias("rn")).join(numbered.select("asset", "rn", "value"), ["asset", "rn"]).drop("rn")

@@ -77,10 +77,15 @@ class CovarianceMatrix:
     def is_valid(self, least: float = 0.0) -> bool:
         return linalg.is_correlation(self.correlation, least)
 
-    def regularise(self, method: str = "nearest_correlation_matrix", *, on_covariance: bool = True, only_if_not_psd: bool = False, **given) -> CovarianceMatrix:
-        """A regularised copy; on the covariance (then split again) or on the correlation alone."""
+    def regularise(self, method: str = "nearest_correlation_matrix", *, on_covariance: bool | None = None, only_if_not_psd: bool = False, **given) -> CovarianceMatrix:
+        """A regularised copy; on the covariance (then split again) or on the correlation alone.
+
+        The default is the covariance, but for a given weight of the identity the correlation.
+        """
         if method not in linalg.REGULARISERS:
             raise ValueError(f"unknown regularisation {method!r}")
+        if on_covariance is None:
+            on_covariance = "weight" not in given
         if only_if_not_psd and self.is_psd():
             return self
         if method in ("nearest_correlation_matrix", "correlation_default") or not on_covariance:
@@ -336,7 +341,9 @@ def mean_abs_distance_of_models(x: CovarianceModel, y: CovarianceModel, *, nan_i
     return cor, vol, round(float(np.abs(p.drifts - q.drifts).mean()), DECIMALS), round(float(np.abs(p.means - q.means).mean()), DECIMALS)
 
 
-def mean_abs_covariance_distance(x: CovarianceMatrix, y: CovarianceMatrix, *, nan_if_labels_differ: bool = True) -> float:
+def mean_abs_covariance_distance(x: CovarianceMatrix | CovarianceModel, y: CovarianceMatrix | CovarianceModel, *, nan_if_labels_differ: bool = True) -> float:
+    """Mean absolute difference of the covariances over the natural unit, of matrices or of models."""
+    x, y = (m.cm if isinstance(m, CovarianceModel) else m for m in (x, y))
     if set(x.labels) != set(y.labels) and nan_if_labels_differ:
         return math.nan
     labels = [a for a in x.labels if a in y.labels]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -126,67 +126,133 @@ def _global_rank(ticks: Ticks) -> DataFrame:
     return inside.join(before, "chunk").withColumn("rn", F.col("rn") + F.col("before")).drop("chunk", "before")
 
 
-def _scan(assets: list[str]):
-    """A scan over time-ordered ticks that emits a time whenever every asset has ticked again."""
+class _Chunk:
+    """One chunk's ticks in time order: where each asset ticks, and the ways through it.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        missing, k = set(assets), 0
-        for batch in batches:
-            times = []
-            for asset, t in zip(batch.column("asset").to_pylist(), batch.column("t").to_pylist(), strict=True):
-                missing.discard(asset)
-                if not missing:
-                    times.append(t)
-                    missing = set(assets)
-            yield pa.RecordBatch.from_arrays([pa.array(range(k, k + len(times)), pa.int64()), pa.array(times, pa.float64())], ["k", "t"])
-            k += len(times)
+    A state is the set of assets that are still missing.  A chunk with some
+    assets missing has its next refresh at the latest of their first ticks
+    here; from there on the way through the chunk depends on nothing before.
+    """
 
-    return work
+    def __init__(self, table: pa.Table, place: dict[str, int]) -> None:
+        table = table.select(["asset", "t", "seq"]).combine_chunks().sort_by([("t", "ascending"), ("seq", "ascending")])
+        names = table.column("asset").combine_chunks().dictionary_encode() if table.num_rows else None
+        self.t = table.column("t").to_numpy()
+        self.at: list[list[int]] = [[] for _ in place]
+        if names is not None:
+            names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+            code = np.array([place[x] for x in names.dictionary.to_pylist()])[np.asarray(names.indices)]
+            order = np.argsort(code, kind="stable")
+            bounds = np.searchsorted(code[order], np.arange(len(place) + 1))
+            self.at = [order[bounds[i] : bounds[i + 1]].tolist() for i in range(len(place))]
+
+    def next_refresh(self, group: tuple[int, ...], row: int, seen: list[int]) -> int:
+        """The row by which all of the group have ticked from ``row`` on, or -1; ``seen`` holds how far each was read."""
+        latest = -1
+        for k, asset in enumerate(group):
+            ticks = self.at[asset]
+            seen[k] = bisect_left(ticks, row, seen[k])
+            if seen[k] == len(ticks):
+                return -1
+            latest = max(latest, ticks[seen[k]])
+        return latest
+
+    def walk(self, group: tuple[int, ...], row: int, known: dict) -> tuple[list[int], int]:
+        """Refreshes from ``row`` on until one is in ``known`` or the chunk ends, and where the last stretch began."""
+        found, seen = [], [0] * len(group)
+        while row not in known:
+            latest = self.next_refresh(group, row, seen)
+            if latest < 0:
+                break
+            found.append(latest)
+            row = latest + 1
+        return found, row
+
+    def missing_from(self, group: tuple[int, ...], row: int) -> list[int]:
+        return [a for a in group if not self.at[a] or self.at[a][-1] < row]
+
+    def ways(self, group: tuple[int, ...]) -> list[tuple[int, int, int, list[int]]]:
+        """(asset, first row, refreshes after it, assets missing at the end) if that asset's first tick completes a refresh."""
+        known: dict[int, tuple[int, list[int]]] = {}
+        out = []
+        for first, asset in sorted(((self.at[a][0], a) for a in group if self.at[a]), reverse=True):
+            found, row = self.walk(group, first + 1, known)
+            if row not in known:
+                known[row] = (0, self.missing_from(group, row))
+            count, missing = known[row]
+            for k, refresh in enumerate(reversed(found), 1):
+                start = found[-k - 1] + 1 if k < len(found) else first + 1
+                known[start] = (count + k, missing)
+            out.append((asset, first, *known[first + 1]))
+        return out
+
+    def refreshes(self, group: tuple[int, ...], missing: list[int]) -> list[int]:
+        """Rows of the refreshes if ``missing`` is the state at the start."""
+        if not all(self.at[a] for a in missing):
+            return []
+        first = max(self.at[a][0] for a in missing)
+        return [first, *self.walk(group, first + 1, {})[0]]
+
+
+_WAYS = "g int, chunk long, ways array<struct<asset:int,first:long,count:long,missing:array<int>>>"
+_ENTRY = "g int, chunk long, missing array<int>, k long"
+
+
+def group_refresh_times(ticks: Ticks, groups: list[tuple[str, ...]]) -> DataFrame:
+    """(g, k, t): for each group of assets, the times by which all of it have ticked since the refresh before.
+
+    Chunks are read in parallel twice: first each says where it leads to from
+    every state it may be entered in (a row per group and chunk), these are
+    chained, and then each gives its refreshes.  Both readings share one shuffle.
+    """
+    names = sorted({a for g in groups for a in g})
+    place = {a: i for i, a in enumerate(names)}
+    coded = [tuple(place[a] for a in g) for g in groups]
+    base = ticks.only(names).df.select(ticks.chunk_of(F.col("t")).alias("chunk"), "asset", "t", "seq")
+
+    def summarise(key: tuple, table: pa.Table) -> pa.Table:
+        chunk = _Chunk(table, place)
+        rows = [{"g": g, "chunk": key[0].as_py(), "ways": [dict(zip(("asset", "first", "count", "missing"), w, strict=True)) for w in chunk.ways(group)]} for g, group in enumerate(coded)]
+        way = pa.list_(pa.struct([("asset", pa.int32()), ("first", pa.int64()), ("count", pa.int64()), ("missing", pa.list_(pa.int32()))]))
+        return pa.Table.from_pylist(rows, pa.schema([("g", pa.int32()), ("chunk", pa.int64()), ("ways", way)]))
+
+    def follow(key: tuple, table: pa.Table) -> pa.Table:
+        missing, k, out = set(coded[key[0].as_py()]), 0, []
+        for row in table.sort_by("chunk").to_pylist():
+            out.append({"g": row["g"], "chunk": row["chunk"], "missing": sorted(missing), "k": k})
+            ways = {w["asset"]: w for w in row["ways"]}
+            if missing <= ways.keys():
+                last = max((ways[a] for a in missing), key=lambda w: w["first"])
+                missing, k = set(last["missing"]), k + 1 + last["count"]
+            else:
+                missing = missing - ways.keys()
+        return pa.Table.from_pylist(out, pa.schema([("g", pa.int32()), ("chunk", pa.int64()), ("missing", pa.list_(pa.int32())), ("k", pa.int64())]))
+
+    def emit(left: pa.Table, right: pa.Table) -> pa.Table:
+        chunk = _Chunk(left, place)
+        parts = []
+        for row in right.to_pylist():
+            found = chunk.refreshes(coded[row["g"]], row["missing"])
+            parts.append((np.full(len(found), row["g"], np.int32), row["k"] + np.arange(len(found)), chunk.t[np.array(found, np.int64)]))
+        columns = [np.concatenate([p[i] for p in parts] or [np.zeros(0)]) for i in range(3)]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.float64()), strict=True)], ["g", "k", "t"])
+
+    entry = base.groupBy("chunk").applyInArrow(summarise, _WAYS).groupBy("g").applyInArrow(follow, _ENTRY)
+    return base.groupBy("chunk").cogroup(entry.groupBy("chunk")).applyInArrow(emit, "g int, k long, t double")
 
 
 def refresh_times(ticks: Ticks, assets: list[str] | None = None, start_time: float | None = None) -> DataFrame:
-    """(k, t): times by which every asset has ticked since the refresh before.
-
-    The scan is sequential by definition; it streams over sorted ticks with a
-    state of one set.  Ticks that cannot matter (third and later of a run of
-    one asset) are dropped before they are gathered.
-    """
+    """(k, t): times by which every asset has ticked since the refresh before."""
     assets = assets or asset_names(ticks)
-    df = ticks.df.where(F.col("asset").isin(assets))
     if start_time is not None:
-        df = df.where(F.col("t") >= start_time)
-    if ticks.chunk is not None:
-        df = df.withColumn("chunk", ticks.chunk_of(F.col("t")))
-        w = Window.partitionBy("chunk").orderBy("t", "seq")
-        df = df.withColumn("p1", F.lag("asset", 1).over(w)).withColumn("p2", F.lag("asset", 2).over(w))
-        df = df.where(~(F.col("asset").eqNullSafe(F.col("p1")) & F.col("asset").eqNullSafe(F.col("p2"))))
-    one = df.select("asset", "t", "seq").repartition(1).sortWithinPartitions("t", "seq")
-    return one.mapInArrow(_scan(assets), "k long, t double")
+        ticks = Ticks(ticks.df.where(F.col("t") >= start_time), ticks.period, ticks.chunk)
+    return group_refresh_times(ticks, [tuple(assets)]).select("k", "t")
 
 
 def refresh_times_of_pairs(ticks: Ticks, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(a, b, k, t) for many pairs at once, a group per pair."""
-    spark = ticks.spark
-    names = spark.createDataFrame([(a, b, x) for a, b in pairs for x in (a, b)], "a string, b string, asset string")
-    rows = ticks.df.join(F.broadcast(names), "asset").select("a", "b", "asset", "t", "seq")  # two rows per pair given
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, missing, k = None, set(), 0
-        for batch in batches:
-            out: list[tuple] = []
-            columns = (batch.column(c).to_pylist() for c in ("a", "b", "asset", "t"))
-            for a, b, asset, t in zip(*columns, strict=True):
-                if (a, b) != pair:
-                    pair, missing, k = (a, b), {a, b}, 0
-                missing.discard(asset)
-                if not missing:
-                    out.append((a, b, k, t))
-                    missing, k = {a, b}, k + 1
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.float64())
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, kinds, strict=True)], ["a", "b", "k", "t"])
-
-    return rows.repartition("a", "b").sortWithinPartitions("a", "b", "t", "seq").mapInArrow(work, "a string, b string, k long, t double")
+    """(a, b, k, t) for many pairs at once; ticks are not copied for their pairs."""
+    names = ticks.spark.createDataFrame([(g, a, b) for g, (a, b) in enumerate(pairs)], "g int, a string, b string")
+    return group_refresh_times(ticks, list(pairs)).join(F.broadcast(names), "g").select("a", "b", "k", "t")  # a row per pair
 
 
 def returns(sampled: DataFrame, *, rescale: bool = False) -> DataFrame:

@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickweave.operators import sampling
-from tickweave.operators.ordered import previous, ranked
+from tickweave.operators.ordered import as_of, previous, ranked, with_halo
 from tickweave.sources.ticks import Ticks
 
 NAN = float("nan")
 #: Fewest values for a two-scales estimate.
 MIN_VALUES = 10
+#: Ranks of a key that one task takes at least.
+PART_RANKS = 100_000
 #: Noise below this gives no useful spacing; the fallback spacing is used.
 TINY_NOISE, FALLBACK_SPACING = 1e-7, 20.0
 
@@ -25,8 +27,6 @@ def volatility_of_returns(returns: DataFrame) -> DataFrame:
 
 def grid_volatility(ticks: Ticks, grid: DataFrame) -> DataFrame:
     """Volatility per unit of time from values sampled on (asset, k, t)."""
-    from tickweave.operators.ordered import as_of
-
     sampled = as_of(ticks, grid)
     r = sampling.returns(sampled)
     steps = sampled.groupBy("asset").agg(((F.max("t") - F.min("t")) / (F.count("*") - 1)).alias("step"))
@@ -39,31 +39,44 @@ def default_num_grids(ticks: Ticks) -> float:
 
 
 def two_scales_of(df: DataFrame, keys: list[str], num_grids: float, value: Column | None = None) -> DataFrame:
-    """keys, volatility, noise, n from rows (keys, rn, t, value) ranked by rn from 1.
+    """keys, volatility, noise, n from rows (keys, rn, t, value) ranked by rn from 1."""
+    value = F.col("value") if value is None else value
+    found = two_scales_many(df.select(*keys, "rn", "t", value.alias("value")), keys, num_grids, ["value"])
+    return found.select(*keys, F.col("volatility_value").alias("volatility"), F.col("noise_value").alias("noise"), "n")
+
+
+def two_scales_many(df: DataFrame, keys: list[str], num_grids: float, names: list[str]) -> DataFrame:
+    """keys, n, and volatility_x, noise_x of each value column x of rows (keys, rn, t, x, ...) ranked by rn from 1.
 
     Squared changes over every K-th value are averaged over the K sub-samples,
-    and the change-by-change estimate corrects for noise.  Sub-samples are
-    groups of their own, so K tasks share a large key.
+    and the change-by-change estimate corrects for noise.  Ranks are cut into
+    parts, each with the K ranks before it, so that tasks share a large key.
     """
-    value = F.col("value") if value is None else value
-    df = df.select(*keys, "rn", "t", value.alias("value"))
+    most = max(2, math.floor(num_grids))
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("span"))
-    k = F.least(F.floor(F.col("n") / 4), F.lit(max(2, math.floor(num_grids)))).cast("int")
-    sized = df.join(sizes.where(f"n >= {MIN_VALUES} and span > 0").withColumn("grids", k), keys)
-
-    def scale(step: Column, name: str) -> DataFrame:
-        own = sized.withColumn("sub", F.pmod(F.col("rn") - 1, step))
-        w = Window.partitionBy(*keys, "sub").orderBy("rn")
-        own = own.withColumn("d", F.col("value") - F.lag("value").over(w))
-        per = own.groupBy(*keys, "sub").agg(F.sqrt(F.sum(F.col("d") * F.col("d")) / (F.max("t") - F.min("t"))).alias("v"))
-        return per.groupBy(*keys).agg(F.avg("v").alias(name))
-
-    both = scale(F.col("grids"), "sparse").join(scale(F.lit(1), "full"), keys).join(sizes.withColumn("grids", k), keys)
-    pure = (F.col("sparse") - F.col("full") / F.col("grids")) / (1 - 1 / F.col("grids"))
-    out = both.withColumn("volatility", pure).withColumn("noise", (F.col("full") ** 2 - F.col("volatility") ** 2) * F.col("span") / (2 * F.col("n")))
-    return sizes.select(*keys, "n").join(out.select(*keys, "volatility", "noise"), keys, "left").select(
-        *keys, F.coalesce("volatility", F.lit(NAN)).alias("volatility"), F.coalesce("noise", F.lit(NAN)).alias("noise"), "n"
+    sizes = sizes.withColumn("grids", F.least(F.floor(F.col("n") / 4), F.lit(most)).cast("int"))
+    used = sizes.where(f"n >= {MIN_VALUES} and span > 0").select(*keys, "grids")
+    rows = with_halo(df.join(F.broadcast(used), keys), F.col("rn") - 1, max(PART_RANKS, 4 * most), before=most)  # a row per key
+    rows = rows.withColumn("sub", F.pmod(F.col("rn") - 1, F.col("grids")))
+    every, sparse = Window.partitionBy(*keys, "part").orderBy("rn"), Window.partitionBy(*keys, "part", "sub").orderBy("rn")
+    for x in names:
+        rows = rows.withColumn(f"f_{x}", F.col(x) - F.lag(x).over(every)).withColumn(f"s_{x}", F.col(x) - F.lag(x).over(sparse))
+    square = lambda c: F.sum(F.col(c) * F.col(c))
+    subs = rows.where("own").groupBy(*keys, "sub").agg(
+        F.min("t").alias("lo"), F.max("t").alias("hi"), *[square(f"{kind}_{x}").alias(f"{kind}_{x}") for x in names for kind in ("f", "s")]
+    )
+    root = lambda sums, lo, hi: F.sqrt(sums / (hi - lo))
+    per = subs.groupBy(*keys).agg(
+        *[F.avg(root(F.col(f"s_{x}"), F.col("lo"), F.col("hi"))).alias(f"sparse_{x}") for x in names],
+        *[root(F.sum(f"f_{x}"), F.min("lo"), F.max("hi")).alias(f"full_{x}") for x in names],
     )
+    out = sizes.join(per, keys, "left")
+    for x in names:
+        sparse_v, full = F.col(f"sparse_{x}"), F.col(f"full_{x}")
+        pure = (sparse_v - full / F.col("grids")) / (1 - 1 / F.col("grids"))
+        out = out.withColumn(f"volatility_{x}", pure).withColumn(f"noise_{x}", (full**2 - F.col(f"volatility_{x}") ** 2) * F.col("span") / (2 * F.col("n")))
+    known = [F.coalesce(f"{what}_{x}", F.lit(NAN)).alias(f"{what}_{x}") for x in names for what in ("volatility", "noise")]
+    return out.select(*keys, *known, "n")
 
 
 def two_scales_volatility(ticks: Ticks, assets: list[str] | None = None, num_grids: float | None = None) -> DataFrame:

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,19 +18,32 @@ from tickweave.functions.kernels import PARZEN, TRIANGLE
 from tickweave.operators import covariance as C
 from tickweave.operators import sampling
 from tickweave.operators.matrices import CovarianceMatrix, combine_matrices, matrix_from_pairs
-from tickweave.operators.volatility import simple_volatility, two_scales_volatility
+from tickweave.operators.volatility import default_num_grids, simple_volatility, two_scales_volatility
 from tickweave.sources.ticks import Ticks
+from tickweave.workspace import drop_tables, materialise
 
 
 def _warn(method: str, why: str) -> None:
     warnings.warn(f"Cannot estimate the correlation matrix with the {method} method: {why}.", stacklevel=3)
 
 
-def estimation_returns(ticks: Ticks, assets: list[str], spacing: float | None = None) -> np.ndarray:
-    """Rows of returns per square root of time, at refresh times or on a grid from 0; bounded by the grid."""
+def identity_weight(m: np.ndarray, ticks: Ticks, assets: list[str], spacing: float | None = None, *, strict: bool = False) -> float:
+    """Weight of the identity from returns per square root of time, at refresh times or on a grid from 0.
+
+    Rows are compared with ``m`` where they are; the driver gets a sum.
+    """
     grid = sampling.refresh_times(ticks, assets) if spacing is None else sampling.even_grid(ticks, spacing, start=0.0)
     r = sampling.returns(sampling.latest_value(ticks, grid, assets), rescale=True)
-    return np.array(r.groupBy("k").pivot("asset", assets).agg(F.first("r")).orderBy("k").drop("k").collect(), float).reshape(-1, len(assets))
+    rows = r.groupBy("k").pivot("asset", assets).agg(F.first("r")).drop("k")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scatter = linalg.scatter_of(m, np.stack([np.asarray(c.to_numpy(zero_copy_only=False), float) for c in batch.columns], axis=1))
+            total = scatter.sum() if strict else np.sqrt(scatter).sum()
+            yield pa.RecordBatch.from_arrays([pa.array([len(scatter)], pa.int64()), pa.array([float(total)], pa.float64())], ["n", "total"])
+
+    got = rows.mapInArrow(work, "n long, total double").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
+    return linalg.weight_of_scatter(m, got["total"], got["n"], strict=strict)
 
 
 def regularise_array(m: np.ndarray, ticks: Ticks, assets: list[str], method: str | None, *, only_if_not_psd: bool = False, **given) -> np.ndarray:
@@ -34,10 +51,10 @@ def regularise_array(m: np.ndarray, ticks: Ticks, assets: list[str], method: str
         return m
     if method not in linalg.REGULARISERS:
         raise ValueError(f"unknown regularisation {method!r}")
-    if method == "eigenvalue_clean" and "obs" not in given:
+    if method == "eigenvalue_clean" and not given.keys() & {"obs", "threshold"}:
         given["obs"] = ticks.df.count() / len(assets)
-    if method == "identity_regularisation" and "returns" not in given:
-        given["returns"] = estimation_returns(ticks, assets, given.pop("spacing", None))
+    if method == "identity_regularisation" and not given.keys() & {"returns", "weight"}:
+        given["weight"] = identity_weight(m, ticks, assets, given.pop("spacing", None), strict=given.pop("strict", False))
     return linalg.REGULARISERS[method](m, **given)
 
 
@@ -49,7 +66,7 @@ def _finish(m: np.ndarray, ticks: Ticks, assets: list[str], elapsed: float, meth
 def simple_covariance(ticks: Ticks, assets: list[str] | None = None, *, regularisation: str | None = "covariance_default", regularisation_params: dict | None = None, only_if_not_psd: bool = False, grid: DataFrame | None = None, spacing: float | None = None, refresh_times: bool = False, rough: int = 5) -> CovarianceMatrix:
     assets = assets or sampling.asset_names(ticks)
     grid = C.time_grid(ticks, spacing=spacing, refresh=refresh_times, rough=rough, assets=assets) if grid is None else grid
-    grid = grid.cache()
+    grid = materialise(grid, "grid")
     shape = grid.agg(F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("span")).first()
     if shape["n"] < 3:
         _warn("simple", "there are too few sampling times")
@@ -61,11 +78,13 @@ def simple_covariance(ticks: Ticks, assets: list[str] | None = None, *, regulari
 
 def bnhls_covariance(ticks: Ticks, assets: list[str] | None = None, *, regularisation: str | None = "covariance_default", regularisation_params: dict | None = None, only_if_not_psd: bool = False, kernel=PARZEN, bandwidth: float | None = None, m: int = 2) -> CovarianceMatrix:
     assets = assets or sampling.asset_names(ticks)
-    refreshes = sampling.refresh_times(ticks, assets).count()
+    grid = materialise(sampling.refresh_times(ticks, assets), "refresh-times")
+    refreshes = grid.count()
     if m >= (refreshes - 1) / 2:
         _warn("bnhls", f"{refreshes} refresh times are too few")
         return CovarianceMatrix.unknown(assets, ticks.period)
-    raw = matrix_from_pairs(C.bnhls(ticks, assets, kernel, bandwidth), assets)
+    raw = matrix_from_pairs(C.bnhls(ticks, assets, kernel, bandwidth, grid), assets)
+    drop_tables(grid)
     return _finish(raw, ticks, assets, sampling.duration(ticks), regularisation, only_if_not_psd, regularisation_params)
 
 
@@ -105,12 +124,15 @@ def preaveraged_covariance(ticks: Ticks, assets: list[str] | None = None, *, reg
 
 def two_scales_covariance(ticks: Ticks, assets: list[str] | None = None, *, regularisation: str | None = "correlation_default", regularisation_params: dict | None = None, only_if_not_psd: bool = False, equal_weight: bool = False, num_grids: float | None = None, min_obs: int = 10, fallback: float = float("nan")) -> CovarianceMatrix:
     assets = assets or sampling.asset_names(ticks)
-    raw = matrix_from_pairs(C.two_scales_correlations(ticks, assets, equal_weight=equal_weight, num_grids=num_grids, min_obs=min_obs, fallback=fallback), assets, "cor")
+    grids = default_num_grids(ticks) if num_grids is None else num_grids
+    own = materialise(two_scales_volatility(ticks, assets, grids), "volatilities")
+    raw = matrix_from_pairs(C.two_scales_correlations(ticks, assets, equal_weight=equal_weight, num_grids=grids, min_obs=min_obs, fallback=fallback, vols=own), assets, "cor")
     np.fill_diagonal(raw, 1.0)
     if not linalg.clean(raw):
         _warn("two scales", "some pairs have too few common observations")
     cor = regularise_array(raw, ticks, assets, regularisation, only_if_not_psd=only_if_not_psd, **(regularisation_params or {}))
-    vols = {r.asset: r.volatility for r in two_scales_volatility(ticks, assets, num_grids).collect()}
+    vols = {r.asset: r.volatility for r in own.collect()}
+    drop_tables(own)
     return CovarianceMatrix(cor, np.array([vols.get(a, np.nan) for a in assets]), tuple(assets), ticks.period)
 
 
@@ -143,13 +165,15 @@ def estimate_microstructure_noise(ticks: Ticks, assets: list[str] | None = None,
     return two_scales_volatility(ticks, assets, num_grids).select("asset", "noise")
 
 
-def regularise(cm: CovarianceMatrix, ticks: Ticks, method: str = "nearest_correlation_matrix", *, on_covariance: bool = True, **given) -> CovarianceMatrix:
+def regularise(cm: CovarianceMatrix, ticks: Ticks, method: str = "nearest_correlation_matrix", *, on_covariance: bool | None = None, **given) -> CovarianceMatrix:
     """A matrix regularised with what the ticks say (number of observations, returns)."""
     labels = list(cm.labels)
-    if method == "eigenvalue_clean":
+    if method == "eigenvalue_clean" and "threshold" not in given:
         given.setdefault("obs", ticks.df.count() / len(labels))
-    if method == "identity_regularisation" and "weight" not in given:
-        given.setdefault("returns", estimation_returns(ticks, labels, given.pop("spacing", None)))
+    if method == "identity_regularisation" and not given.keys() & {"weight", "returns"}:
+        on_covariance = True if on_covariance is None else on_covariance
+        m = cm.covariance() if on_covariance else cm.correlation
+        given["weight"] = identity_weight(m, ticks, labels, given.pop("spacing", None), strict=given.pop("strict", False))
     return cm.regularise(method, on_covariance=on_covariance, **given)
 
 
@@ -210,12 +234,10 @@ def blocks_by_frequency(ticks: Ticks, multiple: float, method: str = "preaverage
     return out
 
 
-def blockwise_estimation(ticks: Ticks, blocks: list[Block]) -> CovarianceMatrix:
-    """Estimates of all blocks; a later block's valid cells replace an earlier one's."""
-    result: CovarianceMatrix | None = None
-    for block in blocks:
-        found = estimate_covariance(ticks, sorted(block.assets), block.method, **block.parameters)
-        result = found if result is None else combine_matrices([result, found], [0.0, 1.0])
-    if result is None:
+def blockwise_estimation(ticks: Ticks, blocks: list[Block], *, at_once: int = 4) -> CovarianceMatrix:
+    """Estimates of all blocks, ``at_once`` of them at a time; a later block's valid cells replace an earlier one's."""
+    if not blocks:
         raise ValueError("no blocks")
-    return result
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        found = list(pool.map(lambda b: estimate_covariance(ticks, sorted(b.assets), b.method, **b.parameters), blocks))
+    return reduce(lambda old, new: combine_matrices([old, new], [0.0, 1.0]), found)
