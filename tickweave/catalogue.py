@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.functions import linalg
-from tickweave.functions.kernels import KERNELS, PARZEN, TRIANGLE
+from tickweave.functions.kernels import KERNELS
 from tickweave.functions.periods import Period
 from tickweave.operators import clustering, matrices, ordered, sampling, simulation
 from tickweave.operators import covariance as C
@@ -219,11 +219,6 @@ def _(spark, sf):
     return rounded(V.volatility_of_returns(sampling.returns(sampling.latest_value(ticks, hourly(ticks)))))
 
 
-@query("simple_volatility", f"with {SAMPLED}, st as (select asset, (max(t) - min(t)) / (count(*) - 1) as step from sampled group by asset) select asset, {r('sqrt(avg(r * r)) / sqrt(max(step))', 'volatility', 9)} from ret join st using (asset) group by asset")
-def _(spark, sf):
-    return rounded(V.simple_volatility(types(spark, sf), spacing=HOUR), 9)
-
-
 @query("change_volatility", f"with {RETURNS}, x as (select asset, max(t) - min(t) as span from ticks group by asset) select asset, {r('sqrt(sum(r * r) / max(span))', 'volatility', 9)} from d join x using (asset) group by asset")
 def _(spark, sf):
     return rounded(V.change_volatility(types(spark, sf)), 9)
@@ -261,6 +256,25 @@ def _(spark, sf):
     return rounded(V.default_spacing(types(spark, sf)), 4)
 
 
+_SPACING = (
+    f"{RANKED}, {two_scales_sql('ranked', 'asset', '5')}, tt as (select min(t) as lo, max(t) as hi, max(t) - min(t) as span_all from ticks), "
+    "spacing as (select asset, case when noise < 1e-7 then 20.0 else ((span_all / (4 * noise * noise)) * span_all * volatility ** 4) ** (1.0 / 3.0) end as spacing from est, tt)"
+)
+_FIRST = "firsts as (select asset, arg_min(value, (t, seq)) as v0 from ticks group by asset)"
+
+
+@query(
+    "simple_volatility",
+    f"with {_SPACING}, {_FIRST}, own as (select asset, spacing, v0, unnest(range(0, cast(floor((hi - lo) / spacing + 1e-12) as bigint) + 1)) as k, lo from spacing join firsts using (asset), tt), "
+    "gx as (select asset, k, lo + k * spacing as t, v0 from own), "
+    "sampled as (select gx.asset, gx.k, gx.t, coalesce(x.value, gx.v0) as value from gx asof left join ticks x on gx.asset = x.asset and gx.t >= x.t), "
+    "ret as (select asset, t, value - lag(value) over (partition by asset order by k) as r from sampled) "
+    f"select asset, {r('sqrt(avg(r * r)) / sqrt((max(t) - min(t)) / (count(*) - 1))', 'volatility', 9)} from ret group by asset",
+)
+def _(spark, sf):
+    return rounded(V.simple_volatility(types(spark, sf)), 9)
+
+
 # --- covariance -------------------------------------------------------------
 
 
@@ -302,6 +316,12 @@ def _refresh_returns(ticks: T.Ticks) -> DataFrame:
     return sampling.returns(sampling.latest_value(ticks, sampling.refresh_times(ticks, ASSETS), ASSETS))
 
 
+@query("refresh_prices", _REF_RET + f" select asset, k, {r('t', 't')}, value from rs")
+def _(spark, sf):
+    ticks = types(spark, sf)
+    return rounded(sampling.latest_value(ticks, sampling.refresh_times(ticks, ASSETS), ASSETS))
+
+
 @query("refresh_covariance", _REF_RET + f" select p.asset as a, q.asset as b, {r('covar_samp(p.r, q.r)', 'cov')} from rr p join rr q on p.k = q.k and p.asset <= q.asset group by 1, 2")
 def _(spark, sf):
     return rounded(C.covariance_of_returns(_refresh_returns(types(spark, sf))))
@@ -321,18 +341,16 @@ def _(spark, sf):
     return rounded(C.end_averaged_returns(_refresh_returns(types(spark, sf)), 2))
 
 
-_H = 40.0
+_KERNEL_COV = (
+    _REF_RET + ", hh as (select 3.51 * (count(*) / 5.0) ** 0.6 as h from ticks), "
+    "w as (select p.asset as a, q.asset as b, abs(p.k - q.k) / max(h) as x, sum(p.r * q.r) as g from rr p join rr q on p.asset <= q.asset join hh on abs(p.k - q.k) <= floor(h) group by p.asset, q.asset, p.k - q.k), "
+    "kc as (select a, b, sum(g * case when x < 0.5 then 1 - 6 * x * x + 6 * x * x * x when x < 1 then 2 * (1 - x) * (1 - x) else 0 end) as cov from w group by 1, 2)"
+)
 
 
-@query(
-    "realised_kernel",
-    _REF_RET + ", w as (select p.asset as a, q.asset as b, p.k - q.k as h, sum(p.r * q.r) as g from rr p join rr q on p.k - q.k between -40 and 40 where p.asset <= q.asset group by 1, 2, 3), "
-    "wk as (select *, abs(h) / 40.0 as x from w) "
-    f"select a, b, {r('sum(g * case when x < 0.5 then 1 - 6 * x * x + 6 * x * x * x when x < 1 then 2 * (1 - x) * (1 - x) else 0 end)', 'cov', 4)} from wk group by 1, 2",
-)
+@query("realised_kernel", _KERNEL_COV + f" select a, b, {r('cov', 'cov', 4)} from kc")
 def _(spark, sf):
-    ticks = types(spark, sf)
-    return rounded(C.bnhls(ticks, ASSETS, PARZEN, _H), 4)
+    return rounded(C.bnhls(types(spark, sf), ASSETS), 4)
 
 
 _X = "(select unnest(range(1, 41)) / 10.0 as x)"
@@ -358,62 +376,94 @@ def _(spark, sf):
 
 
 _SPECTRAL = (
-    f"with {RETURNS}, bw as (select max(t) / 10 as w from ticks), "
+    f"with {TWO_SCALES}, d as (select * from (select asset, t, seq, value, lag(t) over w as p_t, value - lag(value) over w as r from ticks where t > 0 window w as (partition by asset order by t, seq)) where p_t is not null), "
+    "bw as (select max(t) / 10 as w from ticks), "
     "q as (select asset, r, t - p_t as gap, p_t + 0.5 * (t - p_t) as c, cast(least(9, floor(t / w)) as int) as block, w from d, bw), "
-    "s as (select block, asset, j, sum((pi() * j / w) * r * case when c > block * w then sqrt(2 * w) / (j * pi()) * sin(j * pi() * (c - block * w) / w) else 0 end) as s from q cross join (select unnest(range(1, 21)) as j) group by 1, 2, 3), "
-    "h as (select block, asset, sum(gap * gap) * 2.5 / max(w) as h from q group by 1, 2) "
+    "s as (select block, asset, j, sum((pi() * j / w) * r * case when c > block * w then sqrt(2 * w) / (j * pi()) * sin(j * pi() * (c - block * w) / w) else 0 end) as s from q cross join (select unnest(range(1, 101)) as j) group by 1, 2, 3), "
+    "h as (select block, asset, sum(gap * gap) * max(greatest(0.0, est.noise)) / max(w) as h from q join est using (asset) group by 1, 2), "
+    "sb as (select p.block, p.asset as a, q.asset as b, sum(p.s * q.s) / 100 - case when p.asset = q.asset then max(h.h) * (select (pi() / w) ** 2 from bw) * (select sum(j * j) from range(1, 101) x(j)) / 100.0 else 0 end as cov "
+    "from s p join s q on p.block = q.block and p.j = q.j and p.asset <= q.asset join h on h.block = p.block and h.asset = p.asset group by 1, 2, 3)"
 )
 
 
-@query(
-    "spectral_blocks",
-    _SPECTRAL + f"select p.block, p.asset as a, q.asset as b, {r('sum(p.s * q.s) / 20 - case when p.asset = q.asset then max(h.h) * (select (pi() / w) ** 2 from bw) * (select sum(j * j) from range(1, 21) x(j)) / 20.0 else 0 end', 'cov', 9)} "
-    "from s p join s q on p.block = q.block and p.j = q.j and p.asset <= q.asset join h on h.block = p.block and h.asset = p.asset group by 1, 2, 3",
-)
+@query("spectral_blocks", _SPECTRAL + f" select block, a, b, {r('cov', 'cov', 9)} from sb")
 def _(spark, sf):
-    ticks = types(spark, sf)
-    noise = spark.createDataFrame([(a, 2.5) for a in ASSETS], "asset string, noise double")
-    return rounded(C.spectral_blocks(ticks, ASSETS, num_j=20, noise=noise), 9)
+    return rounded(C.spectral_blocks(types(spark, sf), ASSETS), 9)
 
 
-_K = 12
-_WEIGHTS = ", ".join(repr(w) for w in TRIANGLE.weights(_K))
 _PRE = (
-    f"with {RETURNS}, di as (select asset, t, r, row_number() over (partition by asset order by t, seq) as i, count(*) over (partition by asset) as n from d), "
-    f"ya as (select asset, i, t, n, case when i <= n - {_K} + 1 then list_sum(list_transform(list_zip(list(r) over (partition by asset order by i rows between current row and {_K - 2} following), [{_WEIGHTS}]), lambda z: coalesce(z[1] * z[2], 0))) end as y from di)"
+    f"with {RETURNS}, kk as (select cast(ceil(least(count(*) / 2.0, 0.15 * sqrt(count(*)))) as bigint) as k from ticks), "
+    "di as (select asset, t, r, row_number() over (partition by asset order by t, seq) as i, count(*) over (partition by asset) as n from d), "
+    "ws as (select k, j, least(j * 1.0 / k, 1 - j * 1.0 / k) as weight from kk, lateral (select unnest(range(1, k)) as j)), "
+    "yy as (select x.asset, x.i, sum(ws.weight * z.r) as y from di x join ws on true join di z on z.asset = x.asset and z.i = x.i + ws.j - 1 group by 1, 2), "
+    "ya as (select di.asset, di.i, di.t, di.n, kk.k, case when di.i <= di.n - kk.k + 1 then coalesce(yy.y, 0) end as y, di.n - kk.k + 1 as len from di cross join kk left join yy on yy.asset = di.asset and yy.i = di.i), "
+    "yc as (select *, sum(coalesce(y, 0)) over (partition by asset order by i) as c from ya)"
+)
+_OWN = (
+    "ow as (select m.asset as a, m.asset as b, sum(m.y * (hi.c - coalesce(lo.c, 0))) / (0.25 * max(m.k)) ** 2 as cov from yc m join yc hi on hi.asset = m.asset and hi.i = m.i + m.k - 1 "
+    "left join yc lo on lo.asset = m.asset and lo.i = m.i - m.k where m.y is not null and m.i >= m.k and m.i <= m.len - 2 * m.k + 1 group by 1, 2)"
 )
+_OVERLAP = (
+    "aa as (select x.asset as a, e.asset as b, x.i, x.t, z.t as te, x.y, x.k from yc x join yc z on z.asset = x.asset and z.i = x.i + x.k join (select distinct asset from ticks) e on x.asset < e.asset where x.i <= x.len - x.k + 2 and x.y is not null), "
+    "lo as (select aa.*, greatest(1, coalesce(x.i, 0) + 1 - aa.k) as lo from aa asof left join yc x on x.asset = aa.b and aa.t > x.t), "
+    "sp as (select lo.*, least(coalesce(x.len, 0), coalesce(x.i, 0)) as hi from lo asof left join yc x on x.asset = lo.b and lo.te >= x.t), "
+    "ov as (select sp.a, sp.b, sum(sp.y * (h.c - coalesce(l.c, 0))) / (0.25 * max(sp.k)) ** 2 as cov from sp join yc h on h.asset = sp.b and h.i = sp.hi left join yc l on l.asset = sp.b and l.i = sp.lo - 1 where sp.hi >= sp.lo group by 1, 2), "
+    "ovs as (select p.asset as a, q.asset as b, coalesce(ov.cov, 0) as cov from (select distinct asset from ticks) p join (select distinct asset from ticks) q on p.asset < q.asset left join ov on ov.a = p.asset and ov.b = q.asset)"
+)
+
+
+def _window(ticks: T.Ticks) -> int:
+    return C.preaveraging_window(ticks.df.count())
 
 
 @query("preaveraged_returns", _PRE + f" select asset, i, t, {r('y', 'y')} from ya")
 def _(spark, sf):
-    return rounded(C.preaveraged_returns(types(spark, sf), _K).drop("d")).withColumn("i", F.col("i").cast("long"))
+    ticks = types(spark, sf)
+    return rounded(C.preaveraged_returns(ticks, _window(ticks)).select("asset", F.col("i").cast("long").alias("i"), "t", "y"))
 
 
-@query(
-    "own_overlap_sum",
-    _PRE + f", m as (select *, count(*) over (partition by asset) as len, sum(y) over (partition by asset order by i rows between {_K - 1} preceding and {_K - 1} following) as s from ya where y is not null) "
-    f"select asset as a, asset as b, {r(f'sum(y * s) / (0.25 * {_K}) ** 2', 'cov', 4)} from m where i >= {_K} and i <= len - {2 * _K} + 1 group by asset",
-)
+@query("own_overlap_sum", _PRE + f", {_OWN} select a, b, {r('cov', 'cov', 4)} from ow")
 def _(spark, sf):
-    return rounded(C.own_overlap_sum(C.preaveraged_returns(types(spark, sf), _K), _K, 0.25), 4)
+    ticks = types(spark, sf)
+    k = _window(ticks)
+    return rounded(C.own_overlap_sum(C.preaveraged_returns(ticks, k), k, 0.25), 4)
 
 
-@query(
-    "overlap_sums",
-    _PRE + f", aa as (select *, lead(t, {_K}) over (order by i) as te, n - {_K} + 1 as len from ya where asset = 'click'), bb as (select *, n - {_K} + 1 as len from ya where asset = 'view'), "
-    f"sp as (select aa.i, aa.y, greatest(1, (select count(*) from bb where bb.t < aa.t) + 1 - {_K}) as lo, least((select max(len) from bb), (select count(*) from bb where bb.t <= aa.te)) as hi from aa where aa.i <= aa.len - {_K} + 2) "
-    f"select 'click' as a, 'view' as b, {r(f'sum(sp.y * bb.y) / (0.25 * {_K}) ** 2', 'cov', 4)} from sp join bb on bb.i between sp.lo and sp.hi",
-)
+@query("overlap_sums", _PRE + f", {_OVERLAP} select a, b, {r('cov', 'cov', 4)} from ovs")
 def _(spark, sf):
-    return rounded(C.overlap_sums(C.preaveraged_returns(types(spark, sf), _K).cache(), [("click", "view")], _K, 0.25), 4)
+    ticks = types(spark, sf)
+    k = _window(ticks)
+    return rounded(C.overlap_sums(C.preaveraged_returns(ticks, k), [(a, b) for i, a in enumerate(ASSETS) for b in ASSETS[i + 1 :]], k, 0.25, ticks.chunk), 4)
 
 
-@query("preaveraged_raw")
+@query("preaveraged_raw", _PRE + f", {_OWN}, {_OVERLAP} select a, b, {r('cov', 'cov', 4)} from (select * from ow union all select * from ovs)")
 def _(spark, sf):
     return rounded(C.preaveraged(types(spark, sf), ASSETS), 4)
 
 
-@query("two_scales_correlations")
+_PAIR_WALK = (
+    "with recursive {ticks}, pr as (select p.asset as a, q.asset as b from (select distinct asset from ticks) p join (select distinct asset from ticks) q on p.asset < q.asset), "
+    "g as (select a, b, asset, t, row_number() over (partition by a, b order by t, seq) as n from pr join ticks on asset = a or asset = b), "
+    "nx as (select a, b, n, min(case when asset = a then n end) over w as m0, min(case when asset = b then n end) over w as m1 from g window w as (partition by a, b order by n rows between current row and unbounded following)), "
+    "jump as (select a, b, n, greatest(m0, m1) as nr from nx where m0 is not null and m1 is not null), "
+    "walk(a, b, k, n) as (select a, b, 0, nr from jump where n = 1 union all select jump.a, jump.b, walk.k + 1, jump.nr from walk join jump on jump.a = walk.a and jump.b = walk.b and jump.n = walk.n + 1), "
+    "pt as (select walk.a, walk.b, walk.k, g.t from walk join g on g.a = walk.a and g.b = walk.b and g.n = walk.n)"
+)
+_PAIR_COR = (
+    _PAIR_WALK.format(ticks=TWO_SCALES) + ", gx as (select a, b, k, t, asset from pt, lateral (select unnest([a, b]) as asset)), "
+    "p as (select gx.*, greatest(1, coalesce(x.rn, 1)) as hi from gx asof left join ranked x on gx.asset = x.asset and gx.t >= x.t), "
+    "q as (select *, least(hi, coalesce(lag(hi) over (partition by a, b, asset order by k), 1) + 1) as lo from p), "
+    f"s as (select a, b, asset, k, t, lo + cast(floor({_PICK} * (hi - lo + 1)) as bigint) as rn from q), "
+    "pp as (select s.a, s.b, s.k, s.t, max(case when s.asset = s.a then x.value end) as x, max(case when s.asset = s.b then x.value end) as y from s join ranked x on s.asset = x.asset and s.rn = x.rn group by 1, 2, 3, 4), "
+    "vv as (select pp.*, greatest(0.1, least(0.9, vb.volatility / (va.volatility + vb.volatility))) as gamma from pp join est va on va.asset = pp.a join est vb on vb.asset = pp.b), "
+    "four as (select a, b, kind, k + 1 as rn, t, value, gamma from vv, lateral (select unnest(['plus', 'minus', 'x', 'y']) as kind, unnest([gamma * x + (1 - gamma) * y, gamma * x - (1 - gamma) * y, x, y]) as value)), "
+    + two_scales_sql("four", "a, b, kind", _DEFAULT_GRIDS).replace("sz as", "sz4 as").replace("join sz using", "join sz4 using").replace("sub as", "sub4 as").replace("from sub)", "from sub4)").replace("dd as", "dd4 as").replace("from dd ", "from dd4 ").replace("vs as", "vs4 as").replace("from vs join vf", "from vs4 join vf4").replace("vf as", "vf4 as").replace("pure as", "pure4 as").replace("from pure)", "from pure4)").replace("est as", "est4 as")
+    + ", gm as (select distinct a, b, gamma from four), "
+    "pc as (select e.a, e.b, (max(case when kind = 'plus' then volatility end) ** 2 - max(case when kind = 'minus' then volatility end) ** 2) / (4 * max(gamma) * (1 - max(gamma))) / (max(case when kind = 'x' then volatility end) * max(case when kind = 'y' then volatility end)) as cor from est4 e join gm on gm.a = e.a and gm.b = e.b group by 1, 2)"
+)
+
+
+@query("two_scales_correlations", _PAIR_COR + f" select a, b, {r('cor', 'cor')} from pc")
 def _(spark, sf):
     return rounded(C.two_scales_correlations(types(spark, sf), ASSETS))
 

@@ -184,7 +184,7 @@ def overlap_sums(y: DataFrame, pairs: list[tuple[str, str]], k: int, psi: float,
     lengths = y.groupBy("asset").agg(F.count("y").alias("len"))
     rows = with_halo(y.select("asset", F.col("i").cast("long").alias("i"), "t", "y"), F.col("i") - 1, max(PART, 2 * k), after=k)
     rows = rows.withColumn("end", F.lead("t", k).over(Window.partitionBy("asset", "part").orderBy("i"))).where("own")
-    rows = running_sum(rows, ["asset"], "i", F.coalesce("y", F.lit(0.0)), "sum").join(F.broadcast(lengths), "asset")  # a row per asset
+    rows = running_sum(rows, ["asset"], "i", {"sum": F.coalesce("y", F.lit(0.0))}).join(F.broadcast(lengths), "asset")  # a row per asset
     rows = materialise(rows.select("asset", "i", "t", "end", "y", "sum", "len"), "running-sums")
     own = rows.where(F.col("end").isNotNull() & F.col("y").isNotNull() & (F.col("i") <= F.col("len") - k + 2)).withColumnRenamed("asset", "a").join(F.broadcast(names), "a")  # a row per pair given
     # At its time the sum has reached return i; of windows that start before, it has left return i k returns later.

@@ -231,6 +231,13 @@ class CovarianceModel:
             df = df.withColumn(f"{x}_mean", sum(terms, F.lit(float(zero.means[i]))))
         return df
 
+    def __repr__(self) -> str:
+        return self.show()
+
+    def show(self, significant: int = 4, decimals: int = 4) -> str:
+        own = [f"{x}: mean {m:.{significant}g}, drift {d:.{significant}g}" for x, m, d in zip(self.cm.labels, self.means, self.drifts, strict=True)]
+        return "\n".join([self.cm.show(significant, decimals), *own])
+
     def rows(self, *, half: bool = True) -> list[tuple]:
         p = self.cm.period
         own = [(x, x, float(v), kind, p.unit, p.count) for kind, values in (("drift", self.drifts), ("mean", self.means)) for x, v in zip(self.cm.labels, values, strict=True)]

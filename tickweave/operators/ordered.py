@@ -81,10 +81,12 @@ def with_halo(df: DataFrame, place: Column, length: int, *, before: int = 0, aft
     return out
 
 
-def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, name: str) -> DataFrame:
-    """Adds the running sum of ``value`` in a table with a column part: sums within parts, and what is before a part from a row per part."""
-    inside = df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys, "part").orderBy(order)))
-    totals = df.groupBy(*keys, "part").agg(F.sum(value).alias("total"))
+def running_sum(df: DataFrame, keys: list[str], order: str, values: dict[str, Column]) -> DataFrame:
+    """Adds running sums, by name, to a table with a column part: sums within parts, and what is before a part from a row per part."""
+    w = Window.partitionBy(*keys, "part").orderBy(order)
+    inside = df.withColumns({name: F.sum(value).over(w) for name, value in values.items()})
+    totals = df.groupBy(*keys, "part").agg(*[F.sum(value).alias(name) for name, value in values.items()])
     w = Window.partitionBy(*keys).orderBy("part") if keys else Window.orderBy("part")
-    before = totals.select(*keys, "part", (F.sum("total").over(w) - F.col("total")).alias("before"))
-    return inside.join(F.broadcast(before), [*keys, "part"]).withColumn(name, F.col(name) + F.col("before")).drop("before")
+    before = totals.select(*keys, "part", *[(F.sum(name).over(w) - F.col(name)).alias(f"_before_{name}") for name in values])
+    joined = inside.join(F.broadcast(before), [*keys, "part"])
+    return joined.withColumns({name: F.col(name) + F.col(f"_before_{name}") for name in values}).drop(*[f"_before_{name}" for name in values])

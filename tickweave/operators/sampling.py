@@ -110,14 +110,14 @@ def random_value_in_interval(ticks: Ticks, grid: DataFrame, assets: list[str] |
 def next_tick(ticks: Ticks, from_index: int, assets: list[str] | None = None) -> DataFrame:
     """One row (refresh_time, refresh_index): the row by which all assets have ticked again; nulls if one never does."""
     assets = assets or asset_names(ticks)
-    rows = ticks.df.withColumn("rn", F.row_number().over(Window.partitionBy().orderBy("t", "seq"))) if ticks.chunk is None else _global_rank(ticks)
+    rows = ticks.df.withColumn("rn", F.row_number().over(Window.partitionBy().orderBy("t", "seq"))) if ticks.chunk is None else global_rank(ticks)
     first = rows.where((F.col("rn") >= from_index) & F.col("asset").isin(assets)).groupBy("asset").agg(F.min("rn").alias("rn"), F.min_by("t", "rn").alias("t"))
     out = first.agg(F.count("*").alias("n"), F.max("rn").alias("refresh_index"), F.max_by("t", "rn").alias("refresh_time"))
     full = F.col("n") == len(assets)
     return out.select(F.when(full, F.col("refresh_time")).alias("refresh_time"), F.when(full, F.col("refresh_index")).cast("long").alias("refresh_index"))
 
 
-def _global_rank(ticks: Ticks) -> DataFrame:
+def global_rank(ticks: Ticks) -> DataFrame:
     """rn over all assets: counts per chunk, then ranks within chunks."""
     df = ticks.df.withColumn("chunk", ticks.chunk_of(F.col("t")))
     counts = df.groupBy("chunk").agg(F.count("*").alias("n"))

@@ -6,14 +6,19 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickweave.functions import linalg
 from tickweave.functions.periods import Period
 from tickweave.operators.matrices import CovarianceMatrix, CovarianceModel
+from tickweave.operators.ordered import running_sum, with_halo
+from tickweave.operators.sampling import global_rank
 from tickweave.sources.ticks import Ticks
 
+#: Steps of a path that one task takes.
+PART = 100_000
+
 
 def random_psd(dims: int, rng: np.random.Generator) -> np.ndarray:
     """A draw of the inverse Wishart distribution with d degrees of freedom."""
@@ -52,38 +57,63 @@ class Path:
 def random_path(spark: SparkSession, dims: int, n_ticks: int, *, synchronous: bool = False, seed: int = 1, vols=None, rates=None, noise=None, assets=None, correlation=None, period: Period = Period()) -> Path:  # noqa: B008
     """A correlated Brownian path seen at regular (synchronous) or exponential arrival times, with noise.
 
-    Arrival times and increments are columns of random numbers; levels are
-    running sums.  In the asynchronous case all assets move on the merged
+    Volatilities per second are drawn between a tenth and a half a year (252
+    days of 8 hours), the noise (a variance) is the square of a draw between the
+    same bounds scaled to five minutes, and times between arrivals have means
+    between 0.5 and 5; all can be given.
+
+    Arrival times and increments are random numbers made from row numbers;
+    arrival times and levels are running sums, cut into parts.  In the asynchronous case all assets move on the merged
     clock and each is seen at its own arrivals.
     """
     rng = np.random.default_rng(seed)
     assets = list(assets or [f"asset_{i + 1}" for i in range(dims)])
-    vols = np.asarray(vols if vols is not None else rng.uniform(0.001, 0.02, dims), float)
+    low, high = (x / math.sqrt(252 * 8 * 3600) for x in (0.1, 0.5))
+    five_minutes = math.sqrt(Period("Minute", 5).ratio(period))
+    vols = np.asarray(vols if vols is not None else rng.uniform(low, high, dims), float)
     rates = np.asarray(rates if rates is not None else rng.uniform(0.5, 5.0, dims), float)
-    noise = np.asarray(noise if noise is not None else np.full(dims, 0.0), float)
+    noise = np.asarray(noise if noise is not None else rng.uniform(low * five_minutes, high * five_minutes, dims) ** 2, float)
     cor = linalg.cov_to_cor(random_psd(dims, rng))[0] if correlation is None else linalg.upper_symmetric(np.asarray(correlation, float))
     truth = CovarianceMatrix(cor, vols, tuple(assets), period)
     chol = np.linalg.cholesky(truth.covariance())
     z = [f"_z{k}" for k in range(dims)]
     if synchronous:
-        steps = math.ceil(n_ticks / dims)
-        clock = spark.range(1, steps + 1).select(F.col("id"), (F.col("id") * F.lit(float(rates.mean()))).alias("t"), F.lit(float(rates.mean())).alias("dt"), F.array(*[F.lit(a) for a in assets]).alias("who"))
+        step = float(rates.mean())
+        clock = spark.range(1, math.ceil(n_ticks / dims) + 1).select("id", (F.col("id") * F.lit(step)).alias("t"), F.lit(step).alias("dt"), F.array(*[F.lit(a) for a in assets]).alias("who"))
     else:
-        pools = None
-        for i, a in enumerate(assets):
-            gaps = spark.range(n_ticks).select("id", (-F.log(1 - F.rand(seed * 31 + i)) * F.lit(float(rates[i]))).alias("gap"))
-            own = gaps.withColumn("t", F.sum("gap").over(Window.orderBy("id"))).select(F.lit(a).alias("asset"), "t")
-            pools = own if pools is None else pools.unionByName(own)
-        first = pools.orderBy("t", "asset").limit(n_ticks)
-        w = Window.orderBy("t", "asset")
-        clock = first.withColumn("id", F.row_number().over(w)).withColumn("dt", F.col("t") - F.coalesce(F.lag("t").over(w), F.lit(0.0))).select("id", "t", "dt", F.array("asset").alias("who"))
-    for k, name in enumerate(z):
-        clock = clock.withColumn(name, F.randn(seed * 101 + k))
-    w = Window.orderBy("id")
-    levels = clock
-    for i in range(dims):
-        levels = levels.withColumn(f"_l{i}", F.sum(F.sqrt("dt") * _correlated(z, chol, i)).over(w))
-    seen = levels.select("id", "t", "who", F.create_map(*[x for i, a in enumerate(assets) for x in (F.lit(a), F.col(f"_l{i}"))]).alias("level")).select("id", "t", F.explode("who").alias("asset"), "level")
+        clock = _arrivals(spark, assets, rates, n_ticks, seed)
+    clock = clock.withColumn("part", F.floor(F.col("id") / PART)).withColumns({name: _normal(F.col("id"), seed * 101 + k) for k, name in enumerate(z)})
+    levels = running_sum(clock, [], "id", {f"_l{i}": F.sqrt("dt") * _correlated(z, chol, i) for i in range(dims)})
+    level = F.create_map(*[x for i, a in enumerate(assets) for x in (F.lit(a), F.col(f"_l{i}"))])
+    seen = levels.select("id", "t", level.alias("level"), F.explode("who").alias("asset"))
     scale = F.create_map(*[x for a, v in zip(assets, noise, strict=True) for x in (F.lit(a), F.lit(math.sqrt(v)))])
-    ticks = seen.select("asset", "t", (F.col("level")[F.col("asset")] + scale[F.col("asset")] * F.randn(seed * 997)).alias("value"), F.col("id").cast("long").alias("seq"))
-    return Path(Ticks(ticks, period), truth, dict(zip(assets, noise.tolist(), strict=True)), dict(zip(assets, rates.tolist(), strict=True)))
+    value = F.col("level")[F.col("asset")] + scale[F.col("asset")] * _normal(F.xxhash64("id", "asset"), seed * 997)
+    ticks = seen.select("asset", "t", value.alias("value"), F.col("id").cast("long").alias("seq"))
+    chunk = n_ticks / float((1 / rates).sum()) * PART / n_ticks if n_ticks > PART else None
+    return Path(Ticks(ticks, period, chunk), truth, dict(zip(assets, noise.tolist(), strict=True)), dict(zip(assets, rates.tolist(), strict=True)))
+
+
+def _uniform(key: Column, seed: int) -> Column:
+    """A number in (0, 1) that depends on a key and a seed alone, so that a lost part is made again as it was."""
+    return (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+
+def _normal(key: Column, seed: int) -> Column:
+    return F.sqrt(-2 * F.log(_uniform(key, 2 * seed))) * F.cos(2 * math.pi * _uniform(key, 2 * seed + 1))
+
+
+def _arrivals(spark: SparkSession, assets: list[str], rates: np.ndarray, n_ticks: int, seed: int) -> DataFrame:
+    """(id, t, dt, who): the first ``n_ticks`` of all assets' exponential arrivals on one clock, id from 1."""
+    share = n_ticks / rates / (1 / rates).sum()
+    wanted = [min(n_ticks, math.ceil(x + 12 * math.sqrt(x) + 100)) for x in share]  # twelve deviations more than expected
+    rows = spark.createDataFrame([(a, float(r), n) for a, r, n in zip(assets, rates, wanted, strict=True)], "asset string, rate double, n long")
+    gaps = spark.range(max(wanted)).withColumn("part", F.floor(F.col("id") / PART)).join(F.broadcast(rows), F.col("id") < F.col("n"))  # a row per asset
+    gap = -F.log(1 - _uniform(F.xxhash64("id", "asset"), seed * 31)) * F.col("rate")
+    own = running_sum(gaps.withColumn("gap", gap), ["asset"], "id", {"t": F.col("gap")})
+    span = n_ticks / float((1 / rates).sum())
+    pool = Ticks(own.select("asset", "t", F.lit(0.0).alias("value"), F.col("id").alias("seq")), chunk=span * min(1.0, PART / n_ticks))
+    first = global_rank(pool).where(F.col("rn") <= n_ticks)
+    cut = with_halo(first, F.col("rn") - 1, PART, before=1)
+    before = F.lag("t").over(Window.partitionBy("part").orderBy("rn"))
+    timed = cut.withColumn("dt", F.col("t") - F.coalesce(before, F.lit(0.0))).where("own")
+    return timed.select(F.col("rn").alias("id"), "t", "dt", F.array("asset").alias("who"))

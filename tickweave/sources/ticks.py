@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickweave.functions.periods import Period
 
 COLUMNS = ["asset", "t", "value", "seq"]
+#: Ticks of a chunk that is sized by a count.
+CHUNK_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -43,10 +46,42 @@ class Ticks:
 
 
 def from_columns(df: DataFrame, time: str, grouping: str, value: str, period: Period = Period(), *, seq: str | None = None, chunk: float | None = None) -> Ticks:  # noqa: B008
-    """Names three columns of any table; ``seq`` orders ties (by value if there is none)."""
-    order = F.col(seq).cast("long") if seq else F.lit(0).cast("long")
-    picked = df.select(F.col(grouping).cast("string").alias("asset"), F.col(time).cast("double").alias("t"), F.col(value).cast("double").alias("value"), order.alias("seq"))
-    return Ticks(picked, period, chunk)
+    """Names three columns of any table; ``seq`` orders ties.
+
+    Without it ties in time are ordered by value and then by name, which costs
+    a shuffle by time.
+    """
+    columns = [F.col(grouping).cast("string").alias("asset"), F.col(time).cast("double").alias("t"), F.col(value).cast("double").alias("value")]
+    if seq:
+        return Ticks(df.select(*columns, F.col(seq).cast("long").alias("seq")), period, chunk)
+    place = F.row_number().over(Window.partitionBy("t").orderBy("value", "asset"))
+    return Ticks(df.select(*columns).withColumn("seq", place.cast("long")), period, chunk)
+
+
+def from_sorted(df: DataFrame, time: str, grouping: str, value: str, index: dict[str, Sequence[int]], period: Period = Period(), *, row: str = "row", chunk: float | None = None) -> Ticks:  # noqa: B008
+    """Ticks of a table in a caller's order, with a caller's index of rows per asset.
+
+    ``row`` names the column with a row's place in the table; ``index`` says
+    which places belong to an asset and is trusted: rows that it does not name
+    are left out, and a row that several assets name is a tick of each.
+    """
+    places = df.sparkSession.createDataFrame([(str(a), int(i)) for a, rows in index.items() for i in rows], "asset string, place long")
+    named = df.join(places, F.col(row).cast("long") == F.col("place"))
+    return Ticks(named.select("asset", F.col(time).cast("double").alias("t"), F.col(value).cast("double").alias("value"), F.col("place").alias("seq")), period, chunk)
+
+
+def show(ticks: Ticks, rows: int = 6, width: int = 50) -> str:
+    """The first ticks in time order as text, with the number of all."""
+    names = ["asset", "t", "value"]
+    top = ticks.df.orderBy("t", "seq").limit(rows).select(*names).collect()
+    lines = [f"Ticks with {ticks.df.count()} rows per {ticks.period.count} {ticks.period.unit}", "  ".join(names)]
+    return "\n".join(line[:width] for line in lines + [f"{r.asset}  {r.t:g}  {r.value:g}" for r in top])
+
+
+def chunk_for(df: DataFrame, rows: int = CHUNK_ROWS) -> float | None:
+    """A stretch of time that holds about ``rows`` ticks on average; None if all are fewer."""
+    r = df.agg(F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")).first()
+    return None if r["n"] <= rows or r["hi"] <= r["lo"] else (r["hi"] - r["lo"]) * rows / r["n"]
 
 
 def rescaled(ticks: Ticks, period: Period, *, strict: bool = False) -> Ticks:
@@ -73,10 +108,24 @@ def combine(tables: list[Ticks], period: Period | None = None) -> Ticks:
     return replace(first, df=df)
 
 
-def read_ticks(spark: SparkSession, path: str, time: str, grouping: str, value: str, period: Period = Period(), *, fmt: str = "parquet", schema: str | None = None, **options) -> Ticks:  # noqa: B008
-    """Ticks from Parquet, ORC, JSON or CSV files."""
+def read_ticks(
+    spark: SparkSession,
+    path: str,
+    time: str,
+    grouping: str,
+    value: str,
+    period: Period = Period(),  # noqa: B008
+    *,
+    seq: str | None = None,
+    chunk: float | str | None = "auto",
+    fmt: str = "parquet",
+    schema: str | None = None,
+    **options,
+) -> Ticks:
+    """Ticks from Parquet, ORC, JSON or CSV files; ``seq`` orders ties, and chunks are sized by a count unless given."""
     reader = spark.read.format(fmt).options(**options)
-    return from_columns((reader.schema(schema) if schema else reader).load(path), time, grouping, value, period)
+    ticks = from_columns((reader.schema(schema) if schema else reader).load(path), time, grouping, value, period, seq=seq)
+    return replace(ticks, chunk=chunk_for(ticks.df) if chunk == "auto" else chunk)
 
 
 def event_ticks(spark: SparkSession, sf_dir: str, grouping: str = "event_type", chunk: float | None = 5 * 86_400.0) -> Ticks:
