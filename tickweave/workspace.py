@@ -8,7 +8,10 @@ folder of this process is set.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,15 +31,39 @@ def shared_root(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _inside, _before = threading.Lock(), 0, None
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that start in here remove their shuffle files when they end."""
+    global _inside, _before
+    with _lock:
+        if not _inside:
+            _before = spark.conf.get(_CLEANUP, "false")
+            spark.conf.set(_CLEANUP, "true")
+        _inside += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _inside -= 1
+            if not _inside:
+                spark.conf.set(_CLEANUP, _before)
+
+
 def materialise(df: DataFrame, name: str, *, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the table read back.
 
     A lost executor costs no recomputation of what is above the cut, and a
     random or order-dependent column keeps one value for all later readers.
+    The shuffle files above the cut are removed.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    with shuffles_removed(spark):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
