@@ -23,6 +23,7 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from decimal import Decimal
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.workspace import drop_tables, materialise, shared_root
+from tickweave.workspace import drop_tables, materialise, shared_root, shuffles_removed
 
 #: Bytes of a bucket's entries; a larger corpus than MAX_BUCKETS of these has larger buckets.
 BUCKET_BYTES = 1 << 20
@@ -195,20 +196,15 @@ def write_index(keyed: DataFrame, entries: DataFrame, capacity: int) -> tuple[st
     body = F.encode("norm", "UTF-8").alias("norm")
     index = keys.where("n = 1").select("key", "digest", F.lit(None).cast("binary").alias("norm"), "n", "rank")
     index = with_bucket(index.unionByName(bodies.select("key", "digest", body, "n", "rank")), directory)
-    path = f"{shared_root(spark)}/index-{_name()}"
+    path = f"{shared_root(spark)}/index-{uuid.uuid4().hex}"
     many = int(spark.conf.get("spark.sql.shuffle.partitions"))
     owned = index.repartition(min(many, len(directory.buckets)), "bucket").sortWithinPartitions("bucket", "key")
-    owned.write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+    with shuffles_removed(spark):
+        owned.write.partitionBy("bucket").option("compression", "zstd").parquet(path)
     drop_tables(keys)
     return path, spark.read.schema(index.schema).parquet(path)
 
 
-def _name() -> str:
-    import uuid
-
-    return uuid.uuid4().hex
-
-
 def find_heads(index: DataFrame) -> DataFrame:
     """HEADS of an index: owner tasks read whole buckets in key order."""
     many = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -40,7 +40,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -275,10 +274,9 @@ def ngram_components(docs: DataFrame, sim: Similarity = Similarity()) -> DataFra
     heads_only = keep_ids(sketches.select("doc_id", "keys", "spare"), "doc_id", copies, "left_anti")
     bands = heads_only.select(F.col("doc_id").alias("id"), "spare", F.posexplode("keys").alias("which", "band"))
     cells = bands.select("id", "which", F.get("spare", F.col("which")).alias("spare"), F.explode("band").alias("key"))
-    # Kept on the executors' disks, not written: a lost block is counted again from the sketches.
-    shared = cells.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").persist(StorageLevel.DISK_ONLY)
+    shared = materialise(cells.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     crowd = materialise(cells.join(shared, "key").select("key", "n", "id", "which", "spare").distinct(), "crowd")
-    shared.unpersist()
+    drop_tables(shared)
     rare = materialise(rarest(crowd), "rarest")
     heads = materialise(rare.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head")).where("n > 1").select("key", "head"), "heads")
     drop_tables(crowd, classes)
