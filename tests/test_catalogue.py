@@ -8,15 +8,13 @@ from tests.compare import assert_same
 from tests.conftest import SF
 from tickweave import catalogue
 
-SLOW = {"preaveraged_raw", "two_scales_correlations", "estimate_preaveraged", "estimate_two_scales", "blockwise_estimation"}
-
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_against_sql(spark, name):
     assert_same(catalogue.QUERIES[name](spark, SF), catalogue.ORACLE_SQL[name], SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_runs(spark, name):
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")

@@ -21,6 +21,7 @@ from tickweave.operators import covariance as C
 from tickweave.operators import volatility as V
 from tickweave.plans import estimate
 from tickweave.sources import ticks as T
+from tickweave.workspace import materialise
 
 HOUR = 3600.0
 ASSETS = ["click", "error", "purchase", "signup", "view"]
@@ -86,6 +87,33 @@ def _(spark, sf):
     return rounded(T.rescaled(types(spark, sf), Period("Minute"), strict=True).df, 4)
 
 
+@query("rescaled_by_rule", f"with {TICKS} select asset, {r('t * 60.0', 't', 4)}, value, seq from ticks")
+def _(spark, sf):
+    return rounded(T.rescaled(types(spark, sf), Period("Minute")).df, 4)
+
+
+@query("ticks_of_columns", "select event_type as asset, cast(user_id as double) as t, value, row_number() over (partition by user_id order by value, event_type) as seq from events")
+def _(spark, sf):
+    return T.from_columns(spark.read.parquet(f"{sf}/events.parquet"), "user_id", "event_type", "value").df
+
+
+@query("read_ticks", f"with {RANKED} select asset, t, value, seq, rn from ranked")
+def _(spark, sf):
+    seconds = "cast(cast(cast(ts - timestamp_ntz'2024-01-01 00:00:00' as interval second) as decimal(18,6)) as double) as t"
+    written = materialise(spark.read.parquet(f"{sf}/events.parquet").selectExpr("*", seconds), "ticks")
+    folder = written.inputFiles()[0].rsplit("/", 1)[0]
+    return ordered.ranked(T.read_ticks(spark, folder, "t", "event_type", "value", seq="event_id"))
+
+
+@query("sorted_ticks", f"with {TICKS}, g as (select *, row_number() over (order by t, seq) - 1 as row from ticks) select asset, t, value, row as seq from g where asset in ('click', 'view') and row < 200")
+def _(spark, sf):
+    rows = sampling.global_rank(types(spark, sf)).select("asset", "t", "value", (F.col("rn") - 1).alias("row"))
+    index: dict[str, list[int]] = {}
+    for x in rows.where("row < 200 and asset in ('click', 'view')").collect():  # a caller's index
+        index.setdefault(x.asset, []).append(x.row)
+    return T.from_sorted(rows, "t", "value", index).df
+
+
 @query("combined_ticks", f"with {TICKS}, u as (select * from ticks union all select * from ticks where t < 864000) select asset, count(*) as n, {r('sum(value)', 'total')}, count(distinct seq) as n_distinct from u group by asset")
 def _(spark, sf):
     all_ = types(spark, sf)
@@ -146,7 +174,7 @@ def _(spark, sf):
 @query("grid_returns", f"with {SAMPLED} select asset, k, {r('r', 'r')}, {r('r / sqrt(dt)', 'scaled')} from ret")
 def _(spark, sf):
     ticks = types(spark, sf)
-    sampled = sampling.latest_value(ticks, hourly(ticks)).cache()
+    sampled = materialise(sampling.latest_value(ticks, hourly(ticks)), "sampled")
     scaled = sampling.returns(sampled, rescale=True).withColumnRenamed("r", "scaled")
     return rounded(sampling.returns(sampled).join(scaled, ["asset", "k"]).select("asset", "k", "r", "scaled"))
 
@@ -302,7 +330,7 @@ def _(spark, sf):
 @query("covariance_in_period", f"with {SAMPLED}, {_COR} select c.a, c.b, {r('c.cor * x.s * y.s / 60.0', 'cov')} from cor c join sd x on c.a = x.asset join sd y on c.b = y.asset")
 def _(spark, sf):
     ticks = types(spark, sf)
-    cov = C.grid_covariance(ticks, hourly(ticks), ASSETS).cache()
+    cov = materialise(C.grid_covariance(ticks, hourly(ticks), ASSETS), "covariance")
     return rounded(matrices.covariances_of(matrices.correlations_of(cov), matrices.volatilities_of(cov, HOUR), 60.0))
 
 
@@ -471,25 +499,52 @@ def _(spark, sf):
 # --- estimated matrices as long tables --------------------------------------
 
 
-def _long(name: str, method: str, **given):
-    @query(name)
+def _long(name: str, method: str, sql: str | None = None, **given):
+    @query(name, sql)
     def _(spark, sf):
         cm = estimate.estimate_covariance(types(spark, sf), ASSETS, method, **given)
-        return rounded(cm.to_frame(spark), 9)
+        return rounded(cm.to_frame(spark), 6)
 
 
-_long("estimate_simple", "simple_covariance", spacing=HOUR)
+def long_sql(cells: str, elapsed: str) -> str:
+    """Long form of a covariance cells(a, b, cov), a <= b, over ``elapsed`` seconds that regularisation leaves as it is."""
+    return (
+        f"v as (select a as asset, sqrt(cov) as s from {cells} where a = b), "
+        f"lf as (select c.a as asset1, c.b as asset2, c.cov / (x.s * y.s) as value, 'correlation' as variable from {cells} c join v x on c.a = x.asset join v y on c.b = y.asset where c.a < c.b "
+        f"union all select asset, asset, s / sqrt({elapsed}), 'volatility' from v) "
+        f"select asset1, asset2, {r('value', 'value')}, variable, case when variable = 'volatility' then 'Second' end as vol_period_units, case when variable = 'volatility' then 1::bigint end as vol_period from lf"
+    )
+
+
+_DEFAULT_COV = (
+    f"with {_SPACING}, {_FIRST}, sp as (select least(avg(spacing), max(span_all) / 20) as sp from spacing, tt), "
+    "grid as (select k, lo + k * sp as t, sp from (select unnest(range(0, cast(floor((hi - lo) / sp + 1e-12) as bigint) + 1)) as k, lo, sp from tt, sp)), "
+    "gx as (select f.asset, g.k, g.t, f.v0 from grid g cross join firsts f), "
+    "sampled as (select gx.asset, gx.k, coalesce(x.value, gx.v0) as value from gx asof left join ticks x on gx.asset = x.asset and gx.t >= x.t), "
+    "ret as (select * from (select asset, k, value - lag(value) over (partition by asset order by k) as r from sampled) where r is not null), "
+    "dc as (select p.asset as a, q.asset as b, covar_samp(p.r, q.r) as cov from ret p join ret q on p.k = q.k and p.asset <= q.asset group by 1, 2)"
+)
+_long("estimate_simple", "simple_covariance", f"{_DEFAULT_COV}, {long_sql('dc', '(select max(sp) from grid)')}")
 _long("estimate_bnhls", "bnhls_covariance")
-_long("estimate_spectral", "spectral_covariance", num_j=20)
+_long("estimate_spectral", "spectral_covariance")
 _long("estimate_preaveraged", "preaveraged_covariance")
 _long("estimate_two_scales", "two_scales_covariance")
 
 
-@query("blockwise_estimation")
+@query("spectral_raw", f"{_SPECTRAL} select a, b, {r('sum(cov) / 10', 'cov', 9)} from sb group by 1, 2")
+def _(spark, sf):
+    """Mean of the blocks, before each is regularised."""
+    return rounded(C.spectral_blocks(types(spark, sf), ASSETS).groupBy("a", "b").agg((F.sum("cov") / 10).alias("cov")), 9)
+
+
+_BLOCK_SQL = f"with {SAMPLED}, {long_sql('cov', '3600.0')}"
+
+
+@query("blockwise_estimation", _BLOCK_SQL)
 def _(spark, sf):
     ticks = types(spark, sf)
     blocks = estimate.blocks_by_frequency(ticks, 0.005, "simple_covariance", {"spacing": HOUR})
-    return rounded(estimate.blockwise_estimation(ticks, blocks).to_frame(spark), 9)
+    return rounded(estimate.blockwise_estimation(ticks, blocks).rearrange(ASSETS).to_frame(spark), 6)
 
 
 @query("blocking_plan")
@@ -556,7 +611,7 @@ def _half(sql_filter: str, tag: str) -> str:
 @query("combined_matrices", f"with {SAMPLED}, {_half('k <= 300', 'h1')}, {_half('k > 300', 'h2')} select asset1, asset2, variable, {r('(h1.value * 1.0 + h2.value * 3.0) / 4.0', 'value')} from h1 join h2 using (asset1, asset2, variable)")
 def _(spark, sf):
     ticks = types(spark, sf)
-    ret = sampling.returns(sampling.latest_value(ticks, hourly(ticks))).cache()
+    ret = materialise(sampling.returns(sampling.latest_value(ticks, hourly(ticks))), "returns")
     halves = None
     for part, weight in ((ret.where("k <= 300"), 1.0), (ret.where("k > 300"), 3.0)):
         one = C.covariance_of_returns(part).select(F.col("a").alias("asset1"), F.col("b").alias("asset2"), F.lit("covariance").alias("variable"), F.col("cov").alias("value"), F.lit(weight).alias("weight"))
@@ -564,13 +619,168 @@ def _(spark, sf):
     return rounded(matrices.combine_long(halves))
 
 
-@query("matrix_distance")
-def _(spark, sf):
+_TWO_GRIDS = SAMPLED + ", " + ", ".join(
+    x.replace("grid as", "grid2 as").replace("3600.0", "7200.0") if x.startswith("grid as") else x
+    for x in [
+        "grid as (select k, lo + k * 3600.0 as t from (select unnest(range(0, cast(floor((hi - lo) / 3600.0) as bigint) + 1)) as k, lo from ext))",
+    ]
+) + (
+    ", gx2 as (select f.asset, g.k, g.t, f.v0 from grid2 g cross join firsts f), "
+    "sampled2 as (select gx2.asset, gx2.k, coalesce(x.value, gx2.v0) as value from gx2 asof left join ticks x on gx2.asset = x.asset and gx2.t >= x.t), "
+    "ret2 as (select * from (select asset, k, value - lag(value) over (partition by asset order by k) as r from sampled2) where r is not null), "
+    "cov2 as (select p.asset as a, q.asset as b, covar_samp(p.r, q.r) as cov from ret2 p join ret2 q on p.k = q.k and p.asset <= q.asset group by 1, 2), "
+    "sd as (select a as asset, sqrt(cov) as s from cov where a = b), sd2 as (select a as asset, sqrt(cov) as s from cov2 where a = b), "
+    "cor as (select cov.a, cov.b, cov / (x.s * y.s) as cor, cov / 3600.0 as per from cov join sd x on cov.a = x.asset join sd y on cov.b = y.asset), "
+    "cor2 as (select cov2.a, cov2.b, cov / (x.s * y.s) as cor, cov / 7200.0 as per from cov2 join sd2 x on cov2.a = x.asset join sd2 y on cov2.b = y.asset)"
+)
+
+
+def _two_grids(spark, sf) -> tuple[matrices.CovarianceMatrix, matrices.CovarianceMatrix]:
     ticks = types(spark, sf)
-    x = estimate.simple_covariance(ticks, ASSETS, spacing=HOUR)
-    y = estimate.simple_covariance(ticks, ASSETS, spacing=2 * HOUR)
+    return tuple(estimate.simple_covariance(ticks, ASSETS, spacing=n * HOUR, regularisation=None) for n in (1, 2))
+
+
+@query(
+    "matrix_distance",
+    f"with {_TWO_GRIDS} select {r('sum(case when a < b then 2 * abs(cor.cor - cor2.cor) else 0 end) / 10', 'correlation')}, "
+    f"(select {r('avg(abs(sd.s / 60.0 - sd2.s / sqrt(7200.0)))', 'volatility')} from sd join sd2 using (asset)) as volatility, "
+    f"{r('sum(case when a < b then 2 else 1 end * abs(cor.per - cor2.per)) / 25', 'covariance')} from cor join cor2 using (a, b)",
+)
+def _(spark, sf):
+    x, y = _two_grids(spark, sf)
     cor, vol = matrices.mean_abs_distance(x, y)
-    return spark.createDataFrame([(cor, vol, matrices.mean_abs_covariance_distance(x, y))], "correlation double, volatility double, covariance double")
+    return rounded(spark.createDataFrame([(cor, vol, matrices.mean_abs_covariance_distance(x, y))], "correlation double, volatility double, covariance double"))
+
+
+@query("two_matrices", f"with {_TWO_GRIDS}, c as (select a, b, case when a = b then 1.0 else cor end as cor from cor union all select b, a, cor from cor2 where a < b) select a, b, {r('cor', 'cor')}, cast(cast(floor(round_even(cor, 2) * 100) as bigint) as varchar) || '%' as label from c")
+def _(spark, sf):
+    x, y = (matrices.correlations_of(matrices.pairs_frame(spark, m)) for m in _two_grids(spark, sf))
+    return rounded(clustering.comparison_rows(x, y))
+
+
+_MODEL_SQL = f"with {SAMPLED}, {_COR}, mm as (select asset, avg(value) as mean from ticks group by asset), dd as (select asset, avg(r) / 3600.0 as drift from ret group by asset)"
+_MODEL_ROWS = (
+    "ml as (select a as asset1, b as asset2, cor as value, 'correlation' as variable from cor where a < b union all select a, a, sqrt(cov) / 60.0, 'volatility' from cov where a = b "
+    "union all select asset, asset, drift, 'drift' from dd union all select asset, asset, mean, 'mean' from mm)"
+)
+
+
+def _model(spark, sf) -> matrices.CovarianceModel:
+    """Hourly covariances with mean levels and mean returns per second."""
+    ticks = types(spark, sf)
+    cm = estimate.simple_covariance(ticks, ASSETS, spacing=HOUR, regularisation=None)
+    means = {x.asset: x.m for x in ticks.df.groupBy("asset").agg(F.avg("value").alias("m")).collect()}
+    drifts = {x.asset: x.d for x in sampling.returns(sampling.latest_value(ticks, hourly(ticks), ASSETS)).groupBy("asset").agg((F.avg("r") / HOUR).alias("d")).collect()}
+    return matrices.CovarianceModel(cm, [means[a] for a in ASSETS], [drifts[a] for a in ASSETS])
+
+
+def _values(df: DataFrame) -> DataFrame:
+    return rounded(df.select("asset1", "asset2", "value", "variable"))
+
+
+_UNIT = "case when variable = 'correlation' then null else 'Second' end as vol_period_units, case when variable = 'correlation' then null else 1::bigint end as vol_period"
+
+
+@query("model_long_form", f"{_MODEL_SQL}, {_MODEL_ROWS} select asset1, asset2, {r('value', 'value')}, variable, {_UNIT} from ml")
+def _(spark, sf):
+    return rounded(_model(spark, sf).to_frame(spark))
+
+
+@query("model_round_trip", f"{_MODEL_SQL}, {_MODEL_ROWS} select asset1, asset2, {r('value', 'value')}, variable from ml")
+def _(spark, sf):
+    again = matrices.model_from_frame(_model(spark, sf).to_frame(spark).orderBy(F.rand(5)))
+    return _values(again.rearrange(ASSETS, strict=True).to_frame(spark))
+
+
+@query(
+    "model_rearranged",
+    f"{_MODEL_SQL}, {_MODEL_ROWS} select asset1, asset2, {r('value * case variable when $$volatility$$ then sqrt(60.0) when $$drift$$ then 60.0 else 1 end', 'value')}, variable from ml where asset1 in ('click', 'view') and asset2 in ('click', 'view')",
+)
+def _(spark, sf):
+    return _values(_model(spark, sf).rearrange(["click", "view"], Period("Minute")).to_frame(spark))
+
+
+@query(
+    "model_reordered",
+    f"{_MODEL_SQL}, {_MODEL_ROWS}, x as (select * from ml where variable <> 'drift' and asset1 in ('click', 'view') and asset2 in ('click', 'view') union all select asset, asset, mean, 'drift' from mm where asset in ('click', 'view')) select asset1, asset2, {r('value', 'value')}, variable from x",
+)
+def _(spark, sf):
+    """In the same period a reordering fills drifts with means."""
+    return _values(_model(spark, sf).rearrange(["click", "view"]).to_frame(spark))
+
+
+@query(
+    "model_relabelled",
+    f"{_MODEL_SQL}, {_MODEL_ROWS} select replace(asset1, 'view', 'visit') as asset1, replace(asset2, 'view', 'visit') as asset2, {r('value', 'value')}, case variable when 'mean' then 'drift' when 'drift' then 'mean' else variable end as variable from ml",
+)
+def _(spark, sf):
+    """Means and drifts change places."""
+    return _values(_model(spark, sf).relabel({"view": "visit"}).to_frame(spark))
+
+
+@query(
+    "model_lookups",
+    f"{_MODEL_SQL} select {r('max(cor.cor)', 'correlation')}, (select {r('max(s) / sqrt(60.0)', 's')} from sd where asset = 'view') as volatility, (select {r('max(mean)', 'm')} from mm where asset = 'view') as mean, "
+    f"(select {r('max(drift) * 60.0', 'd')} from dd where asset = 'view') as drift, cast(null as double) as unknown from cor where a = 'click' and b = 'view'",
+)
+def _(spark, sf):
+    m = _model(spark, sf)
+    minute = Period("Minute")
+    row = (m.cm.get_correlation("click", "view"), m.cm.get_volatility("view", minute), m.get_mean("view"), m.get_drift("view", minute), m.get_mean("nobody"))
+    return rounded(spark.createDataFrame([row], "correlation double, volatility double, mean double, drift double, unknown double"))
+
+
+@query(
+    "covariance_and_mean",
+    f"{_MODEL_SQL}, full_cov as (select a, b, cov from cov union all select b, a, cov from cov where a < b) select a, b, {r('cov / 60.0', 'cov')}, {r('mean + drift * 60.0', 'mean')} from full_cov join mm on a = mm.asset join dd on a = dd.asset",
+)
+def _(spark, sf):
+    cov, mean = _model(spark, sf).covariance_and_mean(Period("Minute"))
+    rows = [(a, b, float(cov[i, j]), float(mean[i])) for i, a in enumerate(ASSETS) for j, b in enumerate(ASSETS)]
+    return rounded(spark.createDataFrame(rows, "a string, b string, cov double, mean double"))
+
+
+@query(
+    "combined_models",
+    f"with {_TWO_GRIDS}, mm as (select asset, avg(value) as mean from ticks group by asset), dd as (select asset, avg(r) / 3600.0 as drift from ret group by asset), dd2 as (select asset, avg(r) / 7200.0 as drift from ret2 group by asset), "
+    "x as (select a as asset1, b as asset2, (cor.cor + 3 * cor2.cor) / 4 as value, 'correlation' as variable from cor join cor2 using (a, b) where a < b "
+    "union all select asset, asset, (sd.s / 60.0 + 3 * sd2.s / sqrt(7200.0)) / 4, 'volatility' from sd join sd2 using (asset) "
+    "union all select asset, asset, (dd.drift + dd2.drift) / 2, 'drift' from dd join dd2 using (asset) union all select asset, asset, mean * 5 / 4, 'mean' from mm) "
+    f"select asset1, asset2, {r('value', 'value')}, variable from x",
+)
+def _(spark, sf):
+    ticks = types(spark, sf)
+    one = _model(spark, sf)
+    drifts = {x.asset: x.d for x in sampling.returns(sampling.latest_value(ticks, sampling.even_grid(ticks, 2 * HOUR), ASSETS)).groupBy("asset").agg((F.avg("r") / (2 * HOUR)).alias("d")).collect()}
+    two = matrices.CovarianceModel(estimate.simple_covariance(ticks, ASSETS, spacing=2 * HOUR, regularisation=None), one.means * 2, [drifts[a] for a in ASSETS])
+    both = matrices.combine_models([one, two], [1.0, 3.0], drift_weights=[1.0, 1.0], mean_weights=[3.0, 1.0])
+    return _values(both.to_frame(spark))
+
+
+@query(
+    "identity_from_ticks",
+    f"{_REF_RET}, rz as (select * from (select asset, k, (value - lag(value) over w) / sqrt(t - lag(t) over w) as z from rs window w as (partition by asset order by k)) where z is not null), "
+    f"{GRID.replace('grid as', 'hgrid as')}, hx as (select f.asset, g.k, g.t, f.v0 from hgrid g cross join rfirst f), hs as (select hx.asset, hx.k, coalesce(x.value, hx.v0) as value from hx asof left join ticks x on hx.asset = x.asset and hx.t >= x.t), "
+    "hr as (select * from (select asset, k, value - lag(value) over (partition by asset order by k) as r from hs) where r is not null), "
+    "m as (select p.asset as a, q.asset as b, covar_samp(p.r, q.r) / 3600.0 as m from hr p join hr q on p.k = q.k group by 1, 2), "
+    "sizes as (select sum(m * m) as mm, sum((m - case when a = b then 1 else 0 end) ** 2) / 5 as level from m), "
+    "dist as (select sqrt(sum((m - case when a = b then max_level else 0 end) ** 2) / 5) as d from (select m.*, (select level from sizes) as max_level from m)), "
+    "norms as (select k, sum(z * z) as z2 from rz group by k), quad as (select p.k, sum(m * p.z * q.z) as q from rz p join rz q on p.k = q.k join m on m.a = p.asset and m.b = q.asset group by 1), "
+    "sc as (select count(*) as n, sum(sqrt(greatest(0, (z2 * z2 - 2 * q + mm) / 5))) as total from norms join quad using (k), sizes), "
+    "wt as (select least(total / (n * n), d) / d as weight from sc, dist) "
+    f"select a, b, {r('weight * case when a = b then 1 else 0 end + (1 - weight) * m', 'cov', 9)} from m, wt where a <= b",
+)
+def _(spark, sf):
+    ticks = types(spark, sf)
+    cov = estimate.simple_covariance(ticks, ASSETS, spacing=HOUR, regularisation=None).covariance()
+    out = estimate.regularise_array(cov, ticks, ASSETS, "identity_regularisation")
+    return rounded(spark.createDataFrame([(a, b, float(out[i, j])) for i, a in enumerate(ASSETS) for j, b in enumerate(ASSETS) if i <= j], "a string, b string, cov double"), 9)
+
+
+@query("identity_of_matrix", f"with {SAMPLED}, {_COR} select a, b, {r('case when a = b then 1 else 0.7 * cor end', 'cor', 9)} from cor")
+def _(spark, sf):
+    cm = estimate.simple_covariance(types(spark, sf), ASSETS, spacing=HOUR, regularisation=None).regularise("identity_regularisation", weight=0.3)
+    return rounded(spark.createDataFrame([(a, b, float(cm.correlation[i, j])) for i, a in enumerate(ASSETS) for j, b in enumerate(ASSETS) if i <= j], "a string, b string, cor double"), 9)
 
 
 _BAD = np.array([[1.02, 0.5, 0.9], [0.5, 0.98, 0.9], [0.9, 0.9, 1.01]])

@@ -149,6 +149,12 @@ def matrix_from_frame(df: DataFrame, *, complete: bool = False) -> CovarianceMat
     return _matrix_of(df.select("asset1", "asset2", "value", "variable", "vol_period_units", "vol_period").collect(), complete)
 
 
+def pairs_frame(spark: SparkSession, cm: CovarianceMatrix) -> DataFrame:
+    """(a, b, cov), a before b or the same: the covariances of a matrix over its unit."""
+    cov = cm.covariance()
+    return spark.createDataFrame([(a, b, float(cov[i, j])) for i, a in enumerate(cm.labels) for j, b in enumerate(cm.labels) if i <= j], "a string, b string, cov double")
+
+
 def matrix_from_pairs(rows: DataFrame, labels: list[str], value: str = "cov") -> np.ndarray:
     """A symmetric array of rows (a, b, value); d * d cells reach the driver, absent ones are NaN."""
     at = {x: i for i, x in enumerate(labels)}

@@ -58,7 +58,7 @@ def from_columns(df: DataFrame, time: str, grouping: str, value: str, period: Pe
     return Ticks(df.select(*columns).withColumn("seq", place.cast("long")), period, chunk)
 
 
-def from_sorted(df: DataFrame, time: str, grouping: str, value: str, index: dict[str, Sequence[int]], period: Period = Period(), *, row: str = "row", chunk: float | None = None) -> Ticks:  # noqa: B008
+def from_sorted(df: DataFrame, time: str, value: str, index: dict[str, Sequence[int]], period: Period = Period(), *, row: str = "row", chunk: float | None = None) -> Ticks:  # noqa: B008
     """Ticks of a table in a caller's order, with a caller's index of rows per asset.
 
     ``row`` names the column with a row's place in the table; ``index`` says
@@ -66,8 +66,8 @@ def from_sorted(df: DataFrame, time: str, grouping: str, value: str, index: dict
     are left out, and a row that several assets name is a tick of each.
     """
     places = df.sparkSession.createDataFrame([(str(a), int(i)) for a, rows in index.items() for i in rows], "asset string, place long")
-    named = df.join(places, F.col(row).cast("long") == F.col("place"))
-    return Ticks(named.select("asset", F.col(time).cast("double").alias("t"), F.col(value).cast("double").alias("value"), F.col("place").alias("seq")), period, chunk)
+    picked = df.select(F.col(row).cast("long").alias("place"), F.col(time).cast("double").alias("t"), F.col(value).cast("double").alias("value"))
+    return Ticks(picked.join(places, "place").select("asset", "t", "value", F.col("place").alias("seq")), period, chunk)
 
 
 def show(ticks: Ticks, rows: int = 6, width: int = 50) -> str:
