@@ -266,3 +266,52 @@ def test_near_duplicates_repeats_nulls_and_names(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(0) for c in ("keys", "bits", "id", "rep", "component_id", "n_shingles", "which")})
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(df).collect())
     assert got == [(3, 7, 3), (5, 7, 3), (5, 7, 3), (9, 4, 9), (9, 4, 9), (11, 0, 11), (12, 0, 12)]
+
+
+def test_sketches_fold():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n in (5, 900, 1_500, 5_000):
+        tokens = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        bits = ngram_join.parity_bits(tokens)
+        assert len(bits) * 64 >= max(1_024, n)
+        small = np.bincount((tokens & np.uint64(1_023)).astype(np.int64), minlength=1_024) & 1
+        assert (ngram_join.folded(bits, 16) == np.packbits(small.astype(np.uint8)).view(np.int64)).all()
+
+
+def test_forest_keeps_components_connected():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        comp = rng.integers(0, 12, 40) * 100
+        left, right = rng.integers(0, 40, 60), rng.integers(0, 40, 60)
+        ok = comp[left] != comp[right]
+        left, right = left[ok], right[ok]
+        kept = ngram_join.forest(left, right, comp, rng.random(len(left)))
+
+        def classes(at):
+            root = {c: c for c in comp.tolist()}
+            for i in at:
+                x, y = root[comp[left[i]]], root[comp[right[i]]]
+                root = {k: (x if v == y else v) for k, v in root.items()}
+            return {frozenset(k for k in root if root[k] == v) for v in root.values()}
+
+        assert classes(kept) == classes(range(len(left))) and len(kept) <= 11
+
+
+@pytest.mark.parametrize("block", [8, 1_024])
+def test_long_similar_texts_that_are_not_linked(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(1_400)]
+    texts = []
+    for i in range(40):
+        copy = list(base)
+        for _ in range(rng.choice([2, 25, 60, 60])):
+            copy[rng.randrange(1_400)] = f"v{rng.randrange(10_000)}"
+        texts.append(" ".join(copy[: rng.choice([1_400, 1_400, 1_250, 1_000])]))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs(spark, texts), ngram_join.Similarity(4, 85, 100)).collect()}
+    want = brute_components(texts, 4, 85, 100)
+    assert got == want and len({c for _, c in want.values()}) > 5

@@ -24,8 +24,12 @@ sketch and then verified on the exact sets.
   smallest id.  After verification, components are formed; cells whose
   documents are all in one component are done.  In the others the bit sketches
   of documents of different components are compared, in blocks of bounded
-  size, and only pairs close enough to be linked leave the task.  Components
+  size.  Of pairs close enough to be linked a first pass gives a spanning
+  forest of the components, one pair a link at most; only where that left pairs
+  out a second pass gives those whose documents are still apart.  Components
   are therefore exact, and pairs of a large group are never listed.
+* A bit sketch has at least as many bits as its set has tokens.  Sketches of
+  different lengths are compared at the shorter: parities fold by XOR.
 
 Defined results: a null or blank text has no shingles and is linked with
 nothing; a text with fewer than n words is one shingle; rows repeated with one
@@ -49,6 +53,7 @@ from tickweave.workspace import drop_tables, materialise
 
 #: Ids up to this many (8 bytes each) are broadcast to filter rows in place; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Bits of a sketch at least.
 BITS = 1024
 #: Documents of a cell that are compared with each other in one task.
 BLOCK = 1024
@@ -108,11 +113,17 @@ def cell_keys(tokens: np.ndarray, sim: Similarity) -> list[tuple[np.ndarray, int
 
 
 def parity_bits(tokens: np.ndarray) -> np.ndarray:
-    """A sketch of BITS bits in which each token flips one."""
-    flips = np.bincount((tokens & _U(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    """A sketch in which each token flips one bit; a power of two of them, not fewer than tokens."""
+    size = max(BITS, 1 << max(0, len(tokens) - 1).bit_length())
+    flips = np.bincount((tokens & _U(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The sketch of the same set with fewer words."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
+
+
 def shingles(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
     """The shingle set of each text in the second column."""
     data, offsets = A.text_buffers(batch.column(1))
@@ -144,7 +155,7 @@ def sketch(docs: DataFrame, sim: Similarity) -> DataFrame:
                 pa.array(prints, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(row) for row in keys]), pa.int32()), inner),
                 pa.array(spare, pa.list_(pa.int32())),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1) * (BITS // 64), pa.int32()), pa.array(words)),
+                pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(b) for b in bits]), pa.int32()), pa.array(words)),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "print", "keys", "spare", "bits"])
 
@@ -194,7 +205,10 @@ def close(pairs: DataFrame, sketches: DataFrame, sim: Similarity) -> DataFrame:
     side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")  # rows repeated with one id give repeated pairs
     sizes = (F.least("na", "nb") * sim.den >= F.greatest("na", "nb") * sim.num)
-    distance = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    xor = lambda x, y: x.bitwiseXOR(y)
+    # Sizes of linked sets differ by less than a factor of two, so one fold will do.
+    fold = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, F.lit(1), F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), xor)).otherwise(F.col(x))
+    distance = F.aggregate(F.zip_with(fold("bitsa", "bitsb"), fold("bitsb", "bitsa"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return both.where(sizes & (distance <= F.floor((F.col("na") + F.col("nb")) * (sim.den - sim.num) / (sim.den + sim.num)))).select("a", "b").distinct()
 
 
@@ -209,14 +223,37 @@ def rarest(crowd: DataFrame) -> DataFrame:
     return ranked.where(F.col("place") <= F.col("spare") + F.col("many")).select("key", "id")
 
 
-def close_across(inside: DataFrame, slim: DataFrame, sim: Similarity) -> DataFrame:
+def forest(left: np.ndarray, right: np.ndarray, comp: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Which of the pairs to keep so that each two components they connect stay connected; closest first."""
+    order = np.argsort(distance, kind="stable")
+    lo, hi = np.minimum(comp[left], comp[right])[order], np.maximum(comp[left], comp[right])[order]
+    _, first = np.unique(np.stack((lo, hi)), axis=1, return_index=True)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    kept = []
+    for k in np.sort(first).tolist():
+        x, y = find(int(lo[k])), find(int(hi[k]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append(order[k])
+    return np.array(kept, np.int64)
+
+
+def close_across(inside: DataFrame, sketches: DataFrame, sim: Similarity, *, spanning: bool) -> DataFrame:
     """Pairs (a, b) of one cell but different components whose sizes and bits allow a link.
 
     A cell of many documents is cut into blocks; two blocks meet in one task,
-    which compares bit sketches as arrays and returns only close pairs.
+    which compares bit sketches as arrays and returns only close pairs.  If
+    ``spanning``, a forest of them, and a row of nulls where it left out some.
     """
     sizes = materialise(inside.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
-    rows = inside.join(sizes, "key").join(slim.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bits"), "id")
+    rows = inside.join(sizes, "key").join(sketches.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bits"), "id")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "c", "n", "bits")
@@ -225,8 +262,9 @@ def close_across(inside: DataFrame, slim: DataFrame, sim: Similarity) -> DataFra
 
     def compare(group: list) -> tuple[list, list]:
         ids, comp, n, own = (np.array(x) for x in list(zip(*group, strict=True))[:4])
-        bits = np.array([g[4] for g in group], np.int64).view(np.uint64)
-        left, right = [], []
+        words = min(len(g[4]) for g in group)
+        bits = np.stack([folded(np.array(g[4], np.int64), words) for g in group]).view(np.uint64)
+        left, right, apart = [], [], []
         for at in range(0, len(ids), 64):
             part = slice(at, at + 64)
             total = n[part, None] + n[None, :]
@@ -238,9 +276,17 @@ def close_across(inside: DataFrame, slim: DataFrame, sim: Similarity) -> DataFra
                 i, j = np.nonzero(ok)
                 distance = np.bitwise_count(bits[part][i] ^ bits[j]).sum(axis=1)
                 near = distance * (sim.den + sim.num) <= total[i, j] * (sim.den - sim.num)
-                left += ids[part][i[near]].tolist()
-                right += ids[j[near]].tolist()
-        return left, right
+                left.append(i[near] + at)
+                right.append(j[near])
+                apart.append(distance[near] / total[i, j][near])
+        if not left:
+            return [], []
+        x, y = np.concatenate(left), np.concatenate(right)
+        if not spanning or not len(x):
+            return ids[x].tolist(), ids[y].tolist()
+        kept = forest(x, y, comp, np.concatenate(apart))
+        more = [None] if len(kept) < len(x) else []
+        return ids[x[kept]].tolist() + more, ids[y[kept]].tolist() + more
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def answer(group: list) -> pa.RecordBatch:
@@ -291,14 +337,20 @@ def ngram_components(docs: DataFrame, sim: Similarity = Similarity()) -> DataFra
     drop_tables(near)
 
     # What the stars leave open: cells that hold more than one component.
-    placed = materialise(crowd.join(found, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    mixed = materialise(mixed, "mixed")
-    rest = materialise(close_across(placed.join(mixed, "key"), slim, sim), "rest")
-    if not rest.isEmpty():
-        again = components(links.unionByName(verified(rest, docs, sim)))
-        drop_tables(found)
-        found = again
-    drop_tables(sketches, crowd, placed, mixed, rest, links)
+    for spanning in (True, False):
+        placed = materialise(crowd.join(found, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c")), "placed")
+        mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+        mixed = materialise(mixed, "mixed")
+        rest = materialise(close_across(placed.join(mixed, "key"), slim, sim, spanning=spanning), "rest")
+        pairs, left_out = rest.where("a is not null"), not rest.where("a is null").isEmpty()
+        if not pairs.isEmpty():
+            more = verified(pairs, docs, sim)
+            both = materialise(links.unionByName(more), "links")
+            drop_tables(links, more, found)
+            links, found = both, components(both)
+        drop_tables(placed, mixed, rest)
+        if not left_out:
+            break
+    drop_tables(sketches, crowd, links)
     final = members.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     return final.select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
