@@ -165,3 +165,13 @@ def test_empty_table(spark):
     assert sampling.asset_names(ticks) == []
     assert ordered.previous(ticks).count() == 0
     assert sampling.refresh_times(ticks, ["A", "B"]).count() == 0
+
+
+def test_refresh_times_in_sql(spark):
+    from tickweave.functions import table_functions
+
+    table_functions.register(spark)
+    rows = [("u", a, float(t), t) for t, a in enumerate("AABBA")] + [("v", a, float(t), t) for t, a in enumerate("BAB")]
+    spark.createDataFrame(rows, "universe string, asset string, t double, seq long").createOrReplaceTempView("universes")
+    got = spark.sql("select k, t from refresh_times(table(universes) partition by universe order by (t, seq), 'A, B')").collect()
+    assert sorted(map(tuple, got)) == [(0, 1.0), (0, 2.0), (1, 4.0)]

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickweave.functions import linalg
+from tickweave.functions import linalg, table_functions
 from tickweave.functions.kernels import KERNELS
 from tickweave.functions.periods import Period
 from tickweave.operators import clustering, matrices, ordered, sampling, simulation
@@ -225,6 +225,13 @@ def _(spark, sf):
     return sampling.refresh_times(types(spark, sf))
 
 
+@query("refresh_times_in_sql", REFRESH + " select k, t from refresh")
+def _(spark, sf):
+    table_functions.register(spark)
+    types(spark, sf).df.createOrReplaceTempView("tickweave_ticks")
+    return spark.sql(f"select k, t from refresh_times(table(tickweave_ticks) with single partition order by (t, seq), '{','.join(ASSETS)}')")
+
+
 @query(
     "refresh_times_of_pairs",
     f"with recursive {TICKS}, pr as (select p.asset as a, q.asset as b from (select distinct asset from ticks) p join (select distinct asset from ticks) q on p.asset < q.asset), "
