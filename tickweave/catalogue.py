@@ -815,6 +815,69 @@ def _(spark, sf):
     return rounded(out, 9)
 
 
+_PAIR_OF = f"with {SAMPLED}, {_COR}, e as (select cor as c, 1 - abs(cor) as lo, 1 + abs(cor) as hi, sign(cor) as sg, (select count(*) from ticks) / 5.0 as obs from cor where a = 'click' and b = 'view')"
+
+
+def _two_cells(name: str, low: str, high: str, sign: str = "sg") -> str:
+    """Rows of a symmetric matrix with equal diagonal cells, from its eigenvalues."""
+    return f"select '{name}' as operator, ({low} + {high}) / 2 as diagonal, {sign} * ({high} - {low}) / 2 as other, true as holds from e"
+
+
+_THRESHOLD = "(1 - hi / 2) * (1 + 2 / obs + 2 * sqrt(2 / obs))"
+
+
+@query(
+    "matrices_of_two",
+    f"{_PAIR_OF}, x as ("
+    + " union all ".join(
+        [
+            _two_cells("root_psd", "sqrt(lo)", "sqrt(hi)"),
+            _two_cells("from_eigen", "lo", "hi"),
+            _two_cells("eigenvalue_clean", "case when lo < 1.0 then greatest(0.25, lo) else lo end", "hi"),
+            _two_cells("eigenvalue_clean_for", f"case when lo < {_THRESHOLD} then greatest({_THRESHOLD} / 4, lo) else lo end", "hi"),
+            _two_cells("project_to_psd", "0.0", "2 + abs(c)", "1"),
+            _two_cells("nearest_psd", "0.0", "2 + abs(c)", "1"),
+            "select 'project_to_unit_diagonal', 1.0, c, true from e",
+            "select 'is_psd', 1.0, c, true from e",
+            "select 'is_psd_of_bad', 1.0, 1 + abs(c), false from e",
+            "select 'is_correlation', 1.0, c, true from e",
+            "select 'is_correlation_of_bad', 1.0, 1 + abs(c), false from e",
+        ]
+    )
+    + f") select operator, {r('diagonal', 'diagonal')}, {r('other', 'other')}, holds from x",
+)
+def _(spark, sf):
+    """Two assets, where every one of these has a closed form."""
+    ticks = types(spark, sf)
+    m = matrices.matrix_from_pairs(matrices.correlations_of(C.grid_covariance(ticks, hourly(ticks), ["click", "view"])), ["click", "view"], "cor")
+    bad = np.array([[1.0, 1 + abs(m[0, 1])], [1 + abs(m[0, 1]), 1.0]])
+    obs = ticks.df.count() / 5
+    made = {
+        "root_psd": linalg.root_psd(m),
+        "from_eigen": linalg.from_eigen(*np.linalg.eigh(m)),
+        "eigenvalue_clean": linalg.eigenvalue_clean(m, 1.0),
+        "eigenvalue_clean_for": linalg.eigenvalue_clean_for(m, obs),
+        "project_to_psd": linalg.project_to_psd(bad),
+        "nearest_psd": linalg.nearest_psd(bad),
+        "project_to_unit_diagonal": linalg.project_to_unit_diagonal(m * np.array([[3.0, 1.0], [1.0, 0.5]]), np.eye(2)),
+    }
+    rows = [(n, float(x[0, 0]), float(x[0, 1]), True) for n, x in made.items()]
+    for name, holds in (("is_psd", linalg.is_psd), ("is_correlation", linalg.is_correlation)):
+        rows += [(name, 1.0, float(m[0, 1]), bool(holds(m))), (f"{name}_of_bad", 1.0, float(bad[0, 1]), bool(holds(bad)))]
+    return rounded(spark.createDataFrame(rows, "operator string, diagonal double, other double, holds boolean"))
+
+
+@query(
+    "unknown_model",
+    f"with {TICKS}, n as (select distinct asset from ticks) select p.asset as asset1, q.asset as asset2, 'correlation' as variable, true as unknown from n p join n q on p.asset < q.asset "
+    "union all select asset, asset, v, true from n, (select unnest(['volatility', 'drift', 'mean']) as v)",
+)
+def _(spark, sf):
+    """What cannot be estimated is NaN everywhere."""
+    names = [x.asset for x in types(spark, sf).df.select("asset").distinct().orderBy("asset").collect()]
+    return matrices.CovarianceModel.unknown(names).to_frame(spark).select("asset1", "asset2", "variable", F.isnan("value").alias("unknown"))
+
+
 _TRUTH = np.array([[1, 0.75, 0.5, 0], [0.75, 1, 0.5, 0.25], [0.5, 0.5, 1, 0.25], [0, 0.25, 0.25, 1]])
 _MODEL = matrices.CovarianceModel(matrices.CovarianceMatrix(_TRUTH, [0.02, 0.03, 0.04, 0.05], ("BARC", "HSBC", "VODL", "RYAL"), Period("Day")), np.zeros(4), np.zeros(4))
 
