@@ -561,6 +561,29 @@ def _(spark, sf):
     return spark.createDataFrame(rows, "ord int, assets array<string>, method string, number_of_assets int, mean_number_of_ticks double, mean_time_per_tick double")
 
 
+_BLOCKS_SQL = (
+    f"with recursive {USERS}, rates as (select asset, count(*) / (select max(t) - min(t) from ticks) as rate, count(*) as n from ticks group by asset), "
+    "starts(s) as (select min(rate) from rates union all select (select min(rate) from rates where rate / s - 1 > 0.1) from starts where exists (select 1 from rates where rate / s - 1 > 0.1)), "
+    "numbered as (select s, row_number() over (order by s) - 1 as g from starts), "
+    "members as (select r.asset, r.rate, r.n, max(x.g) as g from rates r join numbered x on r.rate >= x.s group by 1, 2, 3), "
+    "blocks(path, lo, hi) as (select '', 0, (select count(*) from numbered) union all "
+    "select path || side, case side when '0' then lo else lo + (hi - lo) // 2 end, case side when '0' then lo + (hi - lo) // 2 else hi end from blocks, (select unnest(['0', '1']) as side) where hi - lo > 1), "
+    "sized as (select path, count(*) as number_of_assets, avg(n) as ticks, avg(rate) as rate from blocks join members on g >= lo and g < hi group by path), "
+    "placed as (select *, row_number() over (order by number_of_assets desc, path) - 1 as ord from sized) "
+    f"select cast(p.ord as int) as ord, m.asset, cast(p.number_of_assets as int) as number_of_assets, {r('p.ticks', 'mean_number_of_ticks')}, {r('p.rate', 'mean_time_per_tick', 10)} "
+    "from placed p join blocks b using (path) join members m on m.g >= b.lo and m.g < b.hi"
+)
+
+
+@query("blocks_by_frequency", _BLOCKS_SQL)
+def _(spark, sf):
+    """The blocking plan, a row per asset of each block."""
+    blocks = estimate.blocks_by_frequency(T.event_ticks(spark, sf, "user_id"), 0.1)
+    rows = [(i, a, b.number_of_assets, b.mean_number_of_ticks, b.mean_time_per_tick) for i, b in enumerate(blocks) for a in sorted(b.assets)]
+    df = spark.createDataFrame(rows, "ord int, asset string, number_of_assets int, mean_number_of_ticks double, mean_time_per_tick double")
+    return df.withColumns({"mean_number_of_ticks": F.round("mean_number_of_ticks", 6) + F.lit(0.0), "mean_time_per_tick": F.round("mean_time_per_tick", 10) + F.lit(0.0)})
+
+
 # --- matrices ---------------------------------------------------------------
 
 
