@@ -29,6 +29,7 @@ from dataclasses import dataclass
 from decimal import Decimal
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +51,7 @@ BROADCAST_KEYS = 1_000_000
 _LAST = 10**19  # above all ids
 _STEP = 10**20
 HEADS = "key long, digest string, norm binary, group_size long, keep_id long"
+_HEAD_NAMES = ["key", "digest", "norm", "group_size", "keep_id"]
 
 
 @dataclass(frozen=True)
@@ -142,8 +144,9 @@ def _id_of(rank: int) -> int | None:
 def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Walks entries sorted by key and gives each distinct text its head.
 
-    ``norm`` is given only for texts that share key and digest with another
-    text.  Memory: the distinct texts of one key, nearly always one.
+    An entry without text is alone with its key and passes as it is.  ``norm``
+    is given only for texts that share key and digest with another text.
+    Memory: the distinct texts of one key, nearly always one.
     """
 
     def heads(key: int, texts: dict) -> list[tuple]:
@@ -154,7 +157,10 @@ def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     current, texts = None, {}
     for batch in batches:
-        rows: list[tuple] = []
+        alone = pc.is_null(batch.column("norm"))
+        single = batch.filter(alone)
+        yield pa.RecordBatch.from_arrays([single.column(c) for c in ("key", "digest", "norm", "n", "only")], _HEAD_NAMES)
+        batch, rows = batch.filter(pc.invert(alone)), []
         for key, digest, text, n, rank in zip(*(batch.column(c).to_pylist() for c in ("key", "digest", "norm", "n", "rank")), strict=True):
             if key != current:
                 if texts:
@@ -170,7 +176,7 @@ def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _heads_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [()] * 5
     kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "digest", "norm", "group_size", "keep_id"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _HEAD_NAMES)
 
 
 def write_index(keyed: DataFrame, entries: DataFrame, capacity: int) -> tuple[str, DataFrame]:
@@ -181,7 +187,7 @@ def write_index(keyed: DataFrame, entries: DataFrame, capacity: int) -> tuple[st
     spark = entries.sparkSession
     size = F.lit(ENTRY_BYTES) + F.when(F.col("n") > 1, F.col("size")).otherwise(0)
     rank = rank_of(F.col("points"), F.col("doc_id"))
-    keys = entries.groupBy("key").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.min("digest").alias("digest"), F.max(rank).alias("rank"))
+    keys = entries.groupBy("key").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.min("digest").alias("digest"), F.min("doc_id").alias("only"))
     keys = materialise(keys, "keys")
     total = keys.agg(F.sum(size)).first()[0] or 0
     directory = plan_directory(keys, max(capacity, total // MAX_BUCKETS), weight=size)
@@ -194,8 +200,9 @@ def write_index(keyed: DataFrame, entries: DataFrame, capacity: int) -> tuple[st
     if not few:
         bodies = bodies.join(shared, "key", "left_semi")
     body = F.encode("norm", "UTF-8").alias("norm")
-    index = keys.where("n = 1").select("key", "digest", F.lit(None).cast("binary").alias("norm"), "n", "rank")
-    index = with_bucket(index.unionByName(bodies.select("key", "digest", body, "n", "rank")), directory)
+    none = F.lit(None)
+    index = keys.where("n = 1").select("key", "digest", none.cast("binary").alias("norm"), "n", none.cast("decimal(38,0)").alias("rank"), "only")
+    index = with_bucket(index.unionByName(bodies.select("key", "digest", body, "n", "rank", none.cast("long").alias("only"))), directory)
     path = f"{shared_root(spark)}/index-{uuid.uuid4().hex}"
     many = int(spark.conf.get("spark.sql.shuffle.partitions"))
     owned = index.repartition(min(many, len(directory.buckets)), "bucket").sortWithinPartitions("bucket", "key")
@@ -209,7 +216,7 @@ def find_heads(index: DataFrame) -> DataFrame:
     """HEADS of an index: owner tasks read whole buckets in key order."""
     many = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     owned = index.repartition(many, "bucket").sortWithinPartitions("bucket", "key")
-    return owned.select("key", "digest", "norm", "n", "rank").mapInArrow(chain, HEADS)
+    return owned.select("key", "digest", "norm", "n", "rank", "only").mapInArrow(chain, HEADS)
 
 
 def exact_dedup(docs: DataFrame, *, capacity: int = BUCKET_BYTES, key_of: Callable[[Column], Column] | None = None, digest_of: Callable[[Column], Column] | None = None) -> DataFrame:
