@@ -149,3 +149,19 @@ def test_sorted_table_with_an_index(spark):
     assert sorted(map(tuple, ticks.df.select("asset", "t", "value", "seq").collect())) == [("X", 5.0, 1.0, 0), ("X", 6.0, 3.0, 2), ("Y", 5.0, 2.0, 1)]
     text = T.show(ticks, rows=2)
     assert text.splitlines()[0].startswith("Ticks with 3 rows") and len(text.splitlines()) == 4 and "X  5  1" in text
+
+
+# --- which assets count ------------------------------------------------------------
+
+
+def test_assets_need_ticks_and_values_that_differ(spark):
+    rows = [("few", float(i), float(i), i) for i in range(9)] + [("flat", float(i), 5.0, i) for i in range(30)]
+    rows += [("moving", float(i), float(i % 3), i) for i in range(30)] + [("still", 1.0, float(i), i) for i in range(30)]
+    rows += [("broken", float(i), float("nan") if i == 4 else float(i), i) for i in range(30)]
+    ticks = Ticks(spark.createDataFrame(rows, "asset string, t double, value double, seq long"))
+    assert [r.asset for r in sampling.get_assets(ticks).collect()] == ["moving", "still"]
+    with pytest.warns(UserWarning, match="NaN values for broken"):
+        assert sampling.asset_names(ticks) == ["moving", "still"]
+    assert [r.asset for r in sampling.time_between_refreshes(ticks).collect()] == ["moving", "still"]
+    given = {r.asset: r.time_between_ticks for r in sampling.time_between_refreshes(ticks, ["few", "flat"]).collect()}
+    assert given == {"few": pytest.approx(9 / 29), "flat": pytest.approx(30 / 29)}

@@ -124,7 +124,7 @@ def _(spark, sf):
 USERS = "ticks as (select cast(user_id as varchar) as asset, (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 1e6 as t, value, event_id as seq from events)"
 
 
-@query("get_assets", f"with {USERS} select asset from ticks group by asset having count(*) >= 10 and max(t) - min(t) > 2.220446049250313e-13")
+@query("get_assets", f"with {USERS} select asset from ticks group by asset having count(*) >= 10 and max(value) - min(value) > 2.220446049250313e-13")
 def _(spark, sf):
     return sampling.get_assets(T.event_ticks(spark, sf, "user_id"))
 
@@ -151,7 +151,7 @@ def _(spark, sf):
     return sampling.ticks_per_asset(types(spark, sf))
 
 
-@query("time_between_refreshes", f"with {USERS} select asset, {r('count(*) / (select max(t) - min(t) from ticks)', 'time_between_ticks', 10)}, count(*) as number_of_ticks from ticks group by asset")
+@query("time_between_refreshes", f"with {USERS} select asset, {r('count(*) / (select max(t) - min(t) from ticks)', 'time_between_ticks', 10)}, count(*) as number_of_ticks from ticks group by asset having count(*) >= 10 and max(value) - min(value) > 2.220446049250313e-13")
 def _(spark, sf):
     return rounded(sampling.time_between_refreshes(T.event_ticks(spark, sf, "user_id")), 10)
 
@@ -562,7 +562,7 @@ def _(spark, sf):
 
 
 _BLOCKS_SQL = (
-    f"with recursive {USERS}, rates as (select asset, count(*) / (select max(t) - min(t) from ticks) as rate, count(*) as n from ticks group by asset), "
+    f"with recursive {USERS}, rates as (select asset, count(*) / (select max(t) - min(t) from ticks) as rate, count(*) as n from ticks group by asset having count(*) >= 10 and max(value) - min(value) > 2.220446049250313e-13), "
     "starts(s) as (select min(rate) from rates union all select (select min(rate) from rates where rate / s - 1 > 0.1) from starts where exists (select 1 from rates where rate / s - 1 > 0.1)), "
     "numbered as (select s, row_number() over (order by s) - 1 as g from starts), "
     "members as (select r.asset, r.rate, r.n, max(x.g) as g from rates r join numbered x on r.rate >= x.s group by 1, 2, 3), "

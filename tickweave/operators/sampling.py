@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from bisect import bisect_left
 
 import numpy as np
@@ -13,18 +14,29 @@ from tickweave.functions.periods import Period
 from tickweave.operators.ordered import as_of, previous, ranked
 from tickweave.sources.ticks import Ticks
 
-#: Below this spread of times an asset does not count as observed over time.
+#: Below this spread of values an asset does not count as moving, so nothing can be estimated for it.
 MIN_SPREAD = 1000 * np.finfo(float).eps
 
 
+def _observed(ticks: Ticks, min_obs: int) -> DataFrame:
+    """asset, n_nan, and whether it has ``min_obs`` ticks and values that differ."""
+    spread = F.max("value") - F.min("value")
+    stats = ticks.df.groupBy("asset").agg(F.count("*").alias("n"), spread.alias("spread"), F.count(F.when(F.isnan("value"), 1)).alias("n_nan"))
+    return stats.select("asset", "n_nan", ((F.col("n") >= min_obs) & (F.col("n_nan") == 0) & (F.col("spread") > MIN_SPREAD)).alias("counts"))
+
+
 def get_assets(ticks: Ticks, min_obs: int = 10) -> DataFrame:
-    """Assets with at least ``min_obs`` ticks over a positive stretch of time, sorted."""
-    stats = ticks.df.groupBy("asset").agg(F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("spread"))
-    return stats.where((F.col("n") >= min_obs) & (F.col("spread") > MIN_SPREAD)).select("asset").orderBy("asset")
+    """Assets with at least ``min_obs`` ticks and values that differ, none of them NaN; sorted."""
+    return _observed(ticks, min_obs).where("counts").select("asset").orderBy("asset")
 
 
 def asset_names(ticks: Ticks, min_obs: int = 10) -> list[str]:
-    return [r.asset for r in get_assets(ticks, min_obs).collect()]
+    """The same as a list; warns of assets with NaN values."""
+    rows = _observed(ticks, min_obs).collect()  # a row per asset
+    for r in rows:
+        if r.n_nan:
+            warnings.warn(f"There are NaN values for {r.asset}.", stacklevel=2)
+    return sorted(r.asset for r in rows if r.counts)
 
 
 def subset_to_tick(ticks: Ticks, n: int) -> Ticks:
@@ -51,10 +63,11 @@ def ticks_per_asset(ticks: Ticks) -> DataFrame:
     return ticks.df.groupBy("asset").agg(F.count("*").alias("number_of_ticks"))
 
 
-def time_between_refreshes(ticks: Ticks, *, strict: bool = False) -> DataFrame:
+def time_between_refreshes(ticks: Ticks, assets: list[str] | None = None, *, strict: bool = False) -> DataFrame:
     """Ticks per unit of time over the whole table's extent (``strict``: time per tick), slowest first."""
     extent = ticks.df.agg((F.max("t") - F.min("t")).alias("span"))
-    per = ticks_per_asset(ticks).join(F.broadcast(extent))  # one row
+    known = get_assets(ticks) if assets is None else ticks.spark.createDataFrame([(a,) for a in assets], "asset string")
+    per = ticks_per_asset(ticks).join(known, "asset").join(F.broadcast(extent))  # one row
     rate = F.col("span") / F.col("number_of_ticks") if strict else F.col("number_of_ticks") / F.col("span")
     return per.select("asset", rate.alias("time_between_ticks"), "number_of_ticks").orderBy("time_between_ticks", "asset")
 
