@@ -109,7 +109,7 @@ def realised_kernel(returns: DataFrame, kernel: Kernel, bandwidth: float, n: int
 
 
 def mean_ticks(ticks: Ticks, assets: list[str]) -> float:
-    return sampling.ticks_per_asset(ticks.only(assets)).agg(F.avg("number_of_ticks").alias("n")).first()["n"]
+    return sampling.tick_counts(ticks.only(assets)).agg(F.avg("number_of_ticks").alias("n")).first()["n"]
 
 
 def bnhls(ticks: Ticks, assets: list[str], kernel: Kernel = PARZEN, bandwidth: float | None = None, grid: DataFrame | None = None) -> DataFrame:

@@ -360,7 +360,7 @@ def mean_abs_covariance_distance(x: CovarianceMatrix | CovarianceModel, y: Covar
     if set(x.labels) != set(y.labels) and nan_if_labels_differ:
         return math.nan
     labels = [a for a in x.labels if a in y.labels]
-    return float(np.abs(x.covariance(labels=labels) - y.covariance(labels=labels)).mean())
+    return round(float(np.abs(x.covariance(labels=labels) - y.covariance(labels=labels)).mean()), DECIMALS)
 
 
 # --- the same as joins on long tables -------------------------------------

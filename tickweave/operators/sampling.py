@@ -59,15 +59,24 @@ def duration_period(ticks: Ticks) -> Period:
     return Period("Nanosecond", round(duration(ticks) * ticks.period.ns))
 
 
-def ticks_per_asset(ticks: Ticks) -> DataFrame:
+def tick_counts(ticks: Ticks) -> DataFrame:
+    """(asset, number_of_ticks) of every asset in the table."""
     return ticks.df.groupBy("asset").agg(F.count("*").alias("number_of_ticks"))
 
 
+def _chosen(ticks: Ticks, assets: list[str] | None) -> DataFrame:
+    return get_assets(ticks) if assets is None else ticks.spark.createDataFrame([(a,) for a in assets], "asset string")
+
+
+def ticks_per_asset(ticks: Ticks, assets: list[str] | None = None) -> DataFrame:
+    """(asset, number_of_ticks) of the given assets, or of those that count as observed."""
+    return tick_counts(ticks).join(_chosen(ticks, assets), "asset")
+
+
 def time_between_refreshes(ticks: Ticks, assets: list[str] | None = None, *, strict: bool = False) -> DataFrame:
     """Ticks per unit of time over the whole table's extent (``strict``: time per tick), slowest first."""
     extent = ticks.df.agg((F.max("t") - F.min("t")).alias("span"))
-    known = get_assets(ticks) if assets is None else ticks.spark.createDataFrame([(a,) for a in assets], "asset string")
-    per = ticks_per_asset(ticks).join(known, "asset").join(F.broadcast(extent))  # one row
+    per = ticks_per_asset(ticks, assets).join(F.broadcast(extent))  # one row
     rate = F.col("span") / F.col("number_of_ticks") if strict else F.col("number_of_ticks") / F.col("span")
     return per.select("asset", rate.alias("time_between_ticks"), "number_of_ticks").orderBy("time_between_ticks", "asset")
 

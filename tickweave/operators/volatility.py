@@ -34,7 +34,7 @@ def grid_volatility(ticks: Ticks, grid: DataFrame) -> DataFrame:
 
 
 def default_num_grids(ticks: Ticks) -> float:
-    least = sampling.ticks_per_asset(ticks).agg(F.min("number_of_ticks").alias("n")).first()["n"] or 0
+    least = sampling.tick_counts(ticks).agg(F.min("number_of_ticks").alias("n")).first()["n"] or 0
     return max(math.floor(least / 100), 3)
 
 

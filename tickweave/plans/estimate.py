@@ -108,7 +108,7 @@ def preaveraged_covariance(ticks: Ticks, assets: list[str] | None = None, *, reg
     assets = assets or sampling.asset_names(ticks)
     n = ticks.df.count()
     k = C.preaveraging_window(n, theta)
-    counts = {r.asset: r.number_of_ticks for r in sampling.ticks_per_asset(ticks).collect()}
+    counts = {r.asset: r.number_of_ticks for r in sampling.tick_counts(ticks).collect()}
     short = [a for a in assets if counts.get(a, 0) - k < 1]
     if short:
         if not drop_short:
