@@ -162,6 +162,6 @@ def test_assets_need_ticks_and_values_that_differ(spark):
     assert [r.asset for r in sampling.get_assets(ticks).collect()] == ["moving", "still"]
     with pytest.warns(UserWarning, match="NaN values for broken"):
         assert sampling.asset_names(ticks) == ["moving", "still"]
-    assert [r.asset for r in sampling.time_between_refreshes(ticks).collect()] == ["moving", "still"]
+    assert {r.asset for r in sampling.time_between_refreshes(ticks).collect()} == {"few", "flat", "moving", "still", "broken"}
     given = {r.asset: r.time_between_ticks for r in sampling.time_between_refreshes(ticks, ["few", "flat"]).collect()}
     assert given == {"few": pytest.approx(9 / 29), "flat": pytest.approx(30 / 29)}

@@ -148,12 +148,14 @@ def _(spark, sf):
 
 @query("ticks_per_asset", f"with {USERS} select asset, count(*) as number_of_ticks from ticks group by asset having count(*) >= 10 and max(value) - min(value) > 2.220446049250313e-13")
 def _(spark, sf):
-    return sampling.ticks_per_asset(T.event_ticks(spark, sf, "user_id"))
+    users = T.event_ticks(spark, sf, "user_id")
+    return sampling.ticks_per_asset(users, sampling.asset_names(users))
 
 
 @query("time_between_refreshes", f"with {USERS} select asset, {r('count(*) / (select max(t) - min(t) from ticks)', 'time_between_ticks', 10)}, count(*) as number_of_ticks from ticks group by asset having count(*) >= 10 and max(value) - min(value) > 2.220446049250313e-13")
 def _(spark, sf):
-    return rounded(sampling.time_between_refreshes(T.event_ticks(spark, sf, "user_id")), 10)
+    users = T.event_ticks(spark, sf, "user_id")
+    return rounded(sampling.time_between_refreshes(users, sampling.asset_names(users)), 10)
 
 
 # --- sampling ---------------------------------------------------------------

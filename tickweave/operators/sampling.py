@@ -64,17 +64,13 @@ def tick_counts(ticks: Ticks) -> DataFrame:
     return ticks.df.groupBy("asset").agg(F.count("*").alias("number_of_ticks"))
 
 
-def _chosen(ticks: Ticks, assets: list[str] | None) -> DataFrame:
-    return get_assets(ticks) if assets is None else ticks.spark.createDataFrame([(a,) for a in assets], "asset string")
-
-
 def ticks_per_asset(ticks: Ticks, assets: list[str] | None = None) -> DataFrame:
-    """(asset, number_of_ticks) of the given assets, or of those that count as observed."""
-    return tick_counts(ticks).join(_chosen(ticks, assets), "asset")
+    """(asset, number_of_ticks) of the given assets, or of all; ``asset_names`` gives those that count as observed."""
+    return tick_counts(ticks.only(assets))
 
 
 def time_between_refreshes(ticks: Ticks, assets: list[str] | None = None, *, strict: bool = False) -> DataFrame:
-    """Ticks per unit of time over the whole table's extent (``strict``: time per tick), slowest first."""
+    """Ticks per unit of time over the whole table's extent (``strict``: time per tick), slowest first; of all assets or the given ones."""
     extent = ticks.df.agg((F.max("t") - F.min("t")).alias("span"))
     per = ticks_per_asset(ticks, assets).join(F.broadcast(extent))  # one row
     rate = F.col("span") / F.col("number_of_ticks") if strict else F.col("number_of_ticks") / F.col("span")
