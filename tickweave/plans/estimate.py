@@ -73,6 +73,7 @@ def simple_covariance(ticks: Ticks, assets: list[str] | None = None, *, regulari
         return CovarianceMatrix.unknown(assets, ticks.period)
     step = ticks.period.times(shape["span"] / (shape["n"] - 1)).ns / ticks.period.ns
     m = matrix_from_pairs(C.grid_covariance(ticks, grid, assets), assets)
+    drop_tables(grid)
     return _finish(m, ticks, assets, step, regularisation, only_if_not_psd, regularisation_params)
 
 

@@ -33,6 +33,7 @@ def shared_root(spark: SparkSession) -> str:
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _lock, _inside, _before = threading.Lock(), 0, None
+_made: set[str] = set()
 
 
 @contextmanager
@@ -53,6 +54,13 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(_CLEANUP, _before)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nobody else uses; only such folders are ever deleted."""
+    folder = f"{name}-{uuid.uuid4().hex}"
+    _made.add(folder)
+    return f"{shared_root(spark)}/{folder}"
+
+
 def materialise(df: DataFrame, name: str, *, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the table read back.
 
@@ -61,7 +69,7 @@ def materialise(df: DataFrame, name: str, *, codec: str = "zstd") -> DataFrame:
     The shuffle files above the cut are removed.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     with shuffles_removed(spark):
         df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -70,7 +78,8 @@ def materialise(df: DataFrame, name: str, *, codec: str = "zstd") -> DataFrame:
 def drop_tables(*tables: DataFrame | None) -> None:
     """Delete tables that ``materialise`` wrote and nobody reads any more.
 
-    Of a plan over several tables, all that lie in the shared folder go.
+    Of a plan over several tables, all that this process wrote go; inputs never
+    do, not even if they lie in the shared folder.
     """
     for table in tables:
         if table is None:
@@ -81,6 +90,7 @@ def drop_tables(*tables: DataFrame | None) -> None:
         root = shared_root(spark)
         inside = "/" + root.split(":", 1)[-1].strip("/") + "/"
         names = {f.split(inside, 1)[1].split("/", 1)[0] for f in table.inputFiles() if inside in f}
-        for name in names:
+        for name in names & _made:
             path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
             path.getFileSystem(conf).delete(path, True)
+            _made.discard(name)
