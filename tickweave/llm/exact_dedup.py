@@ -23,7 +23,6 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from decimal import Decimal
@@ -33,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.workspace import drop_tables, materialise, shared_root, shuffles_removed
+from tickweave.workspace import drop_tables, materialise, new_folder, shuffles_removed
 
 #: Bytes of a bucket's entries; a larger corpus than MAX_BUCKETS of these has larger buckets.
 BUCKET_BYTES = 1 << 20
@@ -203,7 +202,7 @@ def write_index(keyed: DataFrame, entries: DataFrame, capacity: int) -> tuple[st
     none = F.lit(None)
     index = keys.where("n = 1").select("key", "digest", none.cast("binary").alias("norm"), "n", none.cast("decimal(38,0)").alias("rank"), "only")
     index = with_bucket(index.unionByName(bodies.select("key", "digest", body, "n", "rank", none.cast("long").alias("only"))), directory)
-    path = f"{shared_root(spark)}/index-{uuid.uuid4().hex}"
+    path = new_folder(spark, "index")
     many = int(spark.conf.get("spark.sql.shuffle.partitions"))
     owned = index.repartition(min(many, len(directory.buckets)), "bucket").sortWithinPartitions("bucket", "key")
     with shuffles_removed(spark):
