@@ -393,9 +393,10 @@ def changes(rows: DataFrame) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], ["host", "doc", "gone"])
             yield out.filter(pa.array([g is not None for g in gone], pa.bool_()))
 
-    lost = materialise(importances(found).mapInArrow(decide, "host string, doc long, gone array<int>"), "lost")
+    known = importances(found)
+    lost = materialise(known.mapInArrow(decide, "host string, doc long, gone array<int>"), "lost")
     out = materialise(found.select("row", "host", "doc").distinct().join(lost, ["host", "doc"]).select("row", "gone").dropDuplicates(["row"]), "gone")
-    drop_tables(found, lost)
+    drop_tables(found, known, lost)
     return out
 
 
