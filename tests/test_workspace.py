@@ -1,6 +1,8 @@
 """Written tables: where they are, and that only they are deleted."""
 
 import os
+import shutil
+import uuid
 
 import pytest
 
@@ -13,14 +15,17 @@ def folders(spark):
 
 
 def test_only_written_tables_are_deleted(spark):
-    root = workspace.shared_root(spark)
-    spark.range(5).write.parquet(f"{root}/an-input")
-    given = spark.read.parquet(f"{root}/an-input")
+    given_name = f"an-input-{uuid.uuid4().hex}"  # the folder may be one that other runs use too
+    path = f"{workspace.shared_root(spark)}/{given_name}"
+    spark.range(5).write.parquet(path)
+    given = spark.read.parquet(path)
     written = workspace.materialise(given.join(workspace.materialise(spark.range(3), "small"), "id"), "joined")
-    before = folders(spark)
+    mine = written.inputFiles()[0].rsplit("/", 2)[1]
+    assert {given_name, mine} <= folders(spark)
     workspace.drop_tables(given.join(written, "id"), None)
-    assert {f.rsplit("-", 1)[0] for f in before - folders(spark)} == {"joined"}
+    assert mine not in folders(spark) and given_name in folders(spark)
     assert given.count() == 5
+    shutil.rmtree(path.split(":", 1)[-1])
 
 
 def test_shuffle_files_setting_is_given_back(spark):
