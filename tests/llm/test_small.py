@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tickweave.llm import arrowtext as A
 from tickweave.llm import components, decontamination, exact_dedup, html_extract, language_id, license_scan, line_dedup, ngram_join, packing, quality, sharding
 from tickweave.llm.queries import word_tokens
+from tickweave.workspace import materialise
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, key long"
 
@@ -475,6 +476,29 @@ def test_components(spark):
     assert all(found.get(v, v) == find(v) for v in root)
 
 
+def test_rounds_of_few_edges_write_few_files(spark, monkeypatch):
+    files = []
+
+    def counted(df, name, **given):
+        table = materialise(df, name, **given)
+        files.append(len(table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(components, "materialise", counted)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        edges = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+        found = {r.id: r.component_id for r in components.components(edges).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {i: 0 for i in range(1, 401)}
+    assert len(files) > 2 and max(files[1:]) <= 2 * spark.sparkContext.defaultParallelism < files[0]
+
+
 def test_word_hashes_do_not_depend_on_slices(monkeypatch):
     import pyarrow as pa
 

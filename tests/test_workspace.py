@@ -67,3 +67,16 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         workspace.shared_root(Session())
+
+
+def test_a_counted_table_is_written_by_few_tasks(spark, monkeypatch):
+    parts = lambda df: len(df.inputFiles())
+    many = spark.range(0, 3000, 1, 200)
+    most = 2 * spark.sparkContext.defaultParallelism
+    counted = workspace.materialise(many, "counted", rows=3000)
+    assert parts(counted) == most and counted.count() == 3000
+    monkeypatch.setattr(workspace, "FILE_ROWS", 100)
+    longer = workspace.materialise(many, "longer", rows=3000)
+    assert parts(longer) == max(most, 30) and sorted(r.id for r in longer.collect()) == list(range(3000))
+    assert parts(workspace.materialise(spark.range(0, 10, 1, 3), "few", rows=3000)) == 3
+    workspace.drop_tables(counted, longer)

@@ -36,7 +36,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     current = materialise(edges.where(F.col(a) != F.col(b)).select(u.alias("u"), v.alias("v")).distinct(), "edges")
     seen = _print_of(current)
     while seen[0]:
-        following = materialise(_stars(current), "edges")
+        following = materialise(_stars(current), "edges", rows=2 * seen[0])  # each star has no more edges than there were
         found = _print_of(following)
         drop_tables(current)
         current = following

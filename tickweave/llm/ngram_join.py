@@ -172,7 +172,7 @@ def keep_ids(df: DataFrame, column: str, ids: DataFrame, how: str) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
     """The pairs (a, b) that are linked, by their exact sets."""
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted", rows=2 * pairs.count())
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,9 +312,10 @@ def ngram_components(docs: DataFrame, sim: Similarity = Similarity()) -> DataFra
     """doc_id, n_shingles, component_id of every row; components of the links of ``sim``."""
     sketches = materialise(sketch(docs, sim), "sketches")
     # Small tables are written before they are joined: with a plain exchange on both sides hot keys can be split.
-    classes = materialise(sketches.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("rep")), "classes")
+    many = sketches.count()
+    classes = materialise(sketches.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("rep")), "classes", rows=many)
     members = sketches.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
-    members = materialise(members.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
+    members = materialise(members.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members", rows=many)
 
     copies = members.where("doc_id <> rep").select("doc_id").distinct()
     heads_only = keep_ids(sketches.select("doc_id", "keys", "spare"), "doc_id", copies, "left_anti")
@@ -323,10 +324,11 @@ def ngram_components(docs: DataFrame, sim: Similarity = Similarity()) -> DataFra
     shared = materialise(cells.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     crowd = materialise(cells.join(shared, "key").select("key", "n", "id", "which", "spare").distinct(), "crowd")
     drop_tables(shared)
-    rare = materialise(rarest(crowd), "rarest")
-    heads = materialise(rare.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head")).where("n > 1").select("key", "head"), "heads")
+    rare = materialise(rarest(crowd), "rarest", rows=crowd.count())
+    cells_left = rare.count()
+    heads = materialise(rare.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head")).where("n > 1").select("key", "head"), "heads", rows=cells_left)
     drop_tables(crowd, classes)
-    crowd = materialise(rare.join(heads, "key"), "crowd")
+    crowd = materialise(rare.join(heads, "key"), "crowd", rows=cells_left)
     drop_tables(rare, heads)
     slim = sketches.select("doc_id", "n_shingles", "bits")
 
@@ -338,9 +340,9 @@ def ngram_components(docs: DataFrame, sim: Similarity = Similarity()) -> DataFra
 
     # What the stars leave open: cells that hold more than one component.
     for spanning in (True, False):
-        placed = materialise(crowd.join(found, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c")), "placed")
+        placed = materialise(crowd.join(found, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c")), "placed", rows=cells_left)
         mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        mixed = materialise(mixed, "mixed")
+        mixed = materialise(mixed, "mixed", rows=cells_left)
         rest = materialise(close_across(placed.join(mixed, "key"), slim, sim, spanning=spanning), "rest")
         pairs, left_out = rest.where("a is not null"), not rest.where("a is null").isEmpty()
         if not pairs.isEmpty():

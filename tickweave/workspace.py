@@ -31,6 +31,9 @@ def shared_root(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Rows of a counted table that one task writes at most, unless there are fewer tasks anyway.
+FILE_ROWS = 100_000
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _lock, _inside, _before = threading.Lock(), 0, None
 _made: set[str] = set()
@@ -61,17 +64,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{folder}"
 
 
-def materialise(df: DataFrame, name: str, *, codec: str = "zstd") -> DataFrame:
+def materialise(df: DataFrame, name: str, *, codec: str = "zstd", rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the table read back.
 
     A lost executor costs no recomputation of what is above the cut, and a
     random or order-dependent column keeps one value for all later readers.
     The shuffle files above the cut are removed.
+
+    ``rows`` is an upper bound of the rows, as counted by the caller: it bounds
+    the tasks that write them, whatever the number of shuffle partitions.  In a
+    local file system each file costs its executor three helper processes.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
+    if rows is not None:
+        written = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+    else:
+        written = df
     with shuffles_removed(spark):
-        df.write.option("compression", codec).parquet(path)
+        written.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
