@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,27 @@ def test_refresh_times_with_an_asset_that_never_ticks(spark):
     assert sampling.refresh_times(Ticks(ticks.df.limit(0), chunk=5.0), NAMES).count() == 0
 
 
+def test_pieces_of_sorted_batches():
+    chunks = [-4] * 3 + [-1] * 5 + [2] * 9 + [3]
+    table = pa.table({"chunk": pa.array(chunks, pa.int64()), "row": range(len(chunks))})
+    batches = [*table.slice(0, 4).to_batches(), *table.slice(0, 0).to_batches(), *table.slice(4, 10).to_batches(), *table.slice(14).to_batches()]
+    got = [(chunk, piece.column("row").to_pylist()) for chunk, piece in sampling._pieces(iter(batches), 4)]
+    assert got == [(-4, [0, 1, 2]), (-1, [3, 4, 5, 6]), (-1, [7]), (2, [8, 9, 10, 11]), (2, [12, 13, 14, 15]), (2, [16]), (3, [17])]
+
+
+@pytest.mark.parametrize("chunk", [None, 50.0])
+def test_a_chunk_is_read_in_pieces(spark, monkeypatch, chunk):
+    """Ticks of one chunk, even of one time, are never held as a whole."""
+    monkeypatch.setattr(sampling, "PIECE_ROWS", 7)
+    ticks, rows = random_ticks(spark, 4, 500, chunk)
+    assert [r.t for r in sampling.refresh_times(ticks, NAMES).orderBy("k").collect()] == brute_refreshes(rows, NAMES)
+    both = sampling.refresh_times_of_pairs(ticks, [("A", "B"), ("C", "D")]).orderBy("k").collect()
+    for a, b in [("A", "B"), ("C", "D")]:
+        assert [r.t for r in both if (r.a, r.b) == (a, b)] == brute_refreshes(rows, [a, b])
+    same = Ticks(ticks.df.withColumn("t", F.lit(1.0)), chunk=chunk)
+    assert sampling.refresh_times(same, NAMES).count() == len(brute_refreshes(rows, NAMES))
+
+
 def frame(df, *keys):
     return [tuple(r[k] for k in keys) for r in df.orderBy(*keys[:-1]).collect()]
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import warnings
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,10 @@ from tickweave.sources.ticks import Ticks
 
 #: Below this spread of values an asset does not count as moving, so nothing can be estimated for it.
 MIN_SPREAD = 1000 * np.finfo(float).eps
+#: Rows of a chunk that refresh times hold at once, however many it has.
+PIECE_ROWS = 200_000
+#: Chunks of times that are NaN or null; they come last.
+_NAN_CHUNK, _NULL_CHUNK = 2**63 - 2, 2**63 - 1
 
 
 def _observed(ticks: Ticks, min_obs: int) -> DataFrame:
@@ -144,20 +151,19 @@ def global_rank(ticks: Ticks) -> DataFrame:
     return inside.join(before, "chunk").withColumn("rn", F.col("rn") + F.col("before")).drop("chunk", "before")
 
 
-class _Chunk:
-    """One chunk's ticks in time order: where each asset ticks, and the ways through it.
+class _Piece:
+    """A piece of a chunk, its ticks in time order: where each asset ticks, and the ways through it.
 
-    A state is the set of assets that are still missing.  A chunk with some
+    A state is the set of assets that are still missing.  A piece with some
     assets missing has its next refresh at the latest of their first ticks
-    here; from there on the way through the chunk depends on nothing before.
+    here; from there on the way through the piece depends on nothing before.
     """
 
     def __init__(self, table: pa.Table, place: dict[str, int]) -> None:
-        table = table.select(["asset", "t", "seq"]).combine_chunks().sort_by([("t", "ascending"), ("seq", "ascending")])
-        names = table.column("asset").combine_chunks().dictionary_encode() if table.num_rows else None
         self.t = table.column("t").to_numpy()
         self.at: list[list[int]] = [[] for _ in place]
-        if names is not None:
+        if table.num_rows:
+            names = table.column("asset").combine_chunks().dictionary_encode()
             names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
             code = np.array([place[x] for x in names.dictionary.to_pylist()])[np.asarray(names.indices)]
             order = np.argsort(code, kind="stable")
@@ -176,7 +182,7 @@ class _Chunk:
         return latest
 
     def walk(self, group: tuple[int, ...], row: int, known: dict) -> tuple[list[int], int]:
-        """Refreshes from ``row`` on until one is in ``known`` or the chunk ends, and where the last stretch began."""
+        """Refreshes from ``row`` on until one is in ``known`` or the piece ends, and where the last stretch began."""
         found, seen = [], [0] * len(group)
         while row not in known:
             latest = self.next_refresh(group, row, seen)
@@ -212,8 +218,49 @@ class _Chunk:
         return [first, *self.walk(group, first + 1, {})[0]]
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[int, pa.Table]]:
+    """(chunk, rows) from batches sorted by chunk: each chunk in pieces of at most ``rows`` rows."""
+    held: list[pa.Table] = []
+    n = chunk = 0
+    for batch in batches:
+        table, keys = pa.Table.from_batches([batch]), batch.column("chunk").to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else []
+        for lo, hi in zip(cuts, cuts[1:]):
+            while lo < hi:
+                if n and (keys[lo] != chunk or n == rows):
+                    yield chunk, pa.concat_tables(held)
+                    held, n = [], 0
+                take = min(hi - lo, rows - n)
+                held.append(table.slice(lo, take))
+                n, chunk, lo = n + take, int(keys[lo]), lo + take
+    if n:
+        yield chunk, pa.concat_tables(held)
+
+
+#: asset -> (first row, refreshes after it, assets missing at the end)
+_Ways = dict[int, tuple[int, int, list[int]]]
+
+
+def _through(missing: list[int], ways: _Ways) -> tuple[int, list[int]]:
+    """Refreshes in a stretch that is entered with some assets missing, and which are missing at its end."""
+    if any(a not in ways for a in missing):
+        return 0, [a for a in missing if a not in ways]
+    last = max((ways[a] for a in missing), key=lambda w: w[0])
+    return 1 + last[1], last[2]
+
+
+def _joined(ways: _Ways, later: _Ways) -> _Ways:
+    """Ways through two stretches, one after the other."""
+    out = {}
+    for asset, (first, count, missing) in ways.items():
+        more, left = _through(missing, later)
+        out[asset] = (first, count + more, left)
+    return out | {a: w for a, w in later.items() if a not in ways}
+
+
 _WAYS = "g int, chunk long, ways array<struct<asset:int,first:long,count:long,missing:array<int>>>"
-_ENTRY = "g int, chunk long, missing array<int>, k long"
+#: What is missing is text: a list that is null for all ticks makes Spark's writing of Arrow batches quadratic.
+_ENTRY = "g int, chunk long, missing string, k long"
 
 
 def group_refresh_times(ticks: Ticks, groups: list[tuple[str, ...]]) -> DataFrame:
@@ -221,42 +268,73 @@ def group_refresh_times(ticks: Ticks, groups: list[tuple[str, ...]]) -> DataFram
 
     Chunks are read in parallel twice: first each says where it leads to from
     every state it may be entered in (a row per group and chunk), these are
-    chained, and then each gives its refreshes.  Both readings share one shuffle.
+    chained, and then each gives its refreshes.  A task reads its chunks in
+    time order, a piece at a time, so a chunk may have any number of ticks.
     """
     names = sorted({a for g in groups for a in g})
     place = {a: i for i, a in enumerate(names)}
     coded = [tuple(place[a] for a in g) for g in groups]
-    base = ticks.only(names).df.select(ticks.chunk_of(F.col("t")).alias("chunk"), "asset", "t", "seq")
-
-    def summarise(key: tuple, table: pa.Table) -> pa.Table:
-        chunk = _Chunk(table, place)
-        rows = [{"g": g, "chunk": key[0].as_py(), "ways": [dict(zip(("asset", "first", "count", "missing"), w, strict=True)) for w in chunk.ways(group)]} for g, group in enumerate(coded)]
-        way = pa.list_(pa.struct([("asset", pa.int32()), ("first", pa.int64()), ("count", pa.int64()), ("missing", pa.list_(pa.int32()))]))
-        return pa.Table.from_pylist(rows, pa.schema([("g", pa.int32()), ("chunk", pa.int64()), ("ways", way)]))
+    t = F.col("t")
+    chunk_of = F.when(t.isNull(), F.lit(_NULL_CHUNK)).when(F.isnan(t), F.lit(_NAN_CHUNK)).otherwise(ticks.chunk_of(t))
+    base = ticks.only(names).df.select(chunk_of.alias("chunk"), "asset", "t", "seq")
+    size = PIECE_ROWS
+    way = pa.list_(pa.struct([("asset", pa.int32()), ("first", pa.int64()), ("count", pa.int64()), ("missing", pa.list_(pa.int32()))]))
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(g: int, chunk: int, ways: _Ways) -> dict:
+            return {"g": g, "chunk": chunk, "ways": [{"asset": a, "first": f, "count": n, "missing": m} for a, (f, n, m) in ways.items()]}
+
+        def rows() -> pa.RecordBatch:
+            made = [row(g, chunk, ways) for g, ways in enumerate(found)]
+            return pa.RecordBatch.from_pylist(made, pa.schema([("g", pa.int32()), ("chunk", pa.int64()), ("ways", way)]))
+
+        found: list[_Ways] = []
+        chunk = at = 0
+        for key, table in _pieces(batches, size):
+            if found and key != chunk:
+                yield rows()
+                found = []
+            if not found:
+                chunk, at, found = key, 0, [{} for _ in coded]
+            piece = _Piece(table, place)
+            found = [_joined(ways, {a: (at + f, n, m) for a, f, n, m in piece.ways(group)}) for ways, group in zip(found, coded, strict=True)]
+            at += table.num_rows
+        if found:
+            yield rows()
 
     def follow(key: tuple, table: pa.Table) -> pa.Table:
-        missing, k, out = set(coded[key[0].as_py()]), 0, []
+        missing, k, out = sorted(coded[key[0].as_py()]), 0, []
         for row in table.sort_by("chunk").to_pylist():
-            out.append({"g": row["g"], "chunk": row["chunk"], "missing": sorted(missing), "k": k})
-            ways = {w["asset"]: w for w in row["ways"]}
-            if missing <= ways.keys():
-                last = max((ways[a] for a in missing), key=lambda w: w["first"])
-                missing, k = set(last["missing"]), k + 1 + last["count"]
-            else:
-                missing = missing - ways.keys()
-        return pa.Table.from_pylist(out, pa.schema([("g", pa.int32()), ("chunk", pa.int64()), ("missing", pa.list_(pa.int32())), ("k", pa.int64())]))
-
-    def emit(left: pa.Table, right: pa.Table) -> pa.Table:
-        chunk = _Chunk(left, place)
-        parts = []
-        for row in right.to_pylist():
-            found = chunk.refreshes(coded[row["g"]], row["missing"])
-            parts.append((np.full(len(found), row["g"], np.int32), row["k"] + np.arange(len(found)), chunk.t[np.array(found, np.int64)]))
-        columns = [np.concatenate([p[i] for p in parts] or [np.zeros(0)]) for i in range(3)]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.float64()), strict=True)], ["g", "k", "t"])
-
-    entry = base.groupBy("chunk").applyInArrow(summarise, _WAYS).groupBy("g").applyInArrow(follow, _ENTRY)
-    return base.groupBy("chunk").cogroup(entry.groupBy("chunk")).applyInArrow(emit, "g int, k long, t double")
+            out.append({"g": row["g"], "chunk": row["chunk"], "missing": " ".join(map(str, missing)), "k": k})
+            more, missing = _through(missing, {w["asset"]: (w["first"], w["count"], w["missing"]) for w in row["ways"]})
+            k += more
+        return pa.Table.from_pylist(out, pa.schema([("g", pa.int32()), ("chunk", pa.int64()), ("missing", pa.string()), ("k", pa.int64())]))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict[int, dict[int, tuple[list[int], int]]] = {}
+
+        def ticks_of() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                is_tick = batch.column("g").is_null()
+                for row in batch.filter(pc.invert(is_tick)).to_pylist():
+                    state.setdefault(row["chunk"], {})[row["g"]] = ([int(a) for a in row["missing"].split()], row["k"])
+                yield batch.select(["chunk", "asset", "t"]).filter(is_tick)
+
+        for chunk, table in _pieces(ticks_of(), size):
+            piece = _Piece(table, place)
+            for g, (missing, k) in state[chunk].items():
+                found = piece.refreshes(coded[g], missing)
+                left = piece.missing_from(coded[g], found[-1] + 1) if found else [a for a in missing if not piece.at[a]]
+                state[chunk][g] = (left, k + len(found))
+                columns = (np.full(len(found), g, np.int32), k + np.arange(len(found)), piece.t[np.array(found, np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.float64()), strict=True)], ["g", "k", "t"])
+
+    # Chunks follow each other in order of time, so a sort by time keeps each together.
+    order = [t.asc_nulls_last(), F.col("seq")]
+    entry = base.repartition("chunk").sortWithinPartitions(*order).select("chunk", "asset", "t").mapInArrow(summarise, _WAYS).groupBy("g").applyInArrow(follow, _ENTRY)
+    both = base.unionByName(entry.withColumn("t", F.lit(-math.inf)), allowMissingColumns=True)  # entries come before all ticks of a task
+    both = both.repartition("chunk").sortWithinPartitions(*order, F.col("g").isNull()).select("chunk", "asset", "t", "g", "missing", "k")
+    return both.mapInArrow(emit, "g int, k long, t double")
 
 
 def refresh_times(ticks: Ticks, assets: list[str] | None = None, start_time: float | None = None) -> DataFrame:
