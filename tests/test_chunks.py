@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
 from tickweave.functions.kernels import PARZEN
 from tickweave.operators import covariance as C
 from tickweave.operators import ordered, sampling
@@ -165,6 +166,20 @@ def test_reader_sizes_chunks_and_takes_a_tie_breaker(spark, tmp_path, monkeypatc
     assert T.read_ticks(spark, str(tmp_path / "ticks"), "t", "asset", "value", fmt="json", chunk=2.0).chunk == 2.0
 
 
+def test_stretches_of_events_hold_a_count(spark, monkeypatch):
+    """However dense events are, a stretch holds about a count of them, and results are the same."""
+    whole = T.event_ticks(spark, SF)
+    n, lo, hi = whole.df.agg(F.count("*"), F.min("t"), F.max("t")).first()
+    assert whole.chunk == 5 * 86_400.0 and T.event_ticks(spark, SF, chunk=None).chunk is None
+    monkeypatch.setattr(T, "CHUNK_ROWS", 50)
+    cut = T.event_ticks(spark, SF)
+    assert cut.chunk == pytest.approx((hi - lo) * 50 / n)
+    assets = sampling.asset_names(whole)
+    grids = [sampling.refresh_times(x, assets) for x in (cut, whole)]
+    got, want = (frame(C.covariance_of_returns(sampling.returns(sampling.latest_value(x, g, assets))), "a", "b", "cov") for x, g in zip((cut, whole), grids))
+    assert_close(got, want)
+
+
 def test_sorted_table_with_an_index(spark):
     df = spark.createDataFrame([(0, 5.0, 1.0), (1, 5.0, 2.0), (2, 6.0, 3.0), (3, 7.0, 4.0)], "row long, at double, asset double")
     ticks = T.from_sorted(df, "at", "asset", {"X": [0, 2], "Y": [1]})

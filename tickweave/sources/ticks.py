@@ -129,7 +129,13 @@ def read_ticks(
 
 
 def event_ticks(spark: SparkSession, sf_dir: str, grouping: str = "event_type", chunk: float | None = 5 * 86_400.0) -> Ticks:
-    """The ``events`` table as ticks: seconds since the start of 2024, ties in order of event_id."""
+    """The ``events`` table as ticks: seconds since the start of 2024, ties in order of event_id.
+
+    ``chunk`` is the longest stretch; where it would hold more than a count on average, it is cut by that count.
+    """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     seconds = F.expr("cast(cast(cast(ts - timestamp_ntz'2024-01-01 00:00:00' as interval second) as decimal(18,6)) as double)")
-    return from_columns(events.withColumn("t", seconds), "t", grouping, "value", seq="event_id", chunk=chunk)
+    ticks = from_columns(events.withColumn("t", seconds), "t", grouping, "value", seq="event_id")
+    if chunk is None:
+        return ticks
+    return replace(ticks, chunk=min(chunk, chunk_for(ticks.df, CHUNK_ROWS) or chunk))
