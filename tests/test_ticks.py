@@ -160,6 +160,18 @@ def test_end_averaging(spark):
         C.end_averaged_returns(df, 3)
 
 
+def test_end_averaging_makes_its_returns_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def work(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame([("A", i, float(i)) for i in range(6)], "asset string, k long, r double").mapInArrow(work, "asset string, k long, r double")
+    assert C.end_averaged_returns(df, 2).count() == 4 and made.value == 6
+
+
 def test_empty_table(spark):
     ticks = table(spark, LITERAL).only([])
     assert sampling.asset_names(ticks) == []

@@ -14,7 +14,7 @@ from tickweave.operators import sampling
 from tickweave.operators.ordered import as_of, previous, ranked, running_sum, with_halo
 from tickweave.operators.volatility import default_num_grids, default_spacing, two_scales_many, two_scales_volatility
 from tickweave.sources.ticks import Ticks
-from tickweave.workspace import materialise
+from tickweave.workspace import drop_tables, materialise
 
 #: Returns of one block of a realised kernel and of one part of an asset, at least.
 BLOCK, PART = 20_000, 50_000
@@ -59,10 +59,11 @@ def realised_autocovariance(returns: DataFrame, lag: int) -> DataFrame:
 
 def end_averaged_returns(returns: DataFrame, m: int) -> DataFrame:
     """(asset, k, r), k from 1: the first and last m returns become one weighted return each."""
-    n = returns.agg(F.countDistinct("k").alias("n")).first()["n"]
+    returns = materialise(returns.select("asset", "k", "r"), "returns")  # read twice
+    n, first = returns.agg(F.countDistinct("k"), F.min("k")).first()
     if m >= n / 2:
+        drop_tables(returns)
         raise ValueError("m is too large for this number of returns")
-    first = returns.agg(F.min("k").alias("k")).first()["k"]
     place = F.col("k") - first + 1
     df = returns.withColumn("i", place)
     weight = F.when(F.col("i") <= m, -F.col("i") / m).when(F.col("i") > n - m, (F.col("i") - (n - m)) / m).otherwise(F.lit(1.0))
