@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
+from tickweave.functions import table_functions
 from tickweave.functions.kernels import PARZEN
 from tickweave.operators import covariance as C
 from tickweave.operators import ordered, sampling
@@ -49,6 +50,17 @@ def test_refresh_times_of_any_chunks(spark, chunk):
             assert [r.t for r in both if (r.a, r.b) == (a, b)] == brute_refreshes(rows, [a, b])
 
 
+@pytest.mark.parametrize("chunk", [None, 0.2, 3.0, 50.0])
+def test_refresh_times_in_sql_by_chunks(spark, chunk):
+    table_functions.register(spark)
+    for seed, n in ((1, 600), (2, 40), (3, 5)):
+        ticks, rows = random_ticks(spark, seed, n)
+        ticks.df.createOrReplaceTempView("chunked_ticks")
+        for assets in (NAMES, ["A", "C"], ["B"], [*NAMES, "E"]):
+            got = spark.sql(table_functions.refresh_times_sql("chunked_ticks", ",".join(assets), chunk)).orderBy("k").collect()
+            assert [r.t for r in got] == brute_refreshes(rows, assets) and [r.k for r in got] == list(range(len(got)))
+
+
 def test_refresh_times_with_an_asset_that_never_ticks(spark):
     ticks, _ = random_ticks(spark, chunk=5.0)
     assert sampling.refresh_times(ticks, [*NAMES, "E"]).count() == 0

@@ -230,8 +230,9 @@ def _(spark, sf):
 @query("refresh_times_in_sql", REFRESH + " select k, t from refresh")
 def _(spark, sf):
     table_functions.register(spark)
-    types(spark, sf).df.createOrReplaceTempView("tickweave_ticks")
-    return spark.sql(f"select k, t from refresh_times(table(tickweave_ticks) with single partition order by (t, seq), '{','.join(ASSETS)}')")
+    ticks = types(spark, sf)
+    ticks.df.createOrReplaceTempView("tickweave_ticks")
+    return spark.sql(table_functions.refresh_times_sql("tickweave_ticks", ",".join(ASSETS), ticks.chunk))
 
 
 @query(
