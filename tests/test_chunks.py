@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
+from tickweave import catalogue
 from tickweave.functions import table_functions
 from tickweave.functions.kernels import PARZEN
 from tickweave.operators import covariance as C
@@ -214,3 +215,16 @@ def test_assets_need_ticks_and_values_that_differ(spark):
     assert {r.asset for r in sampling.time_between_refreshes(ticks).collect()} == {"few", "flat", "moving", "still", "broken"}
     given = {r.asset: r.time_between_ticks for r in sampling.time_between_refreshes(ticks, ["few", "flat"]).collect()}
     assert given == {"few": pytest.approx(9 / 29), "flat": pytest.approx(30 / 29)}
+
+
+def test_assets_may_be_a_table(spark):
+    rows = [("flat", float(i), 5.0, i) for i in range(30)] + [("moving", float(i), float(i % 3), i) for i in range(15)]
+    ticks = Ticks(spark.createDataFrame(rows, "asset string, t double, value double, seq long"))
+    assert [tuple(r) for r in sampling.ticks_per_asset(ticks, sampling.get_assets(ticks)).collect()] == [("moving", 15)]
+    assert [tuple(r) for r in sampling.time_between_refreshes(ticks, sampling.get_assets(ticks)).collect()] == [("moving", pytest.approx(15 / 29), 15)]
+
+
+@pytest.mark.parametrize("name", ["time_between_refreshes", "ticks_per_asset"])
+def test_plans_do_not_list_the_users(spark, name):
+    df = catalogue.QUERIES[name](spark, SF)
+    assert df.count() > 0 and " IN " not in str(df._jdf.queryExecution().analyzed())

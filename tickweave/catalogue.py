@@ -65,6 +65,11 @@ def types(spark: SparkSession, sf_dir: str) -> T.Ticks:
     return T.event_ticks(spark, sf_dir)
 
 
+def users(spark: SparkSession, sf_dir: str) -> T.Ticks:
+    """Users as assets, for queries that count by asset and so need no stretches."""
+    return T.event_ticks(spark, sf_dir, "user_id", chunk=None)
+
+
 def hourly(ticks: T.Ticks) -> DataFrame:
     return sampling.even_grid(ticks, HOUR)
 
@@ -126,7 +131,7 @@ USERS = "ticks as (select cast(user_id as varchar) as asset, (epoch_us(ts) - epo
 
 @query("get_assets", f"with {USERS} select asset from ticks group by asset having count(*) >= 10 and max(value) - min(value) > 2.220446049250313e-13")
 def _(spark, sf):
-    return sampling.get_assets(T.event_ticks(spark, sf, "user_id"))
+    return sampling.get_assets(users(spark, sf))
 
 
 @query("subset_to_tick", f"with {TICKS} select * from ticks order by t, seq limit 500")
@@ -148,14 +153,14 @@ def _(spark, sf):
 
 @query("ticks_per_asset", f"with {USERS} select asset, count(*) as number_of_ticks from ticks group by asset having count(*) >= 10 and max(value) - min(value) > 2.220446049250313e-13")
 def _(spark, sf):
-    users = T.event_ticks(spark, sf, "user_id")
-    return sampling.ticks_per_asset(users, sampling.asset_names(users))
+    ticks = users(spark, sf)
+    return sampling.ticks_per_asset(ticks, sampling.get_assets(ticks))
 
 
 @query("time_between_refreshes", f"with {USERS} select asset, {r('count(*) / (select max(t) - min(t) from ticks)', 'time_between_ticks', 10)}, count(*) as number_of_ticks from ticks group by asset having count(*) >= 10 and max(value) - min(value) > 2.220446049250313e-13")
 def _(spark, sf):
-    users = T.event_ticks(spark, sf, "user_id")
-    return rounded(sampling.time_between_refreshes(users, sampling.asset_names(users)), 10)
+    ticks = users(spark, sf)
+    return rounded(sampling.time_between_refreshes(ticks, sampling.get_assets(ticks)), 10)
 
 
 # --- sampling ---------------------------------------------------------------
@@ -559,7 +564,7 @@ def _(spark, sf):
 
 @query("blocking_plan")
 def _(spark, sf):
-    blocks = estimate.blocks_by_frequency(T.event_ticks(spark, sf, "user_id"), 0.1)
+    blocks = estimate.blocks_by_frequency(users(spark, sf), 0.1)
     rows = [(i, sorted(b.assets), b.method, b.number_of_assets, b.mean_number_of_ticks, b.mean_time_per_tick) for i, b in enumerate(blocks)]
     return spark.createDataFrame(rows, "ord int, assets array<string>, method string, number_of_assets int, mean_number_of_ticks double, mean_time_per_tick double")
 
@@ -581,7 +586,7 @@ _BLOCKS_SQL = (
 @query("blocks_by_frequency", _BLOCKS_SQL)
 def _(spark, sf):
     """The blocking plan, a row per asset of each block."""
-    blocks = estimate.blocks_by_frequency(T.event_ticks(spark, sf, "user_id"), 0.1)
+    blocks = estimate.blocks_by_frequency(users(spark, sf), 0.1)
     rows = [(i, a, b.number_of_assets, b.mean_number_of_ticks, b.mean_time_per_tick) for i, b in enumerate(blocks) for a in sorted(b.assets)]
     df = spark.createDataFrame(rows, "ord int, asset string, number_of_assets int, mean_number_of_ticks double, mean_time_per_tick double")
     return df.withColumns({"mean_number_of_ticks": F.round("mean_number_of_ticks", 6) + F.lit(0.0), "mean_time_per_tick": F.round("mean_time_per_tick", 10) + F.lit(0.0)})

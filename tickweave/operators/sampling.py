@@ -71,12 +71,17 @@ def tick_counts(ticks: Ticks) -> DataFrame:
     return ticks.df.groupBy("asset").agg(F.count("*").alias("number_of_ticks"))
 
 
-def ticks_per_asset(ticks: Ticks, assets: list[str] | None = None) -> DataFrame:
-    """(asset, number_of_ticks) of the given assets, or of all; ``asset_names`` gives those that count as observed."""
+def ticks_per_asset(ticks: Ticks, assets: list[str] | DataFrame | None = None) -> DataFrame:
+    """(asset, number_of_ticks) of the given assets, or of all; ``get_assets`` and ``asset_names`` give those that count as observed.
+
+    Many assets are better given as a table: their names go neither through the driver nor into the plan.
+    """
+    if isinstance(assets, DataFrame):
+        return tick_counts(ticks).join(assets.select("asset"), "asset", "left_semi")
     return tick_counts(ticks.only(assets))
 
 
-def time_between_refreshes(ticks: Ticks, assets: list[str] | None = None, *, strict: bool = False) -> DataFrame:
+def time_between_refreshes(ticks: Ticks, assets: list[str] | DataFrame | None = None, *, strict: bool = False) -> DataFrame:
     """Ticks per unit of time over the whole table's extent (``strict``: time per tick), slowest first; of all assets or the given ones."""
     extent = ticks.df.agg((F.max("t") - F.min("t")).alias("span"))
     per = ticks_per_asset(ticks, assets).join(F.broadcast(extent))  # one row

@@ -225,7 +225,8 @@ def sorted_adjacent_blocks(groups: list[list[str]]) -> list[frozenset[str]]:
 
 def blocks_by_frequency(ticks: Ticks, multiple: float, method: str = "preaveraged_covariance", parameters: dict | None = None) -> list[Block]:
     """The plan of a blockwise estimation of the assets that count as observed, largest block first."""
-    stats = {r.asset: r for r in sampling.time_between_refreshes(ticks, sampling.asset_names(ticks)).collect()}  # one row per asset
+    names = set(sampling.asset_names(ticks))
+    stats = {r.asset: r for r in sampling.time_between_refreshes(ticks).collect() if r.asset in names}  # one row per asset
     groups = groups_by_rate([(a, r.time_between_ticks) for a, r in stats.items()], multiple)
     out = []
     for block in sorted_adjacent_blocks(groups):
